@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("projections",)
+FAMILIES = ("projections", "filters", "joins")
 
 
 def load_all():
