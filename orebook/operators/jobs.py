@@ -64,7 +64,7 @@ def picked_qty(txn: DataFrame, keys: Sequence[str], qty: str, cost: str) -> Data
 
 def route_steps(rows: DataFrame, job: str, sequence: str, code: str) -> DataFrame:
     """Distinct job, sequence and operation."""
-    return rows.groupBy(job, sequence, code).agg()
+    return rows.select(job, sequence, code).distinct()
 
 
 def route_attribution(steps: DataFrame, job: str, sequence: str, code: str, names: DataFrame, ranks: DataFrame,

@@ -62,13 +62,14 @@ def top_band(facts: DataFrame, keys: Sequence[str], bands: DataFrame, on: Sequen
     The bands that share a join key become one sorted array, so each fact meets one row and
     picks from it; nothing is ranked per fact.
     """
-    ladder = bands.groupBy(*on).agg(
-        F.sort_array(F.collect_list(F.struct(F.col(band), F.col(goal), *carry)), asc=False).alias("__bands")
+    steps = F.struct(F.col(band).alias("band"), F.col(goal).alias("goal"), *carry)
+    ladder = bands.select(*on, steps.alias("__step")).groupBy(*on).agg(
+        F.sort_array(F.collect_list("__step"), asc=False).alias("__bands")
     )
-    reached = F.filter("__bands", lambda b: F.col(measure) >= b[goal])
+    reached = F.filter("__bands", lambda b: F.col(measure) >= b["goal"])
     out = facts.join(ladder, list(on), "left").withColumn("__top", F.try_element_at(reached, F.lit(1)))
     return out.select(
-        *facts.columns, F.col(f"__top.{band}").alias(band), *[F.col(f"__top.{c}").alias(c) for c in carry]
+        *facts.columns, F.col("__top.band").alias(band), *[F.col(f"__top.{c}").alias(c) for c in carry]
     )
 
 

@@ -28,7 +28,7 @@ def ordered_text(value: str, order: Sequence[str], sep: str) -> Column:
 
 def distinct_text(df: DataFrame, keys: Sequence[str], value: str, sep: str, name: str) -> DataFrame:
     """Distinct texts of a group, sorted; duplicates go before the shuffle that gathers the group."""
-    return df.groupBy(*keys, value).agg().groupBy(*keys).agg(ordered_text(value, [value], sep).alias(name))
+    return df.select(*keys, value).distinct().groupBy(*keys).agg(ordered_text(value, [value], sep).alias(name))
 
 
 def json_list(sort: Sequence[Column], fields: Sequence[Column]) -> Column:

@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("projections", "filters", "joins")
+FAMILIES = ("projections", "filters", "joins", "aggregates", "windows", "scalars", "quality")
 
 
 def load_all():
