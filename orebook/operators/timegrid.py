@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,27 +39,19 @@ def calendar_445(base: DataFrame) -> DataFrame:
     )
 
 
-def fiscal_calendar(spark, first_day: dt.date, years: Sequence[tuple[int, int]]) -> DataFrame:
-    """A 4-4-5 calendar from its first Monday: ``years`` lists (fiscal year, number of weeks).
-
-    Months have 4, 4 and 5 weeks per quarter; a 53rd week belongs to the last month.
-    """
-    rows, offset = [], 0
-    for year, weeks in years:
-        rows.append((year, offset, weeks * 7))
-        offset += weeks * 7
-    spans = spark.createDataFrame(rows, "fiscal_year int, start int, days int")
-    day = spans.select("fiscal_year", "start", F.explode(F.sequence(F.lit(0), F.col("days") - 1)).alias("n"))
-    week = (F.floor(F.col("n") / 7) + 1).cast("int")
-    quarter = F.least(F.floor((week - 1) / 13), F.lit(3)).cast("int")
-    in_quarter = week - quarter * 13
-    month_in_q = F.when(in_quarter <= 4, 1).when(in_quarter <= 8, 2).otherwise(3)
-    month = (quarter * 3 + month_in_q).cast("int")
-    first_week = quarter * 13 + F.when(month_in_q == 1, 1).when(month_in_q == 2, 5).otherwise(9)
-    return day.select(
-        F.date_add(F.lit(first_day), F.col("start") + F.col("n")).alias("calendar_date"),
-        "fiscal_year", month.alias("fiscal_month"), week.alias("fiscal_week"),
-        (week - first_week + 1).cast("int").alias("week_of_month"),
+def fiscal_445(days: DataFrame, day: str = "calendar_date") -> DataFrame:
+    """The 4-4-5 fields of each day by rule: ISO weeks, months of 4, 4 and 5 weeks per quarter.
+    A 53rd week counts as the first week of month 1 of its own year, as the given calendar has it."""
+    d = F.col(day)
+    week = F.weekofyear(d)
+    in_year = F.when(week == 53, 1).otherwise(week)
+    quarter = F.floor((in_year - 1) / 13).cast("int")
+    in_quarter = in_year - quarter * 13
+    nth = F.when(in_quarter <= 4, 1).when(in_quarter <= 8, 2).otherwise(3)
+    month = quarter * 3 + nth
+    return days.select(
+        d.alias("calendar_date"), F.extract(F.lit("YEAROFWEEK"), d).alias("fiscal_year"), month.alias("fiscal_month"),
+        week.alias("fiscal_week"), (in_quarter - (nth - 1) * 4).alias("week_of_month"),
         F.element_at(F.array(*[F.lit(x) for x in D.MONTHS]), month).alias("month_name"),
     )
 

@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("projections", "filters", "joins", "aggregates", "windows", "scalars", "quality")
+FAMILIES = ("projections", "filters", "joins", "aggregates", "windows", "scalars", "quality", "supply")
 
 
 def load_all():
