@@ -1,13 +1,16 @@
 """Running totals over groups of any size.
 
-A window over a whole group puts that group into one task. Here a group that holds too many
-rows is cut along its own order into chunks, each summed by itself; the totals of the chunks
-before it are then added. The chunk keys follow the order, so the result equals the plain
-window:
+A window over a whole group puts that group into one task. Where the data hold a group too
+large for that, it is cut along its own order into chunks, each summed by itself; the totals
+of the chunks before it are then added. The chunk keys follow the order, so the result
+equals the plain window:
 
 * rows are shuffled by (group, chunk), a group of ordinary size being one chunk;
 * only one row per chunk is gathered for the offsets, level by level;
 * the join that brings the offsets back uses the partitioning the window already made.
+
+Whether there are such groups is asked first, by counting. Without any, the plain window is
+used: one shuffle.
 """
 
 from __future__ import annotations
@@ -15,21 +18,20 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 _KEY = "__chunk"
-# A group is large when it holds more rows than both of these say; the share bounds the
-# number of large groups (at most MAX_LARGE), which is what makes their list broadcastable.
+# A group is large when it holds more rows than LARGE_ROWS and more than 1/MAX_LARGE of all
+# rows. At most MAX_LARGE groups can be, so their list is small whatever the data.
 LARGE_ROWS = 1_000_000
 MAX_LARGE = 10_000
 
 
-def large_groups(df: DataFrame, group: Sequence[str], large_rows: int = LARGE_ROWS) -> DataFrame:
-    """Groups with more than ``large_rows`` rows and more than 1/``MAX_LARGE`` of all rows."""
-    sizes = df.groupBy(F.struct(*group).alias("__g")).agg(F.count(F.lit(1)).alias("__n"))
-    share = sizes.agg(F.coalesce(F.sum("__n"), F.lit(0)) / F.lit(MAX_LARGE)).scalar()
-    return sizes.filter((F.col("__n") > large_rows) & (F.col("__n") > share)).select("__g")
+def large_groups(df: DataFrame, keys: Sequence[str], large_rows: int = LARGE_ROWS) -> list[Row]:
+    """Keys of the large groups, at most ``MAX_LARGE``. Counts rows: one job over the key columns."""
+    bound = max(large_rows, df.count() / MAX_LARGE)
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > bound).select(*keys).collect()
 
 
 def running_totals(
@@ -42,6 +44,7 @@ def running_totals(
     peaks: bool = False,
     attrs: DataFrame | None = None,
     sized_by: DataFrame | None = None,
+    sized_on: Sequence[str] | None = None,
     large_rows: int = LARGE_ROWS,
 ) -> DataFrame:
     """``df`` with the running sum of every measure within ``group`` along ``order``.
@@ -49,30 +52,54 @@ def running_totals(
     ``chunks`` are expressions that never decrease along ``order`` (nulls last), coarsest
     first, such as the day and then a range of order numbers. ``order`` must be total.
     ``totals`` adds ``<name>_total``, the sum over the group; ``peaks`` adds ``<name>_peak``,
-    the highest running sum in the group. ``attrs`` (one row per group) is joined to the
-    chunk offsets, so it reaches the rows without a shuffle by group. ``sized_by`` is a
-    cheaper table whose group counts are not below those of ``df``.
+    the highest running sum in the group. ``attrs``, one row per group, is joined by group.
+    ``sized_by`` is a table that is cheaper to count and whose counts by ``sized_on``, some or
+    all of ``group``, are not below those of ``df``.
     """
+    sized_on = list(sized_on or group)
+    large = large_groups(df if sized_by is None else sized_by, sized_on, large_rows)
+    if attrs is not None:
+        attrs = attrs.dropna(subset=list(group))
+    if not large:
+        return _plain(df, group, order, measures, totals, peaks, attrs)
+    marks = df.sparkSession.createDataFrame(large, df.select(*sized_on).schema).withColumn("__large", F.lit(True))
+    return _chunked(_attach(df, F.broadcast(marks), sized_on), df.columns, group, order, measures, chunks, totals, peaks, attrs)
+
+
+def _plain(df, group, order, measures, totals, peaks, attrs) -> DataFrame:
+    whole = Window.partitionBy(*group)
+    upto = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    zero = F.lit(0)
+    # The window meets plain columns: an expression would be evaluated again per frame.
+    out = df.withColumns({f"__m_{n}": F.coalesce(c, zero) for n, c in measures.items()})
+    out = out.withColumns({n: F.sum(f"__m_{n}").over(upto) for n in measures})
+    if totals:
+        out = out.withColumns({f"{n}_total": F.sum(f"__m_{n}").over(whole) for n in measures})
+    if peaks:
+        out = out.withColumns({f"{n}_peak": F.max(n).over(whole) for n in measures})
+    out = out.drop(*[f"__m_{n}" for n in measures])
+    return out if attrs is None else out.join(attrs, list(group), "left")
+
+
+def _chunked(df, columns, group, order, measures, chunks, totals, peaks, attrs) -> DataFrame:
     levels = [f"__c{i}" for i in range(len(chunks))]
     names = list(measures)
     sums = [f"__m_{n}" for n in names]
+    zero = F.lit(0)
 
-    large = large_groups(df if sized_by is None else sized_by, group, large_rows)
-    base = df.withColumn("__g", F.struct(*group)).join(
-        F.broadcast(large.withColumn("__large", F.lit(True))), "__g", "left"
-    )
-    base = base.withColumns({
+    base = df.withColumns({
+        "__g": F.struct(*group),
         **{lv: F.when(F.col("__large"), c) for lv, c in zip(levels, chunks)},
-        **{f"__m_{n}": c for n, c in measures.items()},
+        **{f"__m_{n}": F.coalesce(c, zero) for n, c in measures.items()},
     }).withColumn(_KEY, F.struct("__g", *levels))
     within = Window.partitionBy(_KEY).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = base.withColumns({f"__r_{n}": F.sum(f"__m_{n}").over(within) for n in names})
 
+    # Offsets are needed for the chunks of large groups only, unless every group has an extra.
     every_group = totals or peaks or attrs is not None
     summed = local if peaks else base if every_group else base.filter("__large")
     per_chunk = summed.groupBy(_KEY).agg(
-        *[F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in sums],
-        *[F.max(f"__r_{n}").alias(f"__x_{n}") for n in names if peaks],
+        *[F.sum(s).alias(s) for s in sums], *[F.max(f"__r_{n}").alias(f"__x_{n}") for n in names if peaks],
     ).select(f"{_KEY}.*", *sums, *[f"__x_{n}" for n in names if peaks])
     offsets = _offsets(per_chunk, levels, sums)
     if peaks:
@@ -89,11 +116,8 @@ def running_totals(
     if totals:
         offsets = offsets.withColumns({f"{n}_total": F.col(f"__m_{n}__total") for n in names})
     offsets = offsets.select(F.struct("__g", *levels).alias(_KEY), *[f"{s}__before" for s in sums], *extra)
-    zero = F.lit(0)
     return local.join(offsets, _KEY, "left").select(
-        *df.columns,
-        *[(F.coalesce(F.col(f"__m_{n}__before"), zero) + F.coalesce(F.col(f"__r_{n}"), zero)).alias(n) for n in names],
-        *extra,
+        *columns, *[(F.coalesce(F.col(f"__m_{n}__before"), zero) + F.col(f"__r_{n}")).alias(n) for n in names], *extra,
     )
 
 
