@@ -41,11 +41,11 @@ def yield_output_basis(df: DataFrame) -> DataFrame:
 
 
 def yield_bom_basis(picked: DataFrame, item_yield: DataFrame, order_yield: DataFrame, produced: DataFrame,
-                    order: str, item: str) -> DataFrame:
+                    order: str, item: str, money: str | None = None) -> DataFrame:
     """Expected yield by item, else by order, else 1; rolled up to the order and set against output.
 
     All four inputs meet on the order, so after the first shuffle by (order, item) the order
-    grain is reached by one aggregate.
+    grain is reached by one aggregate. ``money`` is the type the order's figures are cast to.
     """
     expected = F.coalesce(F.col("item_yield"), F.col("order_yield"), F.lit(1))
     rows = (
@@ -53,10 +53,12 @@ def yield_bom_basis(picked: DataFrame, item_yield: DataFrame, order_yield: DataF
         .join(order_yield.select(order, F.col("expected_yield").alias("order_yield")), order, "left")
         .withColumn("__expected_lbs", F.col("picked_lbs") * expected)
     )
+    typed = lambda c: c.cast(money) if money else c
     sums = rows.groupBy(order).agg(
-        F.sum("picked_lbs").alias("picked_lbs"), F.sum("picked_usd").alias("picked_usd"),
-        ratio(F.sum("__expected_lbs"), F.sum("picked_lbs")).alias("engineered_yield"),
+        typed(F.sum("picked_lbs")).alias("picked_lbs"), typed(F.sum("picked_usd")).alias("picked_usd"),
+        ratio(typed(F.sum("__expected_lbs")), typed(F.sum("picked_lbs"))).alias("engineered_yield"),
     )
+    produced = produced.withColumn("complete_lbs", typed(F.col("complete_lbs")))
     items = distinct_text(rows.withColumn(item, F.col(item).cast("string")), [order], item, ", ", "picked_items")
     c = F.col
     out = sums.join(items, order).join(produced, order, "left")

@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("projections", "filters", "joins", "aggregates", "windows", "scalars", "quality", "supply")
+FAMILIES = ("projections", "filters", "joins", "aggregates", "windows", "scalars", "quality", "supply", "manufacturing")
 
 
 def load_all():
