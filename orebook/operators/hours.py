@@ -24,33 +24,38 @@ WIDE_DEPT = "120"
 PLAN_SINCE, PLAN, PLAN_DEPT = 2026, "PIP", "Plant - Processing"
 
 
-def pay_code_feed(raw: DataFrame, sites: DataFrame) -> DataFrame:
+def pay_code_feed(raw: DataFrame, sites: DataFrame, add_as: str = "double") -> DataFrame:
     """Monthly detail by pay code: location path, ``NAME (id)``; double time counts as overtime.
 
     ``raw`` has (location, employee, pay_code, hours, year, month); ``sites`` (site_name, site, country).
+    ``add_as`` is the type hours are added in.
     """
     who = F.col("employee")
     rows = raw.select(
         F.split(F.col("location"), "/").getItem(2).alias("site_name"), "year", "month",
         extract_or_null(who, r"\((\d+)\)").alias("employee_id"),
         extract_or_null(who, r"^(.*) \(\d+\)").alias("employee_name"),
-        F.lit(PLANT_DEPT).alias("dept_code"), "pay_code", coerce(F.col("hours")).alias("hours"),
+        F.lit(PLANT_DEPT).alias("dept_code"), "pay_code", coerce(F.col("hours")).cast(add_as).alias("hours"),
     )
     known = rows.join(sites, "site_name").filter(F.col("employee_id").isNotNull() & F.col("employee_name").isNotNull())
-    wide = pivot_fixed(known, PERSON, "pay_code", PAY_CODES, F.col("hours"), fill=0.0)
-    wide = wide.withColumn("overtime_hrs", F.col("overtime_hrs") + F.col("doubletime_hrs"))
+    wide = pivot_fixed(known, PERSON, "pay_code", PAY_CODES, F.col("hours"))
+    wide = wide.withColumns({
+        "regular_hrs": F.col("regular_hrs").cast("double"),
+        "overtime_hrs": (F.col("overtime_hrs") + F.col("doubletime_hrs")).cast("double"),
+    })
     return wide.withColumn("total_hrs", F.col("regular_hrs") + F.col("overtime_hrs")).select(*STANDARD)
 
 
-def temp_feed(raw: DataFrame, label: str, regular: str, overtime: str, year: int, country: str, site: str) -> DataFrame:
+def temp_feed(raw: DataFrame, label: str, regular: str, overtime: str, year: int, country: str, site: str,
+              add_as: str = "double") -> DataFrame:
     """Labelled rows by ``W1-Jan`` columns, transposed and summed by month."""
     periods = [c for c in raw.columns if c != label]
     long = raw.unpivot([label], periods, "period", "hours").filter(F.col(label).isin(regular, overtime))
-    hours = coerce(F.col("hours"))
+    hours, zero = coerce(F.col("hours")).cast(add_as), F.lit(0)
     month = lookup(F.split("period", "-").getItem(1), MONTH_NUMBER)
     by_month = long.groupBy(month.alias("month")).agg(
-        F.sum(F.when(F.col(label) == regular, hours).otherwise(0.0)).alias("regular_hrs"),
-        F.sum(F.when(F.col(label) == overtime, hours).otherwise(0.0)).alias("overtime_hrs"),
+        F.sum(F.when(F.col(label) == regular, hours).otherwise(zero)).cast("double").alias("regular_hrs"),
+        F.sum(F.when(F.col(label) == overtime, hours).otherwise(zero)).cast("double").alias("overtime_hrs"),
     ).filter("month is not null")
     return by_month.select(
         F.lit(country).alias("country"), F.lit(site).alias("site"), F.lit(year).alias("year"), "month",

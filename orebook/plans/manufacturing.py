@@ -246,17 +246,17 @@ def op_trailing_flags(t):
 
 
 def exact(df):
-    """Measures as decimals, so that sums do not depend on the order of rows."""
-    return df.withColumns({m: F.col(m).cast("decimal(28,6)") for m in Y.MEASURES})
+    """Measures in whole ten-thousandths, so that sums do not depend on the order of rows."""
+    return df.withColumns({m: F.round(F.col(m) * 10000).cast("decimal(28,0)") for m in Y.MEASURES})
 
 
 @query("op_yield_site_op_date", f"""
 with {SQL_ALL_YIELD}, flg as (select *, {_flags.format(d="complete_date")} from fin)
-select site, loss_op_name, complete_date, fiscal_year_month_key, is_trailing_26wk, is_ttm, {", ".join(f"cast(sum(cast({m} as decimal(28,6))) as double) as {m}" for m in Y.MEASURES)} from flg group by all""")
+select site, loss_op_name, complete_date, fiscal_year_month_key, is_trailing_26wk, is_ttm, {", ".join(f"cast(sum(cast(round({m} * 10000) as decimal(28,0))) as double) / cast(10000 as double) as {m}" for m in Y.MEASURES)} from flg group by all""")
 def op_yield_site_op_date(t):
     flagged = Y.with_trailing_flags(exact(final(t)), "complete_date", AS_OF)
     out = Y.sum_measures(flagged, ["site", "loss_op_name", "complete_date", "fiscal_year_month_key", "is_trailing_26wk", "is_ttm"])
-    return out.withColumns({m: dbl(m) for m in Y.MEASURES})
+    return out.withColumns({m: dbl(m) / F.lit(10000.0) for m in Y.MEASURES})
 
 
 @query("op_yield_job_extract", f"""
