@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("projections", "filters", "joins", "aggregates", "windows", "scalars", "quality", "supply", "manufacturing", "labour")
+FAMILIES = ("projections", "filters", "joins", "aggregates", "windows", "scalars", "quality", "supply", "manufacturing", "labour", "files")
 
 
 def load_all():

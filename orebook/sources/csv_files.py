@@ -32,7 +32,7 @@ def read_text_csv(spark: SparkSession, paths: str | Sequence[str], columns: Sequ
     """CSV files as text columns with missing-value texts as null and header names trimmed.
 
     ``columns`` fixes the schema, so no file is read to plan the query; it is required for
-    files without a header. ``with_file`` adds ``file_name``.
+    files without a header. ``with_file`` adds ``file_path``.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     _require(spark, paths)
@@ -40,7 +40,7 @@ def read_text_csv(spark: SparkSession, paths: str | Sequence[str], columns: Sequ
     if columns is not None:
         reader = reader.schema(text_schema(columns)).option("enforceSchema", True)
     df = reader.csv(paths)
-    file_name = [F.col("_metadata.file_name").alias("file_name")] if with_file else []
+    file_name = [F.col("_metadata.file_path").alias("file_path")] if with_file else []
     return df.select(
         *[na_to_null(F.col(f"`{c}`"), na).alias(c.strip()) for c in df.columns], *file_name
     )
@@ -77,13 +77,13 @@ def rename_by_map(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(f"`{old}`").alias(new) for old, new in names.items()])
 
 
-def site_from_file(file_name: Column, pattern: str = r"Inventory_([A-Za-z0-9]+)\.") -> Column:
-    return F.nullif(F.regexp_extract(file_name, pattern, 1), F.lit(""))
+def site_from_file(file_path: Column, pattern: str = r"Inventory_([A-Za-z0-9]+)\.txt") -> Column:
+    return F.nullif(F.regexp_extract(file_path, pattern, 1), F.lit(""))
 
 
-def period_from_file(file_name: Column, pattern: str = r"(\d{2})-(\d{4})") -> list[Column]:
+def period_from_file(file_path: Column, pattern: str = r"_(\d{2})-(\d{4})\.csv") -> list[Column]:
     """Month and year of ``…_MM-YYYY.csv``; null when the name has none."""
-    return [F.regexp_extract(file_name, pattern, g).try_cast("int").alias(n) for g, n in ((1, "month"), (2, "year"))]
+    return [F.regexp_extract(file_path, pattern, g).try_cast("int").alias(n) for g, n in ((1, "month"), (2, "year"))]
 
 
 def conform_snapshots(snapshots: Sequence[tuple[str, DataFrame]], fmt: str = "MM.dd.yy") -> DataFrame:
@@ -102,8 +102,10 @@ def conform_snapshots(snapshots: Sequence[tuple[str, DataFrame]], fmt: str = "MM
         df = df.toDF(*names)
         kept = [F.col(c).cast("string").alias(c) if c in names else F.lit(None).cast("string").alias(c) for c in reference]
         tab = F.lit(name)
-        frames.append(df.select(*kept, tab.alias("source_tab"),
-                                F.try_to_timestamp(F.trim(tab), F.lit(fmt)).cast("date").alias("snapshot_date")))
+        day = F.try_to_timestamp(F.trim(tab), F.lit(fmt)).cast("date")
+        # Two-digit years from 69 on belong to the last century.
+        day = F.when(F.year(day) > 2068, F.add_months(day, -1200)).otherwise(day)
+        frames.append(df.select(*kept, tab.alias("source_tab"), day.alias("snapshot_date")))
     return stack(frames)
 
 
