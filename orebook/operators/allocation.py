@@ -11,6 +11,7 @@ from orebook.functions.numbers import pick_by_site
 from orebook.operators.joins import scope_expand
 from orebook.operators.rollup import json_list, null_last_key, ordered_text, pivot_fixed
 from orebook.operators.running import LARGE_ROWS, running_totals
+from orebook.session import cut
 
 # Pipeline states, stage order, and the job states that mean complete.
 NO_MATERIAL, AVAILABLE, STARTED, COMPLETE, UNKNOWN = (
@@ -191,6 +192,8 @@ def hot_items(tally: DataFrame, supply: DataFrame, elsewhere: DataFrame, sites:
         F.sum(required).alias("total_qty_short"),
         *[F.count(F.when(F.col(site) == s, 1)).alias(f"lines_short_{s}") for s in sites],
     )
+    # Three readers: written once, so that the tally is not worked out three times.
+    short = cut(short, "short-items")
     items = short.select(item)
     details = supply.join(items, item, "left_semi").groupBy(item).agg(
         json_list(

@@ -71,24 +71,22 @@ def route_attribution(steps: DataFrame, job: str, sequence: str, code: str, name
                       sep: str = " → ") -> DataFrame:
     """Route texts of a job and the operation its loss belongs to: the lowest rank on the route.
 
-    The owner comes from one aggregate, the lowest (rank, ...) as a filtered maximum over the
-    few operations of that rank, so the steps are read once and never joined to themselves.
-    ``names`` has (op_code, op_name), ``ranks`` (op_name, rank).
+    One aggregate by job: the ranked operations of a job form a set no larger than the rank
+    table, from which the owner is picked; steps are never joined to themselves. Among
+    operations of the same rank the greatest code and name count. ``names`` has
+    (op_code, op_name), ``ranks`` (op_name, rank).
     """
     named = steps.join(names, steps[code] == names["op_code"], "left").join(ranks, "op_name", "left")
-    per_rank = named.groupBy(job, "rank").agg(
-        F.max(code).alias("__code"), F.max("op_name").alias("__name"),
-    )
-    owner = per_rank.filter("rank is not null").groupBy(job).agg(
-        F.min_by(F.struct("__code", "__name"), "rank").alias("__own"), F.min("rank").alias("loss_rank")
-    )
-    routes = named.groupBy(job).agg(
+    ranked = F.when(F.col("rank").isNotNull(), F.struct(F.col("rank").alias("r"), F.col(code).alias("c"), F.col("op_name").alias("n")))
+    out = named.groupBy(job).agg(
         ordered_text(code, [sequence, code], sep).alias("op_codes"),
         ordered_text("op_name", [sequence, code], sep).alias("op_names"),
+        F.collect_set(ranked).alias("__ops"), F.min("rank").alias("loss_rank"),
     )
-    return routes.join(owner, job, "left").select(
-        job, "op_codes", "op_names", F.col("__own.__code").alias("loss_op_code"),
-        F.col("__own.__name").alias("loss_op_name"), "loss_rank",
+    owners = F.filter("__ops", lambda o: o["r"] == F.col("loss_rank"))
+    return out.select(
+        job, "op_codes", "op_names", F.array_max(F.transform(owners, lambda o: o["c"])).alias("loss_op_code"),
+        F.array_max(F.transform(owners, lambda o: o["n"])).alias("loss_op_name"), "loss_rank",
     )
 
 

@@ -21,17 +21,20 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from orebook.sources.tables import reference_table
+
 _KEY = "__chunk"
-# A group is large when it holds more rows than LARGE_ROWS and more than 1/MAX_LARGE of all
-# rows. At most MAX_LARGE groups can be, so their list is small whatever the data.
+# A group is large when it holds more than LARGE_ROWS rows and is among the MAX_LARGE biggest.
+# Their list is small whatever the data, and a group beyond it holds less than 1/MAX_LARGE
+# of all rows.
 LARGE_ROWS = 1_000_000
 MAX_LARGE = 10_000
 
 
 def large_groups(df: DataFrame, keys: Sequence[str], large_rows: int = LARGE_ROWS) -> list[Row]:
     """Keys of the large groups, at most ``MAX_LARGE``. Counts rows: one job over the key columns."""
-    bound = max(large_rows, df.count() / MAX_LARGE)
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > bound).select(*keys).collect()
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > large_rows)
+    return sizes.orderBy(F.desc("__n")).limit(MAX_LARGE).select(*keys).collect()
 
 
 def running_totals(
@@ -62,7 +65,8 @@ def running_totals(
         attrs = attrs.dropna(subset=list(group))
     if not large:
         return _plain(df, group, order, measures, totals, peaks, attrs)
-    marks = df.sparkSession.createDataFrame(large, df.select(*sized_on).schema).withColumn("__large", F.lit(True))
+    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in sized_on)
+    marks = reference_table(df.sparkSession, [tuple(r) for r in large], schema).withColumn("__large", F.lit(True))
     return _chunked(_attach(df, F.broadcast(marks), sized_on), df.columns, group, order, measures, chunks, totals, peaks, attrs)
 
 

@@ -9,7 +9,7 @@ from orebook.functions.numbers import ratio
 from orebook.operators import rollup as R
 from orebook.operators import yields as Y
 from orebook.plans.registry import query
-from orebook.plans.shapes import SITES, SQL_LINES, SQL_ORDERS, dbl, dec, site_lines, site_orders
+from orebook.plans.shapes import PRICE, SITES, SQL_LINES, SQL_ORDERS, dbl, dec, site_lines, site_orders
 
 D2 = "decimal(18,2)"
 
@@ -26,7 +26,7 @@ select l_orderkey, l_linenumber, min(l_partkey) as l_partkey, min(cast(l_shipdat
 from lineitem group by 1, 2""")
 def agg_grain_rollup(t):
     li = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.to_date("l_shipdate").alias("ship_date"), "l_discount",
-                           dec("l_quantity").alias("quantity"), dec("l_extendedprice").alias("revenue"))
+                           dec("l_quantity").alias("quantity"), dec("l_extendedprice", PRICE).alias("revenue"))
     out = R.grain_rollup(li, ["l_orderkey", "l_linenumber"], first=["l_partkey", "ship_date"], last=["l_discount"],
                          sums=["quantity", "revenue"])
     return out.withColumns({"quantity": dbl("quantity"), "revenue": dbl("revenue")})

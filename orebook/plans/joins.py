@@ -10,6 +10,7 @@ from orebook.functions.text import clean_item
 from orebook.operators import joins as J
 from orebook.operators.timegrid import missing_keys, spine_by_site
 from orebook.plans.registry import query
+from orebook.sources.tables import reference_table
 from orebook.plans.shapes import (
     AS_OF, SITES, SQL_LIFE, SQL_LINES, SQL_ORDERS, SQL_SITES, customer_sites, dbl, dec, nation_sites, order_life, site_lines,
     site_orders,
@@ -109,7 +110,7 @@ TARGETS = [
 
 
 def targets(t):
-    return t.spark.createDataFrame(TARGETS, "site string, effective_from date, target int")
+    return reference_table(t.spark, TARGETS, "site string, effective_from date, target int")
 
 
 @query("join_lateral_top1", f"""
@@ -137,7 +138,7 @@ with {SQL_BANDS}, x as (
   from customer c left join bands b on c.c_mktsegment = b.c_mktsegment and c_acctbal >= goal)
 select c_custkey, c_mktsegment, band, payout from x where rn = 1""")
 def join_band_top1(t):
-    bands = t.spark.createDataFrame(BANDS, "c_mktsegment string, band double, goal double, payout int")
+    bands = reference_table(t.spark, BANDS, "c_mktsegment string, band double, goal double, payout int")
     out = J.top_band(t.customer, ["c_custkey"], bands, ["c_mktsegment"], "c_acctbal", "goal", "band", ["payout"])
     return out.select("c_custkey", "c_mktsegment", "band", "payout")
 

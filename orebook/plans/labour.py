@@ -11,6 +11,7 @@ from orebook.operators import productivity as P
 from orebook.plans.aggregates import month_sheet
 from orebook.plans.manufacturing import SQL_CAL, SQL_JOB, calendar, job_rows
 from orebook.plans.registry import query
+from orebook.sources.tables import reference_table
 from orebook.plans.shapes import AS_OF, SQL_LINES, SQL_ORDERS, SQL_SITES, customer_sites, dbl, dec, nation_sites, site_lines, site_orders
 
 # Hours are kept as decimals until the last step: their sums do not depend on row order.
@@ -38,7 +39,7 @@ def earned(t):
         ((op == "N") & (site == "ASIA"), ((q + 5) * d("0.0166666667", "decimal(12,10)")).cast(HRS)),
     ]
     manual = t.orders.filter("o_totalprice < 5000").select(F.col("o_orderkey").alias("job"), F.lit("A").alias("op"), F.lit("1.5").cast(HRS).alias("manual_hrs"))
-    include = t.spark.createDataFrame(INCLUDE, "site string, op string, include boolean")
+    include = reference_table(t.spark, INCLUDE, "site string, op string, include boolean")
     return JB.earned_hours(rows, "job", "op", "site", "qty", "hours", formulas, manual, include)
 
 
@@ -142,15 +143,15 @@ SQL_PAY = SQL_WORKED + f""", bands(site, year, band_pct, goal_pct, payout_usd, u
 
 
 def bands(t):
-    return t.spark.createDataFrame(BANDS, "site string, year int, band_pct double, goal_pct double, payout_usd double, uom string")
+    return reference_table(t.spark, BANDS, "site string, year int, band_pct double, goal_pct double, payout_usd double, uom string")
 
 
 def payouts(t):
     got = site_lines(t).filter("l_returnflag = 'A'").groupBy("site", F.year("promise_date").alias("year"), F.month("promise_date").alias("month")).agg(
         dbl(F.sum(dec("l_quantity"))).alias("earned_hours")
     )
-    timing = t.spark.createDataFrame(TIMING, "year int, month int, target_year int")
-    fixed = t.spark.createDataFrame(OVERRIDES, "site string, year int, month int, payout_usd double")
+    timing = reference_table(t.spark, TIMING, "year int, month int, target_year int")
+    fixed = reference_table(t.spark, OVERRIDES, "site string, year int, month int, payout_usd double")
     return P.banded_payout(worked(t), got, timing, bands(t), fixed)
 
 

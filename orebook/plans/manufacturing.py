@@ -14,8 +14,9 @@ from orebook.operators import timegrid as G
 from orebook.operators import yields as Y
 from orebook.plans.joins import SQL_RATES, monthly_rates
 from orebook.plans.registry import query
+from orebook.sources.tables import reference_table
 from orebook.plans.scalars import STAR, star_item
-from orebook.plans.shapes import AS_OF, SQL_LINES, SQL_ORDERS, SQL_SITES, customer_sites, dbl, dec, nation_sites, site_lines, site_orders, supplier_sites
+from orebook.plans.shapes import AS_OF, PRICE, SQL_LINES, SQL_ORDERS, SQL_SITES, customer_sites, dbl, dec, nation_sites, site_lines, site_orders, supplier_sites
 from orebook.plans.windows import EVENT_PRIORITY, SQL_EVENT_PRIORITY
 
 # A job is the work for one (order, line number) of the given lines.
@@ -31,7 +32,7 @@ def job_rows(t):
            .when(F.col("l_linestatus") == "O", "KGS").otherwise("FT"))
     return site_lines(t).join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("job"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
-        "l_returnflag", "l_linestatus", "l_tax", "l_discount", dec("l_quantity").alias("qty"), dec("l_extendedprice").alias("usd"),
+        "l_returnflag", "l_linestatus", "l_tax", "l_discount", dec("l_quantity").alias("qty"), dec("l_extendedprice", PRICE).alias("usd"),
         "o_totalprice", "site", "p_type", "p_retailprice", uom.alias("uom"),
     )
 
@@ -81,8 +82,8 @@ SQL_ROUTE = """names(op_code, op_name) as (values ('ECONOMY', 'Cut'), ('LARGE',
 def routes(t, key="l_orderkey"):
     rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", F.col("p_type").alias("code"))
     steps = JB.route_steps(rows, "l_orderkey", "l_linenumber", "code")
-    names = t.spark.createDataFrame(OP_NAMES, "op_code string, op_name string")
-    ranks = t.spark.createDataFrame(OP_RANKS, "op_name string, rank int")
+    names = reference_table(t.spark, OP_NAMES, "op_code string, op_name string")
+    ranks = reference_table(t.spark, OP_RANKS, "op_name string, rank int")
     return JB.route_attribution(steps, "l_orderkey", "l_linenumber", "code", names, ranks)
 
 
@@ -110,7 +111,7 @@ left join linked j on o.so_nbr = j.so_nbr and o.so_line = j.so_line and o.so_shi
 def op_order_job_link(t):
     txt = lambda c: F.col(c).cast("string")
     lines = t.lineitem.groupBy(txt("l_orderkey").alias("so_nbr"), txt("l_linenumber").alias("so_line"), F.lit("1").alias("so_shipment")).agg(
-        dbl(F.sum(dec("l_extendedprice"))).alias("sales_usd")
+        dbl(F.sum(dec("l_extendedprice", PRICE))).alias("sales_usd")
     )
     rows = job_rows(t)
     is_open, star = F.col("l_linestatus") == "O", F.lit("*")
@@ -139,9 +140,9 @@ SQL_YIELD_OUT = SQL_YIELD_IN + """, yusd as (select *, picked_usd / nullif(picke
 def yield_out(t):
     q = dec("l_quantity")
     rows = t.lineitem.groupBy(F.col("l_orderkey").alias("job")).agg(
-        dbl(F.sum(q)).alias("picked_lbs"), dbl(F.sum(dec("l_extendedprice"))).alias("picked_usd"),
+        dbl(F.sum(q)).alias("picked_lbs"), dbl(F.sum(dec("l_extendedprice", PRICE))).alias("picked_usd"),
         dbl(F.sum(F.when(F.col("l_returnflag") != "R", q))).alias("complete_lbs"),
-        dbl(F.sum((F.col("l_quantity") * (1 - F.col("l_discount"))).cast("decimal(18,4)"))).alias("engineered_lbs"),
+        dbl(F.sum((F.col("l_quantity") * (1 - F.col("l_discount"))).cast("decimal(8,4)"))).alias("engineered_lbs"),
     )
     return Y.yield_output_basis(rows)
 
@@ -167,7 +168,7 @@ SQL_BOM = """pick as (select l_orderkey as job, l_partkey as item, sum(cast(l_qu
 
 def yield_bom(t):
     li = t.lineitem.withColumns({"job": F.col("l_orderkey"), "item": F.col("l_partkey"), "q": dec("l_quantity")})
-    picked = li.filter("l_returnflag != 'A'").groupBy("job", "item").agg(F.sum("q").alias("picked_lbs"), F.sum(dec("l_extendedprice")).alias("picked_usd"))
+    picked = li.filter("l_returnflag != 'A'").groupBy("job", "item").agg(F.sum("q").alias("picked_lbs"), F.sum(dec("l_extendedprice", PRICE)).alias("picked_usd"))
     gross = F.col("l_quantity") + F.col("l_linenumber")
     bom = li.select("job", "item", "l_linenumber", "l_linestatus", F.col("l_quantity").alias("num"), gross.alias("den"))
     six = lambda df: df.withColumn("expected_yield", F.col("expected_yield").cast("decimal(18,6)"))
@@ -222,9 +223,9 @@ def final(t):
     jobs = site_orders(t).join(routes(t).select(F.col("l_orderkey").alias("o_orderkey"), "loss_op_name"), "o_orderkey", "left").select(
         F.col("o_orderkey").alias("job"), F.col("order_date").alias("complete_date"), "site", status.alias("prod_status"), "loss_op_name"
     )
-    one = jobs.join(yield_out(t), "job").withColumn("basis", F.lit("output"))
-    two = jobs.join(yield_bom(t), "job").withColumn("basis", F.lit("bom"))
-    return Y.yield_final([one, two], SINCE, AS_OF, "prod_status", ("Complete", "Closed"), "complete_date", "Drill", "loss_op_name",
+    # Both bases are at job grain: stacked first, they meet the job attributes in one join.
+    both = R.stack([yield_out(t).withColumn("basis", F.lit("output")), yield_bom(t).withColumn("basis", F.lit("bom"))])
+    return Y.yield_final([jobs.join(both, "job")], SINCE, AS_OF, "prod_status", ("Complete", "Closed"), "complete_date", "Drill", "loss_op_name",
                          calendar(t).select("calendar_date", *FISCAL))
 
 
@@ -292,7 +293,7 @@ select l_orderkey, l_linenumber, cast(sum(cast(l_extendedprice as decimal(18,2))
   string_agg(distinct 'I' || l_suppkey, ',' order by 'I' || l_suppkey) as invoice_ids from lineitem where l_returnflag <> 'N' group by 1, 2""")
 def op_invoice_rollup(t):
     rows = t.lineitem.filter("l_returnflag != 'N'").withColumns({
-        "invoiced_usd": dec("l_extendedprice"), "last_date": F.to_date("l_shipdate"), "invoice": F.concat(F.lit("I"), F.col("l_suppkey").cast("string")),
+        "invoiced_usd": dec("l_extendedprice", PRICE), "last_date": F.to_date("l_shipdate"), "invoice": F.concat(F.lit("I"), F.col("l_suppkey").cast("string")),
     })
     keys = ["l_orderkey", "l_linenumber"]
     sums = R.grain_rollup(rows, keys, last=["last_date"], sums=["invoiced_usd"]).withColumn("invoiced_usd", dbl("invoiced_usd"))
@@ -304,7 +305,7 @@ select l_orderkey, l_linenumber, min(l_partkey) as item, cast(min(l_shipdate) as
 from lineitem where lower(l_returnflag) <> 'r' and l_extendedprice < 100000000 group by 1, 2""")
 def op_order_line_rollup(t):
     rows = t.lineitem.filter((F.lower("l_returnflag") != "r") & (F.col("l_extendedprice") < 100_000_000)).select(
-        "l_orderkey", "l_linenumber", F.col("l_partkey").alias("item"), F.to_date("l_shipdate").alias("promise_date"), F.col("l_quantity").alias("ordered_qty"), dec("l_extendedprice").alias("revenue")
+        "l_orderkey", "l_linenumber", F.col("l_partkey").alias("item"), F.to_date("l_shipdate").alias("promise_date"), F.col("l_quantity").alias("ordered_qty"), dec("l_extendedprice", PRICE).alias("revenue")
     )
     out = R.grain_rollup(rows, ["l_orderkey", "l_linenumber"], first=["item", "promise_date"], last=["ordered_qty"], sums=["revenue"])
     return out.withColumn("revenue", dbl("revenue"))

@@ -21,7 +21,15 @@ HOLIDAYS = (dt.date(1996, 1, 1), dt.date(1997, 7, 4), dt.date(1998, 12, 25))
 LINE_TIES = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
 
 
-def dec(c: str | Column, type_: str = "decimal(18,2)") -> Column:
+# A quantity is at most 50 and a line's price about 105,000. With eight digits their sums stay
+# within the 18 that fit a long; PRICE is for sums by order or item, MONEY for wider ones.
+QUANTITY, PRICE, MONEY = "decimal(8,2)", "decimal(8,2)", "decimal(18,2)"
+
+
+def dec(c: str | Column, type_: str | None = None) -> Column:
+    """An exact decimal: sums do not depend on the order of rows."""
+    if type_ is None:
+        type_ = QUANTITY if isinstance(c, str) and c == "l_quantity" else MONEY
     return (F.col(c) if isinstance(c, str) else c).cast(type_)
 
 
@@ -33,6 +41,16 @@ def site_name(c: str) -> Column:
     return F.replace(F.col(c), F.lit("MIDDLE EAST"), F.lit("MIDEAST"))
 
 
+def add_site(t: Tables, df: DataFrame, nation_key: str) -> DataFrame:
+    """The site of a nation key. Joined one small table at a time to the row side, so that each
+    join is planned by the real size of its right side."""
+    return (
+        df.join(t.nation, F.col(nation_key) == F.col("n_nationkey"))
+        .join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+        .withColumn("site", site_name("r_name")).drop("n_regionkey", "r_regionkey", "r_name")
+    )
+
+
 def nation_sites(t: Tables) -> DataFrame:
     return t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(
         "n_nationkey", "n_name", site_name("r_name").alias("site")
@@ -40,21 +58,23 @@ def nation_sites(t: Tables) -> DataFrame:
 
 
 def customer_sites(t: Tables) -> DataFrame:
-    return t.customer.join(nation_sites(t), F.col("c_nationkey") == F.col("n_nationkey"))
+    return add_site(t, t.customer, "c_nationkey")
 
 
 def supplier_sites(t: Tables) -> DataFrame:
-    return t.supplier.join(nation_sites(t), F.col("s_nationkey") == F.col("n_nationkey"))
+    return add_site(t, t.supplier, "s_nationkey")
 
 
 def site_orders(t: Tables) -> DataFrame:
-    return t.orders.join(customer_sites(t), F.col("o_custkey") == F.col("c_custkey")).withColumn(
-        "order_date", F.to_date("o_orderdate")
-    )
+    """Orders with customer and site."""
+    orders = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    return add_site(t, orders, "c_nationkey").withColumn("order_date", F.to_date("o_orderdate"))
 
 
 def site_lines(t: Tables) -> DataFrame:
-    return t.lineitem.join(site_orders(t), F.col("l_orderkey") == F.col("o_orderkey")).withColumn(
+    """Lines with their order. Customers meet the orders, which are fewer, first. Both sides grow
+    with the data and neither is for broadcast; a merge join lets a hot order be split at run time."""
+    return t.lineitem.hint("merge").join(site_orders(t), F.col("l_orderkey") == F.col("o_orderkey")).withColumn(
         "promise_date", F.to_date("l_shipdate")
     )
 
@@ -62,11 +82,9 @@ def site_lines(t: Tables) -> DataFrame:
 def order_life(t: Tables) -> DataFrame:
     """Orders with site, order date and invoice date: the last shipment, none while open."""
     shipped = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.to_date(F.max("l_shipdate")).alias("last_ship"))
-    orders = t.orders.join(shipped, "o_orderkey", "left").join(
-        customer_sites(t), F.col("o_custkey") == F.col("c_custkey")
-    )
+    orders = t.orders.hint("merge").join(shipped, "o_orderkey", "left").join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
     day = F.to_date("o_orderdate")
-    return orders.select(
+    return add_site(t, orders, "c_nationkey").select(
         "o_orderkey", "site", "o_orderstatus", "o_orderpriority", "o_totalprice", day.alias("order_date"),
         F.when(F.col("o_orderstatus") != "O", F.greatest(day, F.col("last_ship"))).alias("invoice_date"),
     )

@@ -15,9 +15,10 @@ from orebook.operators import timegrid as G
 from orebook.operators.running import running_totals
 from orebook.plans.joins import BANDS, SQL_BANDS, SQL_TARGETS, TARGETS, targets
 from orebook.plans.registry import query
+from orebook.sources.tables import reference_table
 from orebook.plans.shapes import (
-    AS_OF, HOLIDAYS, SITES, SQL_LIFE, SQL_LINES, SQL_LINE_ORDER, SQL_ORDERS, SQL_SITES, customer_sites, dbl, dec, line_chunks,
-    line_order, nation_sites, order_life, site_lines, site_orders, supplier_sites,
+    AS_OF, HOLIDAYS, QUANTITY, SITES, SQL_LIFE, SQL_LINES, SQL_LINE_ORDER, SQL_ORDERS, SQL_SITES, add_site, dbl, dec, line_chunks,
+    line_order, nation_sites, order_life, site_lines, site_orders,
 )
 
 EVENT_PRIORITY = {"purchase": 1, "signup": 2, "click": 3, "view": 4}
@@ -56,7 +57,7 @@ select c_custkey, band, payout from (
   select c_custkey, cast(band as double) as band, payout, row_number() over (partition by c_custkey order by band desc) as rn
   from customer c join bands b on c.c_mktsegment = b.c_mktsegment and c_acctbal >= goal) where rn = 1""")
 def win_topband(t):
-    bands = t.spark.createDataFrame(BANDS, "c_mktsegment string, band double, goal double, payout int")
+    bands = reference_table(t.spark, BANDS, "c_mktsegment string, band double, goal double, payout int")
     out = J.top_band(t.customer, ["c_custkey"], bands, ["c_mktsegment"], "c_acctbal", "goal", "band", ["payout"])
     return out.filter("band is not null").select("c_custkey", "band", "payout")
 
@@ -85,14 +86,14 @@ KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 def stock(t):
     """Returned goods lie at the supplier's site."""
     back = t.lineitem.filter("l_returnflag = 'R'").select("l_partkey", "l_suppkey", dec("l_quantity").alias("q"))
-    sup = supplier_sites(t).select(F.col("s_suppkey").alias("l_suppkey"), "site")
-    return back.join(sup, "l_suppkey").groupBy("l_partkey", "site").agg(F.sum("q").cast("decimal(18,2)").alias("on_hand"))
+    at = add_site(t, back.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")), "s_nationkey")
+    return at.groupBy("l_partkey", "site").agg(F.sum("q").alias("on_hand"))
 
 
 def demand(t):
     """Lines not returned want their quantity; some are issued (0) or unknown (null)."""
     required = (F.when((F.col("l_returnflag") == "A") & (F.col("l_linenumber") == 7), None)
-                .when(F.col("l_discount") == 0, F.lit(0)).otherwise(dec("l_quantity"))).cast("decimal(18,2)")
+                .when(F.col("l_discount") == 0, F.lit(0)).otherwise(dec("l_quantity"))).cast(QUANTITY)
     unit = F.when(F.col("l_partkey") % 2 == 0, "FOOT").otherwise("PCS")
     lines = site_lines(t).filter("l_returnflag != 'R'")
     return lines.select(*KEYS, "l_quantity", "l_extendedprice", "site", "promise_date", "order_date", "o_orderstatus",

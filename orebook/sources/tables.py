@@ -23,6 +23,20 @@ class Tables:
         return self[name]
 
 
+def reference_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A small table from literal rows. Built from an Arrow table, it is part of the plan with its
+    exact size, which is what lets Spark decide to broadcast it; rows given one by one have no
+    known size and would be joined by a shuffle of the other side."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    columns = list(zip(*rows)) if rows else [[] for _ in arrow]
+    table = pa.table([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+    return spark.createDataFrame(table)
+
+
 def pruned(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """An extract of named columns; the scan reads only these."""
     return df.select(*columns)
