@@ -15,6 +15,7 @@ from orebook.operators.allocation import NO_MATERIAL
 from orebook.operators.joins import latest_effective
 from orebook.operators.rollup import slots
 from orebook.operators.timegrid import spine_by_site
+from orebook.session import cut
 
 
 def daily_changes(orders: DataFrame, site: str, ordered: str, invoiced: str) -> DataFrame:
@@ -40,10 +41,11 @@ def backlog_daily(orders: DataFrame, site: str, ordered: str, invoiced: str, as_
                   holidays: Sequence[dt.date] = ()) -> DataFrame:
     """New, shipped and open orders per site and day up to the day before ``as_of``.
 
-    Orders are reduced to daily changes first; open orders are a running sum over days, so
-    days are never matched with orders. All windows run over one row per site and day.
+    Orders are reduced to daily changes first, written once for their three readers; open
+    orders are a running sum over days, so days are never matched with orders. All windows
+    run over one row per site and day.
     """
-    changes = daily_changes(orders, site, ordered, invoiced)
+    changes = cut(daily_changes(orders, site, ordered, invoiced), "daily-changes")
     lo = changes.filter("new_orders > 0").agg(F.min("dt")).scalar()
     spine = spine_by_site(changes.select(site).distinct(), lo, F.lit(as_of - dt.timedelta(days=1)))
     upto = Window.partitionBy(site).orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
@@ -121,14 +123,14 @@ def active_job_review(jobs: DataFrame, keys: Sequence[str], job: str, job_site:
         .when(open_, "Open")
         .otherwise(F.concat(F.col(order_status), F.lit(" / "), F.col(order_type)))
     )
-    counts = jobs.groupBy(*keys).agg(F.countDistinct(job).alias("__jobs"))
-    flagged = jobs.join(counts, list(keys)).filter(~open_ | (F.col("__jobs") > 1))
+    several = jobs.groupBy(*keys).agg((F.min(job) != F.max(job)).alias("__several"))
+    flagged = jobs.join(several, list(keys)).filter(~open_ | F.col("__several"))
     flagged = flagged.withColumns({"__done": ~open_, "__state": state})
     summary = flagged.groupBy(*keys).agg(
         F.max(site).alias("line_site"), F.max("__state").alias("order_state"),
         reason_list(
             F.when(F.bool_or("__done"), F.lit("Terminal order with active job")),
-            F.when(F.max("__jobs") > 1, F.lit("Multiple active jobs")),
+            F.when(F.bool_or("__several"), F.lit("Multiple active jobs")),
         ).alias("reason_flagged"),
     )
     order = [F.col(c).asc_nulls_last() for c in (job, job_site, job_status)]
@@ -172,11 +174,12 @@ def waterfall(counts: DataFrame, stage: str, value: str, stages: Sequence[str])
     The window sees one row per stage.
     """
     place = F.array_position(F.array(*[F.lit(s) for s in stages]), F.col(stage)).cast("int")
-    sums = counts.filter(F.col(stage).isin(*stages)).groupBy(stage).agg(F.sum(value).alias("value"))
-    w = Window.partitionBy(F.lit(0)).orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
-    rows = sums.select(F.col(stage).alias("stage"), place.alias("position"), "value")
-    steps = rows.withColumn("start_offset", F.coalesce(F.sum("value").over(w), F.lit(0)))
-    total = rows.agg(F.sum("value").alias("value")).select(
-        F.lit("Total").alias("stage"), F.lit(0).alias("position"), "value", F.lit(0).cast("bigint").alias("start_offset")
+    total = F.grouping(stage) == 1
+    sums = counts.filter(F.col(stage).isin(*stages)).rollup(stage).agg(F.sum(value).alias("value"), total.alias("__all"))
+    rows = sums.select(
+        F.when(F.col("__all"), F.lit("Total")).otherwise(F.col(stage)).alias("stage"),
+        F.when(F.col("__all"), F.lit(0)).otherwise(place).alias("position"), "value",
+        F.when(~F.col("__all"), F.col("value")).alias("__step"),
     )
-    return steps.unionByName(total)
+    w = Window.partitionBy(F.lit(0)).orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.select("stage", "position", "value", F.coalesce(F.sum("__step").over(w), F.lit(0)).alias("start_offset"))

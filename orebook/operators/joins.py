@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orebook.session import cut
+
 
 def asof_values(keys: DataFrame, history: DataFrame, by: str, at: str, effective: str,
                 values: Sequence[str]) -> DataFrame:
@@ -37,8 +39,13 @@ def asof_values(keys: DataFrame, history: DataFrame, by: str, at: str, effective
 
 def asof_join(facts: DataFrame, history: DataFrame, by: str, at: str, effective: str,
               values: Sequence[str]) -> DataFrame:
-    """Facts with the values in force at their date; none in force leaves nulls."""
-    found = asof_values(facts, history, by, at, effective, values)
+    """Facts with the values in force at their date; none in force leaves nulls.
+
+    The found values, one row per distinct key and date, are written to the shared folder
+    first. Their size is then known, and Spark broadcasts them if they are small and shuffles
+    by key and date if they are not, with a busy key split at run time.
+    """
+    found = cut(asof_values(facts, history, by, at, effective, values), "asof")
     return facts.join(found, [by, at], "left")
 
 

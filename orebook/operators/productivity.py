@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from orebook.functions.numbers import ratio
 from orebook.operators.joins import top_band
 from orebook.operators.rollup import stack
+from orebook.session import cut
 
 
 def _dated(hours: DataFrame, completed: DataFrame, job: str) -> DataFrame:
@@ -91,7 +92,8 @@ def employee_payout(hours: DataFrame, results: DataFrame, temp: str = "TEMP") ->
 
 
 def period_results(results: DataFrame, year: int, month: int) -> DataFrame:
-    """Results of all months that share the target year of the given month."""
+    """Results of all months that share the target year of the given month; read twice, worked out once."""
+    results = cut(results, "period-results")
     target = results.filter((F.col("year") == year) & (F.col("month") == month)).agg(F.max("target_year")).scalar()
     return results.filter(F.col("target_year") == target)
 

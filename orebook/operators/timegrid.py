@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orebook.functions import dates as D
+from orebook.operators.joins import keep_top
 
 
 def date_spine(lo: Column, hi: Column) -> Column:
@@ -76,12 +77,9 @@ def split_interval_by_day(df: DataFrame, end: str, seconds: str, min_seconds: fl
 
 def latest_hour_batch(arrivals: DataFrame, received: str, keys: Sequence[str], tiebreak: Sequence[str] = ()) -> DataFrame:
     """Newest arrival per key among the arrivals of the newest hour; older hours never fill in."""
-    hour = F.date_trunc("hour", F.col(received))
-    newest = arrivals.agg(F.date_trunc("hour", F.max(received)).alias("h")).scalar()
-    batch = arrivals.filter(hour == newest)
+    newest = arrivals.agg(F.date_trunc("hour", F.max(received)).cast(arrivals.schema[received].dataType).alias("h")).scalar()
+    batch = arrivals.filter(F.col(received) >= newest)  # nothing is later than the newest hour
     order = [F.col(received).desc(), *[F.col(t) for t in tiebreak]]
-    from orebook.operators.joins import keep_top
-
     return keep_top(batch, keys, order)
 
 

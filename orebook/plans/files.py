@@ -91,8 +91,8 @@ select cast(month(o_orderdate) as integer) as month, cast(year(o_orderdate) as i
 def src_period_from_filename(t):
     path = shared_path(t.spark, "periods")
     rows = t.orders.select(F.concat(F.lit("hours_"), F.date_format("o_orderdate", "MM-yyyy"), F.lit(".csv")).alias("file"), _text("o_orderkey").alias("o_orderkey"), "o_orderpriority")
-    # One task per file name keeps the number of files at the number of months.
-    rows.repartition("file").write.partitionBy("file").option("header", True).csv(path)
+    # Rows of a month come together so that files stay few; a month too large for one task is split.
+    rows.hint("rebalance", "file").write.partitionBy("file").option("header", True).csv(path)
     out = S.read_text_csv(t.spark, f"{path}/file=*", columns=["o_orderkey", "o_orderpriority"], with_file=True)
     return out.select(*S.period_from_file(F.col("file_path")), "o_orderkey", "o_orderpriority")
 

@@ -113,7 +113,8 @@ def op_order_job_link(t):
     lines = t.lineitem.groupBy(txt("l_orderkey").alias("so_nbr"), txt("l_linenumber").alias("so_line"), F.lit("1").alias("so_shipment")).agg(
         dbl(F.sum(dec("l_extendedprice", PRICE))).alias("sales_usd")
     )
-    rows = job_rows(t)
+    # Only the route needs an attribute of the part; the rest is read from the lines alone.
+    rows = t.lineitem.withColumns({"job": F.col("l_orderkey") * 8 + F.col("l_linenumber"), "qty": dec("l_quantity")})
     is_open, star = F.col("l_linestatus") == "O", F.lit("*")
     item = F.concat(txt("l_orderkey"), star, txt("l_linenumber"), F.when(F.col("l_returnflag") == "R", "*1").otherwise("*"))
     jobs = rows.groupBy("job").agg(
@@ -123,7 +124,8 @@ def op_order_job_link(t):
     linked = JB.link_jobs(jobs, "so_nbr", "so_line", "so_shipment", "item").drop("item")
     expected = rows.filter("l_returnflag != 'N'").groupBy("job").agg(dbl(F.sum("qty")).alias("expected_qty"))
     actual = rows.filter("l_returnflag = 'R'").groupBy("job").agg(dbl(F.sum("qty")).alias("issued_qty"))
-    steps = JB.route_steps(rows, "job", "l_suppkey", "p_type").groupBy("job").agg(R.ordered_text("p_type", ["l_suppkey", "p_type"], " → ").alias("route"))
+    typed = rows.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    steps = JB.route_steps(typed, "job", "l_suppkey", "p_type").groupBy("job").agg(R.ordered_text("p_type", ["l_suppkey", "p_type"], " → ").alias("route"))
     return JB.order_job_link(lines, linked, expected, actual, steps, ["so_nbr", "so_line", "so_shipment"], "job")
 
 

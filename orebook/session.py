@@ -25,6 +25,17 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def size_for(spark: SparkSession, input_bytes: int, partition_bytes: int = 128 * 2**20) -> int:
+    """Shuffle partitions for an input: one per ``partition_bytes``, merged at run time where small.
+
+    The setting only grows; 100 TB at 128 MB give about 800,000, so pass a larger partition
+    size where executors have the memory (512 MB: 200,000).
+    """
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes // partition_bytes))
+    spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
+    return wanted
+
+
 def local_session(cores: str = "*", memory: str = "8g", partitions: int = 8) -> SparkSession:
     """A local session for tests and the benchmark; a cluster brings its own."""
     spark = (
