@@ -190,7 +190,7 @@ SQL_FEEDS = SQL_SITES + """, sitemap as (select n_name as site_name, n_nationkey
    sum(case when o_orderstatus = 'F' then cast(o_totalprice as decimal(18,2)) else 0 end) as r, sum(case when o_orderstatus = 'P' then cast(o_totalprice as decimal(18,2)) else 0 end) as o from orders group by all),
  f3 as (select 'SG' as country, 'ASIA' as site, 1998 as year, cast(month(o_orderdate) as integer) as month, cast(c_custkey as varchar) as employee_id, c_name as employee_name, '120' as dept_code,
    sum(cast(o_totalprice as decimal(18,2))) as r, sum(cast(o_totalprice as decimal(18,0))) as o from orders join customer on o_custkey = c_custkey where c_nationkey = 3 group by all),
- f4 as (select 'FR' as country, case c_nationkey when 5 then 'ENA' when 6 then 'ENT' end as site, cast(year(o_orderdate) as integer) as year, cast(month(o_orderdate) as integer) as month, cast(c_custkey as varchar) as employee_id, c_name as employee_name,
+ f4 as (select 'FR' as country, case c_nationkey when 5 then 'S5' when 6 then 'S6' end as site, cast(year(o_orderdate) as integer) as year, cast(month(o_orderdate) as integer) as month, cast(c_custkey as varchar) as employee_id, c_name as employee_name,
    case c_mktsegment when 'BUILDING' then '120' when 'MACHINERY' then '121' else '300' end as dept_code, sum(cast(o_totalprice as decimal(18,2))) as t, sum(case when o_orderstatus = 'P' then cast(o_totalprice as decimal(18,2)) else 0 end) as o
    from orders join customer on o_custkey = c_custkey where c_nationkey in (5, 6, 7) group by all),
  f5 as (select country, site, cast(year(o_orderdate) as integer) as year, cast(month(o_orderdate) as integer) as month, c_custkey || ' - ' || case when o_orderpriority = '1-URGENT' then 'PIP' else 'NONE' end as employee_id, c_name as employee_name, 'D' || c_nationkey as dept_code,
@@ -239,7 +239,7 @@ def feeds(t):
     return [
         H.pay_code_feed(raw1, sites, "decimal(18,2)"), H.temp_feed(raw2, "label", "F", "P", 1998, "US", "AMERICA", "decimal(18,2)"),
         H.wide_feed(raw3, {"number": "employee_id", "c_name": "employee_name", "dept": "dept_code"}, 1998, "SG", F.lit("ASIA")),
-        H.branch_feed(raw4, "FR", {5: "ENA", 6: "ENT"}), H.plan_feed(raw5, sites, since=1998),
+        H.branch_feed(raw4, "FR", {5: "S5", 6: "S6"}), H.plan_feed(raw5, sites, since=1998),
     ]
 
 

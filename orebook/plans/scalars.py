@@ -156,9 +156,9 @@ def fn_split_expand(t):
 
 
 @query("fn_dict_map", """
-select n_nationkey, case n_nationkey when 1 then 'ENA' when 3 then 'ENT' when 24 then 'SGP' end as site from nation""")
+select n_nationkey, case n_nationkey when 1 then 'S5' when 3 then 'S6' when 24 then 'S24' end as site from nation""")
 def fn_dict_map(t):
-    return t.nation.select("n_nationkey", X.lookup(F.col("n_nationkey"), {1: "ENA", 3: "ENT", 24: "SGP"}).alias("site"))
+    return t.nation.select("n_nationkey", X.lookup(F.col("n_nationkey"), {1: "S5", 3: "S6", 24: "S24"}).alias("site"))
 
 
 @query("fn_numeric_coerce", """
