@@ -63,9 +63,7 @@ def shared_root(spark: SparkSession) -> str:
         return root
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder all executors share")
-    root = os.path.join(tempfile.gettempdir(), "orebook-checkpoints")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return os.path.join(tempfile.gettempdir(), "orebook-checkpoints")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
