@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orebook.llm import bpe, token_counts
+from orebook.llm import bpe, decontaminate, language, near_dup, token_counts
 from orebook.session import shared_path
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -48,3 +49,46 @@ def token_counts_cached(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens",
         (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"),
     )
+
+
+@query("op5_cross_parsing_language")
+def cross_parsing_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    named = language.identify(docs.select("doc_id", "text"), docs.where(~held_out))
+    return named.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+SQL_WINDOWS = f"""
+with item as (
+  select item_id, regexp_extract_all(translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '{WORD}') as w from benchmark),
+doc as (
+  select doc_id, coalesce(regexp_extract_all(translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '{WORD}'), []) as w
+  from documents),
+item_window as (
+  select distinct item_id, least(len(w), 10) as m, array_to_string(w[s:s + least(len(w), 10) - 1], ' ') as win
+  from item, unnest(range(1, greatest(len(w) - 10, 0) + 2)) as t(s) where len(w) > 0),
+doc_window as (
+  select doc_id, m, s, array_to_string(w[s:s + m - 1], ' ') as win
+  from doc, (select distinct m from item_window), unnest(range(1, len(w) - m + 2)) as t(s)),
+found as (select doc_id, s, m, item_id from doc_window join item_window using (m, win)),
+word as (select doc_id, count(distinct p) as n from found, unnest(range(s, s + m)) as t(p) group by doc_id),
+listed as (
+  select doc_id, count(distinct item_id) as n, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids
+  from found group by doc_id)
+select doc.doc_id, len(w)::bigint as n_words, coalesce(word.n, 0)::bigint as n_hit, coalesce(listed.n, 0)::bigint as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(word.n, 0) > 0 as contaminated
+from doc left join word using (doc_id) left join listed using (doc_id)
+"""
+
+
+@query("op6_wu_manber_windows", SQL_WINDOWS)
+def wu_manber_windows(spark: SparkSession, folder: str) -> DataFrame:
+    docs, items = table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "benchmark", "item_id", "text")
+    return decontaminate.report(decontaminate.find_windows(docs, items)).drop("text")
+
+
+@query("op8_super_minhash")
+def super_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, folder, "documents", "doc_id", "text"), shingle=3, percent=85)
