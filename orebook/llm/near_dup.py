@@ -33,7 +33,8 @@ from orebook.llm.components import components
 from orebook.session import cut
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-BASE = np.uint64(0x9E3779B97F4A7C15)
+STEP = 0x9E3779B97F4A7C15
+BASE = np.uint64(STEP)
 WORDS_KEPT, ELEMENTS_AT_ONCE, SETS_KEPT = 400_000, 150_000, 64
 SIGNED = T.StructType([
     T.StructField("n_shingles", T.LongType()),
@@ -76,7 +77,7 @@ def super_minhash(sets: list[np.ndarray], size: int) -> np.ndarray:
     best = np.full(len(sets) * size, np.inf)
     order = None
     for rank in range(size):
-        draw = mix(element + BASE * np.uint64(rank + 1))
+        draw = mix(element + np.uint64(STEP * (rank + 1) % 2**64))
         swap = rank + ((mix(draw + BASE) >> np.uint64(32)) * np.uint64(size - rank) >> np.uint64(32)).astype(np.int64)
         if order is None:
             place = swap

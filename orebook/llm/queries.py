@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orebook.llm import bpe, decontaminate, language, near_dup, token_counts
+from orebook.llm import bpe, decontaminate, forest, language, near_dup, shards, token_counts
 from orebook.session import shared_path
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -92,3 +92,18 @@ def wu_manber_windows(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_super_minhash")
 def super_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, folder, "documents", "doc_id", "text"), shingle=3, percent=85)
+
+
+@query("op3_projection_forest")
+def projection_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return forest.near_vectors(table(spark, folder, "embeddings", "vec_id", "embedding"), cosine=0.9)
+
+
+SHARDS = 24
+
+
+@query("op9_histogram_shards")
+def histogram_sort_shards(spark: SparkSession, folder: str) -> DataFrame:
+    sharded = shards.histogram_shards(table(spark, folder, "documents", "doc_id", "text"), SHARDS)
+    return sharded.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
