@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orebook.llm import bpe, decontaminate, forest, language, near_dup, shards, token_counts
+from orebook.llm import bpe, decontaminate, forest, language, near_dup, pii, shards, token_counts
 from orebook.session import shared_path
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -107,3 +107,8 @@ def histogram_sort_shards(spark: SparkSession, folder: str) -> DataFrame:
     sharded = shards.histogram_shards(table(spark, folder, "documents", "doc_id", "text"), SHARDS)
     return sharded.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op7_disclosure")
+def disclosure(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.report(pii.find(table(spark, folder, "documents", "doc_id", "text"), carry=("doc_id",)))
