@@ -151,9 +151,11 @@ def _disclosing(df: DataFrame, text_col: str, rows: DataFrame, near: DataFrame)
 
 def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Counts per kind, the digest of the base spans and all spans as text."""
-    def listed(kinds):  # without the commas of empty kinds
-        return F.array_join(F.flatten(F.array(*[
-            F.transform(k, lambda s, k=k: F.concat_ws(":", F.lit(k), s.start, s.end)) for k in kinds])), ",")
+    def named(kind):
+        return F.transform(kind, lambda s: F.concat_ws(":", F.lit(kind), s.start, s.end))
+
+    def listed(kinds):
+        return F.array_join(F.flatten(F.array(*map(named, kinds))), ",")
 
     return found.select(
         F.col(f"`{id_col}`").alias(id_col), *[F.size(k).cast("long").alias(f"n_{k}") for k in PATTERNS],
