@@ -162,9 +162,34 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     bands: int = 20, rows: int = 4) -> DataFrame:
     """One row per row of ``df``: the id, ``n_shingles``, ``component_id`` (smallest id reachable) and ``kept``."""
     docs = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    signed = cut(signatures(docs, "text", shingle, bands, rows).drop("text"), "signatures")
-    classes = cut(signed.where("n_shingles > 0").groupBy("set_digest")
-                  .agg(F.min("id").alias("rep"), F.first("buckets").alias("buckets")), "classes")
+    signed = cut(signatures(docs, "text", shingle, bands, rows).drop("text").withColumn("row", F.monotonically_increasing_id()), "signatures")
+    groups = _groups(docs, signed, shingle, percent).select("set_digest", "group_id")
+    out = signed.join(groups, "set_digest", "left").select(
+        F.col("id").alias(id_col), "n_shingles",
+        F.when(F.col("n_shingles") > 0, F.col("group_id")).otherwise(F.col("id")).alias("component_id"))
+    return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+
+
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80,
+                         bands: int = 20, rows: int = 4) -> DataFrame:
+    """``df`` with one row of each group: of the smallest id, and of repeated rows the first. Wordless rows all stay."""
+    copy = df.withColumn("__row", F.monotonically_increasing_id())
+    signed = cut(signatures(copy, text_col, shingle, bands, rows), "signed")
+    short = signed.select(F.col(f"`{id_col}`").alias("id"), F.col("__row").alias("row"), "n_shingles", "set_digest", "buckets")
+    docs = signed.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    # A group without an id is a class of its own, known by its digest.
+    first = (_groups(docs, short, shingle, percent)
+             .groupBy("group_id", F.when(F.col("group_id").isNull(), F.col("set_digest")).alias("alone"))
+             .agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row")))
+    stays = first.union(short.where("n_shingles = 0").select("row"))
+    return signed.join(stays, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def _groups(docs: DataFrame, signed: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """``set_digest``, ``group_id`` (smallest id of the group) and ``first`` (its first row) of every class."""
+    classes = cut(signed.where("n_shingles > 0").groupBy("set_digest").agg(
+        F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "row")).alias("first"), F.first("buckets").alias("buckets"))
+        .withColumn("rep", F.col("first.id")), "classes")
     members = classes.where("rep is not null").select(F.explode("buckets").alias("bucket"), "rep").distinct()
     full = members.groupBy("bucket").agg(F.count("rep").alias("n")).where("n > 1")
     shared = cut(members.join(full, "bucket"), "buckets")
@@ -178,18 +203,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = cut(verify(tested, texts, shingle, percent), "verified")
     while True:
         groups = components(links, "a", "b")
-        rest = _untested(shared, groups, tested)
+        rest = cut(_untested(shared, groups, tested), "pairs")
         if rest.limit(1).count() == 0:
             break
-        rest = cut(rest, "pairs")
         more = cut(verify(rest, texts, shingle, percent), "verified")
         tested, links = tested.union(rest), links.union(more)
-    owner = (classes.join(groups, F.col("rep") == F.col("node"), "left")
-             .select("set_digest", F.coalesce("component", "rep").alias("group_id")))
-    out = signed.join(owner, "set_digest", "left").select(
-        F.col("id").alias(id_col), "n_shingles",
-        F.when(F.col("n_shingles") > 0, F.col("group_id")).otherwise(F.col("id")).alias("component_id"))
-    return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    return (classes.join(groups, F.col("rep") == F.col("node"), "left")
+            .select("set_digest", F.coalesce("component", "rep").alias("group_id"), "first"))
 
 
 def _untested(shared: DataFrame, groups: DataFrame, tested: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orebook.llm import bpe, decontaminate, forest, language, near_dup, pii, shards, token_counts
+from orebook.llm import bpe, decontaminate, forest, language, licences, near_dup, pii, shards, token_counts, url_lists
 from orebook.session import shared_path
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -112,3 +112,96 @@ def histogram_sort_shards(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_disclosure")
 def disclosure(spark: SparkSession, folder: str) -> DataFrame:
     return pii.report(pii.find(table(spark, folder, "documents", "doc_id", "text"), carry=("doc_id",)))
+
+
+def _sql_known() -> str:
+    return ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, _, text in licences.KNOWN)
+
+
+def _sql_folded(text: str) -> str:
+    out = f"regexp_replace(lower(coalesce({text}, '')), '{licences.COPYRIGHT}', '', 'g')"
+    for found, used in licences.SPELLINGS:
+        out = f"regexp_replace({out}, '{found}', '{used}', 'g')"
+    return rf"regexp_replace({out}, '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')"
+
+
+def _sql_canonical(text: str) -> str:
+    return rf"trim(regexp_replace({text}, '\s+', ' ', 'g'))"
+
+
+SQL_LICENCES = rf"""
+with known as (
+  select distinct licence, sha256({_sql_canonical(_sql_folded('t'))}) as digest from (values {_sql_known()}) as k(licence, t)),
+form as (select doc_id, {_sql_folded('text')} as f from documents),
+part as (
+  select distinct doc_id, unnest(list_concat(string_split_regex(f, '\n *\n'), string_split_regex(f, '\n'))) as u from form),
+unit as (
+  select doc_id, true as whole, sha256({_sql_canonical('f')}) as digest from form
+  union all select doc_id, false, sha256({_sql_canonical('u')}) from part),
+hit as (select doc_id, whole, licence from unit join known using (digest))
+select doc_id, coalesce(string_agg(distinct licence, ',' order by licence), '') as licences,
+  coalesce(count_if(not whole), 0)::bigint as n_matches, coalesce(bool_or(whole), false) as whole_text
+from documents left join hit using (doc_id) group by doc_id
+"""
+
+
+@query("op1_licence_digests", SQL_LICENCES)
+def licence_digests(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.scan(table(spark, folder, "documents", "doc_id", "text"), carry=("doc_id",))
+
+
+#: The tables have no times of fetch and no lists. A page is fetched on the day of 2024 that its id gives; a host is
+#: added to and removed from lists on days that its MD5 gives; known advertising hosts are listed outright.
+FIXED_ENTRIES = (
+    ("ads", "block", "ads-track.example.com", "2024-02-01", "add"),
+    ("ads", "block", "ads-track.example.com", "2024-08-01", "remove"),
+    ("ads", "block", "ads-track.example.com", "2024-09-15", "add"),
+    ("partners", "allow", "example.org", "2024-11-01", "add"),
+)
+HEX = "(conv(substring(md5(host), {0}, 3), 16, 10))"
+
+
+@query("op4_temporal_url_lists", """
+with page as (
+  select page_id, url, date '2024-01-01' + (page_id % 366)::int as day,
+    rtrim(nullif(regexp_extract(lower(url), '^\\s*[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), ''), '.') as host,
+    regexp_replace(regexp_extract(url, '^\\s*[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '') as path from pages),
+hosts as (select distinct host, ('0x' || substring(md5(host), 1, 3))::int as a, ('0x' || substring(md5(host), 4, 3))::int as b from page where host is not null),
+entry as (
+  select * from (values ('ads', 'block', 'ads-track.example.com', date '2024-02-01', 'add'), ('ads', 'block', 'ads-track.example.com', date '2024-08-01', 'remove'),
+    ('ads', 'block', 'ads-track.example.com', date '2024-09-15', 'add'), ('partners', 'allow', 'example.org', date '2024-11-01', 'add')) as e(list_name, effect, key, day, action)
+  union all select 'hosts', 'block', host, date '2024-01-01' + a % 300, 'add' from hosts where a % 4 = 0
+  union all select 'hosts', 'block', host, date '2024-01-01' + a % 300 + 1 + b % 120, 'remove' from hosts where a % 4 = 0 and b % 2 = 0
+  union all select 'pages', 'block', host || path, day - 1, 'add' from page where page_id % 50 = 7
+  union all select 'pages', 'block', host || path, day, 'remove' from page where page_id % 100 = 7),
+hit as (
+  select distinct page_id, e.list_name, e.effect, s.day as since
+  from page p join entry s on s.action = 'add' and s.day <= p.day
+    and (p.host = s.key or p.host like '%.' || s.key or (s.key like '%/%' and p.host || p.path = s.key))
+  join entry e on e.list_name = s.list_name and e.effect = s.effect and e.key = s.key and e.day = s.day and e.action = 'add'
+  where not exists (select 1 from entry r where r.list_name = s.list_name and r.effect = s.effect and r.key = s.key and r.action = 'remove'
+      and r.day > s.day and r.day <= p.day
+      and not exists (select 1 from entry g where g.list_name = r.list_name and g.effect = r.effect and g.key = r.key and g.day = r.day and g.action = 'add')))
+select p.page_id, p.host, p.day as fetched, coalesce(string_agg(distinct list_name, ',' order by list_name), '') as lists,
+  coalesce(bool_or(effect = 'block'), false) and not coalesce(bool_or(effect = 'allow'), false) as blocked, min(since) as listed_since
+from page p left join hit using (page_id) group by p.page_id, p.host, p.day
+""")
+def temporal_url_lists(spark: SparkSession, folder: str) -> DataFrame:
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(366)).cast("int"))
+    pages = table(spark, folder, "pages", "page_id", "url").withColumn("fetched", day)
+    named = pages.withColumn("host", url_lists.host(F.col("url"))).withColumn("key", url_lists.address(F.col("url")))
+    hosts = named.where("host is not null").select("host").distinct().select(
+        "host", F.expr(f"{HEX.format(1)}").cast("int").alias("a"), F.expr(f"{HEX.format(4)}").cast("int").alias("b"))
+    added = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("a") % 300).cast("int"))
+
+    def entries(df, name, key, day, action):
+        return df.select(F.lit(name).alias("list_name"), F.lit("block").alias("effect"), F.col(key).alias("key"), day.alias("day"), F.lit(action).alias("action"))
+
+    fixed = spark.createDataFrame(FIXED_ENTRIES, "list_name string, effect string, key string, day string, action string")
+    history = (
+        fixed.withColumn("day", F.col("day").cast("date"))
+        .union(entries(hosts.where("a % 4 = 0"), "hosts", "host", added, "add"))
+        .union(entries(hosts.where("a % 4 = 0 and b % 2 = 0"), "hosts", "host", F.date_add(added, (F.col("b") % 120 + 1).cast("int")), "remove"))
+        .union(entries(named.where("page_id % 50 = 7"), "pages", "key", F.date_sub("fetched", 1), "add"))
+        .union(entries(named.where("page_id % 100 = 7"), "pages", "key", F.col("fetched"), "remove")))
+    return url_lists.evaluate(pages, history).select("page_id", "host", "fetched", "lists", "blocked", "listed_since")
