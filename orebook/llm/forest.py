@@ -8,7 +8,7 @@ on a bounded sample; directions come from the seed and the node's number, so a t
 routed through all trees and compared, in double precision, with the others of their leaves.
 
 Equal vectors are one class with a multiplicity. A leaf larger than ``block`` is cut into blocks and compared block by
-block, so leaf size is no limit. No pair leaves a task: a pair counts in the first tree whose leaves it shares, each
+block, so leaf size is no limit. No pair leaves a task: a pair counts in the first leaf that it shares, each
 task returns per vector its number of links and its smallest linked vector, and components are found from these.
 
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of different
@@ -168,12 +168,12 @@ def _routed(classes: DataFrame, forest, kind: str, cosine: float, trees: int) ->
     return add_columns(classes, ["vec"], T.StructType([T.StructField("leaves", T.ArrayType(T.LongType()))]), make)
 
 
-def _shared(a: list[list[int]], b: list[list[int]], tree: int) -> np.ndarray:
-    """Which pairs share a leaf of an earlier tree than ``tree``."""
+def _shared(a: list[list[int]], b: list[list[int]], leaf: int) -> np.ndarray:
+    """Which pairs share a leaf with a smaller number than ``leaf``."""
     number: dict[int, int] = {}
 
     def marks(rows):
-        at = [(i, number.setdefault(x, len(number))) for i, row in enumerate(rows) for x in row if x >> 32 < tree]
+        at = [(i, number.setdefault(x, len(number))) for i, row in enumerate(rows) for x in row if x < leaf]
         return at
 
     ma, mb = marks(a), marks(b)
@@ -198,7 +198,7 @@ def _compare(kind: str, cosine: float):
             np.fill_diagonal(near, False)
         rows, cols = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
         near, left, right = near[np.ix_(rows, cols)], left[rows], right[cols]
-        near &= ~_shared([leaves[k] for k in left], [leaves[k] for k in right], leaf >> 32)
+        near &= ~_shared([leaves[k] for k in left], [leaves[k] for k in right], leaf)
         links = np.zeros(len(own), np.int64)
         links[left] += near @ n[right]
         if i != j:
