@@ -1,7 +1,7 @@
 """Connected components of a graph given as a DataFrame of links.
 
-Union-find inside each record batch turns the links into small stars. Then, until only stars to the smallest node
-are left, every node hands its larger neighbours, and next its smaller ones, to the smallest node it knows. Each
+Union-find inside each task, over at most ``LOCAL_LINKS`` links, turns the links into stars. Then, until only stars to
+the smallest node are left, every node hands its larger neighbours, and next its smaller ones, to the smallest node it knows. Each
 step is a combinable minimum and a join, so a node with very many links is never gathered in one task, and each
 round is written to the shared folder. Depth halves at least from round to round.
 
@@ -10,12 +10,16 @@ Links with a null end are ignored, a link to itself and repeated links change no
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orebook.session import cut
 
+#: Links that one task joins by union-find.
+LOCAL_LINKS = 250_000
+
 
 def forest(pairs) -> dict:
     """Union-find over pairs: each node that is not its group's smallest, with that smallest node."""
@@ -35,11 +39,23 @@ def forest(pairs) -> dict:
 
 
 def _local(batches):
-    for batch in batches:
-        found = forest(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(found), type=batch.schema.field(0).type), pa.array(list(found.values()), type=batch.schema.field(0).type)],
-            names=["u", "v"])
+    held = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+    if held is not None:
+        found = forest(zip(held.column(0).to_pylist(), held.column(1).to_pylist()))
+        kind = held.schema.field(0).type
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), type=kind), pa.array(list(found.values()), type=kind)], names=["u", "v"])
+
+
+def least_linked(near: np.ndarray, left: np.ndarray, right: np.ndarray, count: int) -> np.ndarray:
+    """The smallest index reachable from each of ``count`` ones, where ``near[i, j]`` links ``left[i]`` and ``right[j]``."""
+    least = np.arange(count)
+    while near.size:
+        before = least.copy()
+        np.minimum.at(least, left, np.where(near, least[right][None, :], count).min(axis=1))
+        np.minimum.at(least, right, np.where(near, least[left][:, None], count).min(axis=0))
+        if (before == least).all():
+            break
+    return least
 
 
 def _to_least(edges: DataFrame, least: DataFrame) -> DataFrame:
@@ -67,7 +83,9 @@ def _stars(edges: DataFrame) -> bool:
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """``node``, ``component`` (smallest node reachable) for every node that is not its component's smallest."""
     pairs = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
-    edges = cut(pairs.mapInArrow(_local, pairs.schema).distinct(), "links")
-    while not _stars(edges):
+    pairs = cut(pairs.distinct(), "links")
+    tasks = max(1, -(-pairs.count() // LOCAL_LINKS))
+    edges = cut(pairs.coalesce(tasks).mapInArrow(_local, pairs.schema), "links")
+    while tasks > 1 and not _stars(edges):
         edges = cut(_round(edges), "links")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

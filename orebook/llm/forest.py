@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orebook.llm.batches import add_columns
-from orebook.llm.components import components
+from orebook.llm.components import components, least_linked
 from orebook.session import cut
 
 #: Vectors (and bytes) of the sample that thresholds are fitted on, trees, aimed leaf size, rows of a block.
@@ -205,19 +205,10 @@ def _compare(kind: str, cosine: float):
             links[right] += near.T @ n[left]
         some = np.flatnonzero(links)
         name = np.array(digest, object)
-        order = np.argsort(np.argsort(name))  # ranks of the digests
-        least = order.copy()
-        while True:  # the smallest member reachable within this block
-            before = least.copy()
-            if near.size:
-                low = np.where(near, least[right][None, :], len(own)).min(axis=1)
-                least[left] = np.minimum(least[left], low)
-                low = np.where(near, least[left][:, None], len(own)).min(axis=0)
-                least[right] = np.minimum(least[right], low)
-            if (before == least).all():
-                break
-        by_rank = np.sort(name)
+        by_rank = np.argsort(name)
+        rank = np.argsort(by_rank)
+        least = name[by_rank[least_linked(near, rank[left], rank[right], len(name))[rank]]]
         return pa.table({"digest": pa.array(name[some], pa.string()), "links": pa.array(links[some], pa.int64()),
-                         "least": pa.array(by_rank[least[some]], pa.string())})
+                         "least": pa.array(least[some], pa.string())})
 
     return run

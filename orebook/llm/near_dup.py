@@ -7,9 +7,9 @@ estimate; a document stops as soon as no later rank can lower any position. Band
 
 Equal sets are one class from the start, so copies cost one row. In each bucket the members are compared with one
 pivot, the member that shares most buckets with others (of a group of copies, mostly the original); every candidate
-is verified on the full sets, and linked documents are grouped. Members of a bucket that are then in different groups
-are compared with one another, until no bucket holds an untested pair of different groups. So no group is expanded
-into all its pairs, no candidate is dropped, and two documents of one bucket end in one group if, and only if, links
+is verified on the full sets, and linked documents are grouped. Buckets whose members are then in different groups
+are compared whole, block by block, inside tasks that return only which members belong together. So no pair leaves a
+task, no candidate is dropped, and two documents of one bucket end in one group if, and only if, links
 lead from one to the other. With 20 bands of 4 a pair at 0.85 is missed by all bands once in 2.5 million.
 
 Rows without words, null text included, are linked with nothing. Rows that share an id count as one document (their
@@ -29,13 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orebook.llm.batches import Memo, add_columns
-from orebook.llm.components import components
+from orebook.llm.components import components, least_linked
 from orebook.session import cut
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 STEP = 0x9E3779B97F4A7C15
 BASE = np.uint64(STEP)
-WORDS_KEPT, ELEMENTS_AT_ONCE, SETS_KEPT = 400_000, 150_000, 64
+WORDS_KEPT, ELEMENTS_AT_ONCE, SETS_KEPT, BLOCK, COLUMNS_AT_ONCE = 400_000, 150_000, 64, 512, 4096
 SIGNED = T.StructType([
     T.StructField("n_shingles", T.LongType()),
     T.StructField("set_digest", T.BinaryType()),
@@ -201,24 +201,70 @@ def _groups(docs: DataFrame, signed: DataFrame, shingle: int, percent: int) -> D
     needed = shared.select(F.col("rep").alias("id")).distinct()
     texts = cut(docs.join(needed, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
     links = cut(verify(tested, texts, shingle, percent), "verified")
-    while True:
-        groups = components(links, "a", "b")
-        rest = cut(_untested(shared, groups, tested), "pairs")
-        if rest.limit(1).count() == 0:
-            break
-        more = cut(verify(rest, texts, shingle, percent), "verified")
-        tested, links = tested.union(rest), links.union(more)
+    groups = components(links, "a", "b")
+    rest = _compare_in_blocks(_mixed(shared, groups), texts, shingle, percent)
+    groups = components(links.union(cut(rest, "verified")), "a", "b")
     return (classes.join(groups, F.col("rep") == F.col("node"), "left")
             .select("set_digest", F.coalesce("component", "rep").alias("group_id"), "first"))
 
 
-def _untested(shared: DataFrame, groups: DataFrame, tested: DataFrame) -> DataFrame:
-    """Pairs of one bucket that are in different groups and have not been compared."""
-    named = (shared.join(groups, F.col("rep") == F.col("node"), "left")
+def _mixed(shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """Buckets of three or more whose members are in different groups; of buckets with equal members one is taken."""
+    named = (shared.where("n > 2").join(groups, F.col("rep") == F.col("node"), "left")
              .select("bucket", "rep", F.coalesce("component", "rep").alias("g")))
-    mixed = named.groupBy("bucket").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("bucket")
-    x = named.join(mixed, "bucket")
-    y = x.select("bucket", F.col("rep").alias("b"), F.col("g").alias("gb"))
-    pairs = x.join(y, "bucket").where("rep < b and g <> gb").select(F.col("rep").alias("a"), "b").distinct()
-    done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return pairs.join(done, ["a", "b"], "left_anti")
+    members = F.struct(F.count("rep"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")), F.sum(F.hash("rep").cast("long")))
+    mixed = (named.groupBy("bucket").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("rep").alias("size"), members.alias("same"))
+             .where("lo < hi").groupBy("same").agg(F.min("bucket").alias("bucket"), F.first("size").alias("size")))
+    return cut(named.join(mixed, "bucket").select("bucket", "size", F.col("rep").alias("id")), "mixed")
+
+
+def _compare_in_blocks(mixed: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) that join what is linked within each bucket; large buckets are compared block by block.
+
+    Intersections of all pairs of a block are one matrix product over the shingles that occur in it more than once.
+    """
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    parts = (mixed.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id"))
+
+    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        shingles = Shingles(shingle)
+        i, j = key[1].as_py(), key[2].as_py()
+        ids, own = np.array(group.column("id").to_pylist(), object), group.column("own").to_numpy()
+        by_id = np.argsort(ids)
+        ids, own = ids[by_id], own[by_id]
+        text = group.column("text")
+        sets = [shingles.of(text[int(k)].as_py()) for k in by_id]
+        left = np.flatnonzero(own == i)
+        right = left if i == j else np.flatnonzero(own == j)
+        sizes = np.array([len(s) for s in sets])
+        both = _intersections(sets)[np.ix_(left, right)]
+        near = 100 * both >= percent * (sizes[left][:, None] + sizes[right][None, :] - both)
+        least = least_linked(near, left, right, len(ids))
+        some = np.flatnonzero(least != np.arange(len(ids)))
+        kind = group.schema.field("id").type
+        return pa.table({"a": pa.array(ids[least[some]], kind), "b": pa.array(ids[some], kind)})
+
+    kind = texts.schema["id"].dataType.simpleString()
+    return (parts.join(texts, "id").groupBy("bucket", "i", "j").applyInArrow(run, f"a {kind}, b {kind}").distinct())
+
+
+def _intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = np.flatnonzero(times > 1)
+    place = np.full(len(times), -1)
+    place[often] = np.arange(len(often))
+    at = place[number]
+    owner, at = owner[at >= 0], at[at >= 0]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    out = np.zeros((len(sets), len(sets)))
+    for low in range(0, len(often), COLUMNS_AT_ONCE):
+        some = slice(*np.searchsorted(at, [low, low + COLUMNS_AT_ONCE]))
+        marks = np.zeros((len(sets), COLUMNS_AT_ONCE), np.float32)
+        marks[owner[some], at[some] - low] = 1
+        out += marks @ marks.T
+    return out.astype(np.int64)
