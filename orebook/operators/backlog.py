@@ -139,11 +139,11 @@ def active_job_review(jobs: DataFrame, keys: Sequence[str], job: str, job_site:
 
 
 def trend_last_days(daily: DataFrame, site: str, sites: Sequence[str], days: int) -> DataFrame:
-    """Totals over the listed sites for the last ``days`` days present."""
+    """Totals over the listed sites for the last ``days`` days present, oldest first."""
     sums = daily.filter(F.col(site).isin(*sites)).groupBy("dt").agg(
         *[F.sum(c).alias(c) for c in ("open_orders", "new_orders", "shipped_orders")]
     )
-    return sums.orderBy(F.desc("dt")).limit(days)
+    return sums.orderBy(F.desc("dt")).limit(days).orderBy("dt")
 
 
 def activity_matrix(daily: DataFrame, site: str, sites: Sequence[str], days: int = 7) -> DataFrame:

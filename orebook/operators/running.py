@@ -10,7 +10,8 @@ equals the plain window:
 * the join that brings the offsets back uses the partitioning the window already made.
 
 Whether there are such groups is asked first, by counting. Without any, the plain window is
-used: one shuffle.
+used: one shuffle. Both ways give the same rows in the same types. The list of large groups
+is a table of its own: it has no limit, is never collected, and Spark plans its join by size.
 """
 
 from __future__ import annotations
@@ -18,23 +19,20 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orebook.sources.tables import reference_table
+from orebook.session import cut
 
 _KEY = "__chunk"
-# A group is large when it holds more than LARGE_ROWS rows and is among the MAX_LARGE biggest.
-# Their list is small whatever the data, and a group beyond it holds less than 1/MAX_LARGE
-# of all rows.
+# A group is large when it holds more than LARGE_ROWS rows.
 LARGE_ROWS = 1_000_000
-MAX_LARGE = 10_000
 
 
-def large_groups(df: DataFrame, keys: Sequence[str], large_rows: int = LARGE_ROWS) -> list[Row]:
-    """Keys of the large groups, at most ``MAX_LARGE``. Counts rows: one job over the key columns."""
+def large_groups(df: DataFrame, keys: Sequence[str], large_rows: int = LARGE_ROWS) -> DataFrame:
+    """Keys of the large groups. Counts rows: one job over the key columns, written once."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > large_rows)
-    return sizes.orderBy(F.desc("__n")).limit(MAX_LARGE).select(*keys).collect()
+    return cut(sizes.select(*keys), "large-groups")
 
 
 def running_totals(
@@ -63,11 +61,13 @@ def running_totals(
     large = large_groups(df if sized_by is None else sized_by, sized_on, large_rows)
     if attrs is not None:
         attrs = attrs.dropna(subset=list(group))
-    if not large:
-        return _plain(df, group, order, measures, totals, peaks, attrs)
-    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in sized_on)
-    marks = reference_table(df.sparkSession, [tuple(r) for r in large], schema).withColumn("__large", F.lit(True))
-    return _chunked(_attach(df, F.broadcast(marks), sized_on), df.columns, group, order, measures, chunks, totals, peaks, attrs)
+    plain = _plain(df, group, order, measures, totals, peaks, attrs)
+    if large.isEmpty():
+        return plain
+    marked = _attach(df, large.withColumn("__large", F.lit(True)), sized_on)
+    out = _chunked(marked, df.columns, group, order, measures, chunks, totals, peaks, attrs)
+    # Sums of sums are wider decimals; the totals are the same, so the types are as well.
+    return out.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in plain.schema.fields])
 
 
 def _plain(df, group, order, measures, totals, peaks, attrs) -> DataFrame:

@@ -42,17 +42,18 @@ def calendar_445(base: DataFrame) -> DataFrame:
 
 def fiscal_445(days: DataFrame, day: str = "calendar_date") -> DataFrame:
     """The 4-4-5 fields of each day by rule: ISO weeks, months of 4, 4 and 5 weeks per quarter.
-    A 53rd week counts as the first week of month 1 of its own year, as the given calendar has it."""
+    A 53rd week counts as week 1 of month 1 of the next year, so that month has 35 days. A company's own calendar
+    may follow no rule; where there is one, it is given to :func:`calendar_445` in place of this."""
     d = F.col(day)
-    week = F.weekofyear(d)
-    in_year = F.when(week == 53, 1).otherwise(week)
+    extra = F.weekofyear(d) == 53
+    in_year = F.when(extra, 1).otherwise(F.weekofyear(d))
     quarter = F.floor((in_year - 1) / 13).cast("int")
     in_quarter = in_year - quarter * 13
     nth = F.when(in_quarter <= 4, 1).when(in_quarter <= 8, 2).otherwise(3)
     month = quarter * 3 + nth
     return days.select(
-        d.alias("calendar_date"), F.extract(F.lit("YEAROFWEEK"), d).alias("fiscal_year"), month.alias("fiscal_month"),
-        week.alias("fiscal_week"), (in_quarter - (nth - 1) * 4).alias("week_of_month"),
+        d.alias("calendar_date"), (F.extract(F.lit("YEAROFWEEK"), d) + extra.cast("int")).alias("fiscal_year"), month.alias("fiscal_month"),
+        in_year.alias("fiscal_week"), (in_quarter - (nth - 1) * 4).alias("week_of_month"),
         F.element_at(F.array(*[F.lit(x) for x in D.MONTHS]), month).alias("month_name"),
     )
 

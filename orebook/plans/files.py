@@ -178,7 +178,7 @@ def sink_truncate_evolve(t):
     W.load(part("F", "o_orderkey", "o_orderpriority"), path, "replace")
     W.load(part("P", "o_orderkey", "o_orderpriority", F.col("o_totalprice").alias("extra")), path, "truncate")
     W.load(part("O", "o_orderkey"), path, "append")
-    return t.spark.read.parquet(path)
+    return W.read_loaded(t.spark, path)
 
 
 @query("sink_view_or_table", """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from orebook.functions.dates import MONTHS, MONTH_NUMBER
@@ -95,13 +97,13 @@ def op_earned_hours_detail(t):
 # Worked hours: orders as time sheets, the price as hours, by customer and month.
 SQL_WORKED = """ts as (select site as country, site, cast(year(order_date) as integer) as year, cast(month(order_date) as integer) as month, cast(c_custkey as varchar) as employee_id,
    case when c_mktsegment = 'MACHINERY' then 'TEMP' else c_name end as employee_name, c_mktsegment as dept_code,
-   sum(case when o_orderpriority <> '1-URGENT' then cast(o_totalprice / 1000 as decimal(18,2)) else 0 end) as regular_hrs, sum(case when o_orderpriority = '1-URGENT' then cast(o_totalprice / 1000 as decimal(18,2)) else 0 end) as overtime_hrs,
-   sum(cast(o_totalprice / 1000 as decimal(18,2))) as total_hrs from so group by all),
+   sum(case when o_orderpriority <> '1-URGENT' then cast(o_totalprice as decimal(18,2)) * cast(0.001 as decimal(4,3)) else 0 end) as regular_hrs, sum(case when o_orderpriority = '1-URGENT' then cast(o_totalprice as decimal(18,2)) * cast(0.001 as decimal(4,3)) else 0 end) as overtime_hrs,
+   sum(cast(o_totalprice as decimal(18,2)) * cast(0.001 as decimal(4,3))) as total_hrs from so group by all),
  ws as (select country, site, year, month, sum(regular_hrs) as worked_regular_hrs, sum(overtime_hrs) as worked_overtime_hrs, sum(total_hrs) as worked_total_hrs from ts group by all)"""
 
 
 def timesheets(t):
-    h = (F.col("o_totalprice") / 1000).cast("decimal(18,2)")
+    h = dec("o_totalprice") * F.lit(Decimal("0.001"))
     urgent = F.col("o_orderpriority") == "1-URGENT"
     name = F.when(F.col("c_mktsegment") == "MACHINERY", H.TEMP_NAME).otherwise(F.col("c_name"))
     return site_orders(t).groupBy(
@@ -136,10 +138,14 @@ SQL_PAY = SQL_WORKED + f""", bands(site, year, band_pct, goal_pct, payout_usd, u
  earn as (select site, cast(year(promise_date) as integer) as year, cast(month(promise_date) as integer) as month, cast(sum(cast(l_quantity as decimal(18,2))) as double) as earned_hours from ln where l_returnflag = 'A' group by all),
  prod as (select w.country, w.site, w.year, w.month, {", ".join(f"cast({c} as double) as {c}" for c in WORKED)}, coalesce(earned_hours, 0) as earned_hours, coalesce(earned_hours, 0) / nullif(cast(worked_total_hrs as double), 0) as productivity_pct, target_year
    from ws w left join earn e on w.site = e.site and w.year = e.year and w.month = e.month left join timing t on w.year = t.year and w.month = t.month),
- rk as (select p.*, cast(band_pct as double) as band_pct, cast(payout_usd as double) as band_payout, uom, row_number() over (partition by p.site, p.year, p.month order by band_pct desc nulls first) as rn
-   from prod p left join bands b on p.site = b.site and p.target_year = b.year and productivity_pct >= goal_pct),
- pay as (select country, r.site, r.year, r.month, target_year, {", ".join(WORKED)}, earned_hours, productivity_pct, r.band_pct, coalesce(cast(o.payout_usd as double), band_payout) as payout_usd, r.uom, cast(f.goal_pct as double) as target_pct
-   from rk r left join bands f on f.band_pct = 1 and f.site = r.site and f.year = r.target_year left join over_ o on o.site = r.site and o.year = r.year and o.month = r.month where rn = 1)"""
+ pay as (
+   select p.* exclude (target_year), target_year,
+     (select cast(max(b.band_pct) as double) from bands b where b.site = p.site and b.year = p.target_year and b.goal_pct <= p.productivity_pct) as band_pct,
+     coalesce((select cast(o.payout_usd as double) from over_ o where o.site = p.site and o.year = p.year and o.month = p.month),
+       (select cast(arg_max(b.payout_usd, b.band_pct) as double) from bands b where b.site = p.site and b.year = p.target_year and b.goal_pct <= p.productivity_pct)) as payout_usd,
+     (select arg_max(b.uom, b.band_pct) from bands b where b.site = p.site and b.year = p.target_year and b.goal_pct <= p.productivity_pct) as uom,
+     (select cast(b.goal_pct as double) from bands b where b.site = p.site and b.year = p.target_year and b.band_pct = 1) as target_pct
+   from prod p)"""
 
 
 def bands(t):

@@ -70,13 +70,12 @@ def op_usage_expected(t):
 
 OP_NAMES = [("ECONOMY", "Cut"), ("LARGE", "Saw"), ("MEDIUM", "Drill"), ("PROMO", "Pack"), ("SMALL", "Inspect")]
 OP_RANKS = [("Cut", 3), ("Saw", 1), ("Drill", 2)]
-SQL_ROUTE = """names(op_code, op_name) as (values ('ECONOMY', 'Cut'), ('LARGE', 'Saw'), ('MEDIUM', 'Drill'), ('PROMO', 'Pack'), ('SMALL', 'Inspect')),
- ranks(op_name, rank) as (values ('Cut', 3), ('Saw', 1), ('Drill', 2)),
- steps as (select distinct l_orderkey, l_linenumber, p_type as code from lineitem join part on l_partkey = p_partkey),
- enr as (select s.*, n.op_name, r.rank from steps s left join names n on s.code = n.op_code left join ranks r on n.op_name = r.op_name),
- low as (select l_orderkey, min(rank) as loss_rank from enr group by 1),
- route as (select e.l_orderkey, string_agg(code, ' → ' order by l_linenumber, code) as op_codes, string_agg(e.op_name, ' → ' order by l_linenumber, code) as op_names,
-   max(code) filter (where rank = loss_rank) as loss_op_code, max(e.op_name) filter (where rank = loss_rank) as loss_op_name, loss_rank from enr e join low l on e.l_orderkey = l.l_orderkey group by e.l_orderkey, loss_rank)"""
+SQL_ROUTE = """route as (
+   select l_orderkey, string_agg(code, ' → ' order by l_linenumber, code) as op_codes, string_agg(op, ' → ' order by l_linenumber, code) as op_names,
+     arg_min(code, nr) as loss_op_code, arg_min(op, nr) as loss_op_name, min(nr) as loss_rank
+   from (select distinct l_orderkey, l_linenumber, p_type as code, map {'ECONOMY': 'Cut', 'LARGE': 'Saw', 'MEDIUM': 'Drill', 'PROMO': 'Pack', 'SMALL': 'Inspect'}[p_type] as op,
+       map {'ECONOMY': 3, 'LARGE': 1, 'MEDIUM': 2}[p_type] as nr
+     from lineitem join part on l_partkey = p_partkey) group by l_orderkey)"""
 
 
 def routes(t, key="l_orderkey"):
@@ -100,10 +99,12 @@ def op_route_steps(t):
 @query("op_order_job_link", f"""
 with {SQL_LINES}, {SQL_JOB},
  order_lines as (select cast(l_orderkey as varchar) as so_nbr, cast(l_linenumber as varchar) as so_line, '1' as so_shipment, cast(sum(cast(l_extendedprice as decimal(18,2))) as double) as sales_usd from lineitem group by 1, 2),
- raw_jobs as (select job, min(case when l_linestatus = 'O' then cast(l_orderkey as varchar) end) as o, min(case when l_linestatus = 'O' then cast(l_linenumber as varchar) end) as n,
-    min(case when l_linestatus = 'O' then '1' end) as s, min(l_orderkey || '*' || l_linenumber || case when l_returnflag = 'R' then '*1' else '*' end) as item from job_rows group by 1),
- linked as (select job, case when o is not null then 'default' when split_part(item, '*', 3) <> '' then 'assembly' end as link_source, coalesce(o, case when split_part(item, '*', 3) <> '' then split_part(item, '*', 1) end) as so_nbr,
-    coalesce(n, case when split_part(item, '*', 3) <> '' then split_part(item, '*', 2) end) as so_line, coalesce(s, case when split_part(item, '*', 3) <> '' then split_part(item, '*', 3) end) as so_shipment from raw_jobs),
+ linked as (
+   select job, case when own > 0 then 'default' when made[3] <> '' then 'assembly' end as link_source, case when own > 0 then nbr when made[3] <> '' then made[1] end as so_nbr,
+     case when own > 0 then line when made[3] <> '' then made[2] end as so_line, case when own > 0 then '1' when made[3] <> '' then made[3] end as so_shipment
+   from (select job, count_if(l_linestatus = 'O') as own, min(cast(l_orderkey as varchar)) filter (where l_linestatus = 'O') as nbr,
+       min(cast(l_linenumber as varchar)) filter (where l_linestatus = 'O') as line,
+       string_split(min(l_orderkey || '*' || l_linenumber || '*' || if(l_returnflag = 'R', '1', '')), '*') as made from job_rows group by job)),
  expected as (select job, cast(sum(qty) as double) as expected_qty from job_rows where l_returnflag <> 'N' group by 1), actual as (select job, cast(sum(qty) as double) as issued_qty from job_rows where l_returnflag = 'R' group by 1),
  r as (select job, string_agg(p_type, ' → ' order by l_suppkey, p_type) as route from (select distinct job, l_suppkey, p_type from job_rows) group by 1)
 select o.so_nbr, o.so_line, o.so_shipment, sales_usd, j.job, link_source, expected_qty, issued_qty, route from order_lines o
@@ -144,7 +145,7 @@ def yield_out(t):
     rows = t.lineitem.groupBy(F.col("l_orderkey").alias("job")).agg(
         dbl(F.sum(q)).alias("picked_lbs"), dbl(F.sum(dec("l_extendedprice", PRICE))).alias("picked_usd"),
         dbl(F.sum(F.when(F.col("l_returnflag") != "R", q))).alias("complete_lbs"),
-        dbl(F.sum((F.col("l_quantity") * (1 - F.col("l_discount"))).cast("decimal(8,4)"))).alias("engineered_lbs"),
+        dbl(F.sum((F.col("l_quantity") * (1 - F.col("l_discount"))).cast("decimal(18,4)"))).alias("engineered_lbs"),
     )
     return Y.yield_output_basis(rows)
 
@@ -194,7 +195,8 @@ def calendar(t):
 
 
 SQL_CAL = """cdays as (select cast(unnest(generate_series((select min(cast(o_orderdate as date)) from orders), (select max(cast(o_orderdate as date)) from orders), interval 1 day)) as date) as calendar_date),
- cw as (select calendar_date, cast(isoyear(calendar_date) as integer) as fiscal_year, cast(week(calendar_date) as integer) as fiscal_week, case when week(calendar_date) = 53 then 1 else week(calendar_date) end as w from cdays),
+ cw as (select calendar_date, cast(isoyear(calendar_date) + (week(calendar_date) = 53)::integer as integer) as fiscal_year, cast(case when week(calendar_date) = 53 then 1 else week(calendar_date) end as integer) as fiscal_week,
+   case when week(calendar_date) = 53 then 1 else week(calendar_date) end as w from cdays),
  cm as (select *, cast(case when (w - 1) % 13 < 4 then (w - 1) // 13 * 3 + 1 when (w - 1) % 13 < 8 then (w - 1) // 13 * 3 + 2 else (w - 1) // 13 * 3 + 3 end as integer) as fiscal_month,
    cast(case when (w - 1) % 13 < 4 then (w - 1) % 13 + 1 when (w - 1) % 13 < 8 then (w - 1) % 13 - 3 else (w - 1) % 13 - 7 end as integer) as week_of_month from cw),
  cal as (select calendar_date, fiscal_year, fiscal_month, fiscal_week, week_of_month, ['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec'][fiscal_month] as month_name,

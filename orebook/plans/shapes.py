@@ -21,9 +21,8 @@ HOLIDAYS = (dt.date(1996, 1, 1), dt.date(1997, 7, 4), dt.date(1998, 12, 25))
 LINE_TIES = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
 
 
-# A quantity is at most 50 and a line's price about 105,000. With eight digits their sums stay
-# within the 18 that fit a long; PRICE is for sums by order or item, MONEY for wider ones.
-QUANTITY, PRICE, MONEY = "decimal(8,2)", "decimal(8,2)", "decimal(18,2)"
+# Sixteen digits before the point, whatever the data of the day hold; quantities and prices have two after it.
+QUANTITY, PRICE, MONEY = "decimal(18,2)", "decimal(18,2)", "decimal(18,2)"
 
 
 def dec(c: str | Column, type_: str | None = None) -> Column:

@@ -134,17 +134,22 @@ def win_cumulative_smallest_first(t):
     return out.select(*KEYS, dbl("cumulative").alias("cumulative"))
 
 
-SQL_DAILY = SQL_LIFE + """, days as (select cast(unnest(generate_series((select min(order_date) from life), date '1999-06-29', interval 1 day)) as date) as dt),
- sites as (select distinct site from life),
- daily as (select dt, s.site, count(case when order_date = dt then 1 end) as new_orders, count(case when invoice_date = dt then 1 end) as shipped_orders,
-     count(case when order_date <= dt and (invoice_date is null or invoice_date > dt) then 1 end) as open_orders
-   from days cross join sites s left join life l on l.site = s.site group by 1, 2),
- qual as (select *, dayofweek(dt) not in (0, 6) as is_weekday, dt in (date '1996-01-01', date '1997-07-04', date '1998-12-25') as is_holiday,
-     dayofweek(dt) not in (0, 6) and dt not in (date '1996-01-01', date '1997-07-04', date '1998-12-25') as is_business_day from daily),
- trend as (select *, round(cast(sum(new_orders) over w as double) / nullif(sum(case when is_business_day then 1 else 0 end) over w, 0), 1) as new_orders_week_avg,
-     round(cast(sum(shipped_orders) over w as double) / nullif(sum(case when is_business_day then 1 else 0 end) over w, 0), 1) as shipped_orders_week_avg,
-     round(avg(open_orders) over w, 1) as backlog_week_avg
-   from qual window w as (partition by site order by dt rows between 6 preceding and current row))"""
+# Each day of each site counts its orders anew; a week is the day and the six before it.
+SQL_DAILY = SQL_LIFE + """,
+ daily as (
+   select dt, site, (select count(*) from life l where l.site = g.site and l.order_date = g.dt) as new_orders,
+     (select count(*) from life l where l.site = g.site and l.invoice_date = g.dt) as shipped_orders,
+     (select count(*) from life l where l.site = g.site and l.order_date <= g.dt and coalesce(l.invoice_date > g.dt, true)) as open_orders
+   from (select cast(d as date) as dt, site from (select distinct site from life),
+     generate_series((select min(order_date) from life)::timestamp, timestamp '1999-06-29', interval 1 day) as r(d)) g),
+ worked as (select *, isodow(dt) < 6 as is_weekday, strftime(dt, '%Y-%m-%d') in ('1996-01-01', '1997-07-04', '1998-12-25') as is_holiday from daily),
+ trend as (
+   select a.dt, a.site, any_value(a.new_orders) as new_orders, any_value(a.shipped_orders) as shipped_orders, any_value(a.open_orders) as open_orders,
+     any_value(a.is_weekday) as is_weekday, any_value(a.is_holiday) as is_holiday, any_value(a.is_weekday and not a.is_holiday) as is_business_day,
+     round(cast(sum(b.new_orders) as double) / nullif(count_if(b.is_weekday and not b.is_holiday), 0), 1) as new_orders_week_avg,
+     round(cast(sum(b.shipped_orders) as double) / nullif(count_if(b.is_weekday and not b.is_holiday), 0), 1) as shipped_orders_week_avg,
+     round(avg(b.open_orders), 1) as backlog_week_avg
+   from worked a join worked b on b.site = a.site and b.dt between a.dt - 6 and a.dt group by a.dt, a.site)"""
 
 
 def daily(t):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,9 @@ from orebook.functions.clean import NA_TEXTS, header_simple, headers_strict, na_
 from orebook.operators.rollup import stack
 
 
+FILE = "__file"
+
+
 def text_schema(names: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
@@ -28,24 +33,50 @@ def _require(spark: SparkSession, paths: Sequence[str]) -> None:
 
 def read_text_csv(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str] | None = None,
                   encoding: str = "UTF-8", header: bool = True, with_file: bool = False,
-                  sep: str = ",", na: Sequence[str] = NA_TEXTS) -> DataFrame:
+                  sep: str = ",", na: Sequence[str] = NA_TEXTS, multi_line: bool = False) -> DataFrame:
     """CSV files as text columns with missing-value texts as null and header names trimmed.
 
-    ``columns`` fixes the schema, so no file is read to plan the query; it is required for
-    files without a header. ``with_file`` adds ``file_path``.
+    A quote inside a quoted field is doubled; ``multi_line`` lets such fields span lines, at the
+    price of files that do not split. ``columns`` gives the columns wanted: of files with a header
+    they are found by name, whatever their order, and files of different headers may be read
+    together (a column that none of them has is an error); of files without one they are taken by
+    position. ``with_file`` adds ``file_path``.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     _require(spark, paths)
-    reader = spark.read.option("header", header).option("encoding", encoding).option("sep", sep)
-    if columns is not None:
-        reader = reader.schema(text_schema(columns)).option("enforceSchema", True)
-    df = reader.csv(paths)
-    file_name = [F.col("_metadata.file_path").alias("file_path")] if with_file else []
+    reader = (spark.read.option("header", header).option("encoding", encoding).option("sep", sep)
+              .option("quote", '"').option("escape", '"').option("multiLine", multi_line))
+    if columns is None:
+        df = reader.csv(paths)
+    elif not header:
+        df = reader.schema(text_schema(columns)).csv(paths)
+    else:
+        df = _by_header(spark, reader, paths, columns, encoding, sep)
+    names = [c for c in df.columns if c != FILE]
+    path = F.col(FILE) if FILE in df.columns else F.col("_metadata.file_path")
     return df.select(
-        *[na_to_null(F.col(f"`{c}`"), na).alias(c.strip()) for c in df.columns], *file_name
+        *[na_to_null(F.col(f"`{c}`"), na).alias(c.strip()) for c in names], *([path.alias("file_path")] if with_file else [])
     )
 
 
+def _by_header(spark: SparkSession, reader, paths: Sequence[str], columns: Sequence[str], encoding: str, sep: str) -> DataFrame:
+    """The wanted columns of files grouped by their header line; finding the headers costs one scan for the first lines."""
+    lines = spark.read.option("encoding", encoding).option("header", False).option("sep", "\x01").option("quote", "").schema("line string").csv(list(paths))
+    heads = (lines.select("line", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+             .where("at = 0").withColumn("n", F.monotonically_increasing_id())
+             .groupBy("file").agg(F.min_by("line", "n").alias("head")).groupBy("head").agg(F.collect_list("file").alias("files")))
+    frames = []
+    for row in sorted(heads.collect()):  # one row per form of header, with the names of its files
+        names = next(csv.reader([row["head"].lstrip("\ufeff")], delimiter=sep))
+        at = {n.strip(): n for n in names}
+        if missing := [c for c in columns if c.strip() not in at]:
+            raise ValueError(f"columns {missing} are not in the header {row['head']!r}")
+        df = reader.schema(text_schema([f"{n}" if names.count(n) == 1 else f"{n}.{i}" for i, n in enumerate(names)])).option("enforceSchema", True).csv(row["files"])
+        frames.append(df.select(*[F.col(f"`{at[c.strip()]}`").alias(c) for c in columns], F.col("_metadata.file_path").alias(FILE)))
+    none = spark.createDataFrame([], text_schema([*columns, FILE]))
+    return reduce(DataFrame.unionAll, frames) if frames else none
+
+
 def read_text_csv_below(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str], data_row: Column,
                         encoding: str = "UTF-8", na: Sequence[str] = NA_TEXTS) -> DataFrame:
     """CSV files with title rows above the header, columns by position.
@@ -55,7 +86,7 @@ def read_text_csv_below(spark: SparkSession, paths: str | Sequence[str], columns
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     _require(spark, paths)
-    df = spark.read.schema(text_schema(columns)).option("encoding", encoding).csv(paths)
+    df = spark.read.schema(text_schema(columns)).option("encoding", encoding).option("escape", '"').csv(paths)
     return df.filter(data_row).select(*[na_to_null(F.col(f"`{c}`"), na).alias(c) for c in columns])
 
 
@@ -111,7 +142,7 @@ def conform_snapshots(snapshots: Sequence[tuple[str, DataFrame]], fmt: str = "MM
 
 def read_seed(spark: SparkSession, path: str, schema: str, date_format: str = "M/d/yyyy") -> DataFrame:
     """A typed reference table; a byte-order mark before the header is ignored."""
-    return spark.read.schema(schema).option("header", True).option("dateFormat", date_format).csv(path)
+    return spark.read.schema(schema).option("header", True).option("dateFormat", date_format).option("escape", '"').csv(path)
 
 
 def site_of_files(rows: DataFrame, file: str, row_no: str, field: str, cities: DataFrame) -> DataFrame:

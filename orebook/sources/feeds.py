@@ -23,10 +23,26 @@ def rates_long(payloads: DataFrame, text: str = "payload") -> DataFrame:
 
 
 def device_records(payloads: DataFrame, device: Column, name: Column, text: str = "payload") -> DataFrame:
-    """Records as arrays to (device, name, record map); a payload that does not parse gives no rows."""
+    """Records as arrays to (device, name, record map); a payload that does not parse gives no rows.
+
+    A record shorter than the list of columns is padded with null; one that is longer fits no
+    column list and is left to :func:`unfit_records`.
+    """
+    rows = _records(payloads, device, name, text).filter("size(r) <= size(names)")
+    padded = F.concat("r", F.array_repeat(F.lit(None).cast("string"), F.size("names") - F.size("r")))
+    return rows.select("device_id", "device_name", F.map_from_arrays("names", padded).alias("record"))
+
+
+def unfit_records(payloads: DataFrame, device: Column, name: Column, text: str = "payload") -> DataFrame:
+    """What :func:`device_records` cannot place, with the reason: payloads that do not parse, records too long."""
+    broken = payloads.filter(F.col(text).isNotNull() & F.from_json(text, DEVICE_SCHEMA)["records"].isNull()).select(
+        device.alias("device_id"), name.alias("device_name"), F.lit("payload does not parse").alias("reason"), F.col(text).alias("content"))
+    long = _records(payloads, device, name, text).filter("size(r) > size(names)").select(
+        "device_id", "device_name", F.lit("more values than columns").alias("reason"), F.to_json("r").alias("content"))
+    return broken.unionByName(long)
+
+
+def _records(payloads: DataFrame, device: Column, name: Column, text: str) -> DataFrame:
     p = payloads.select(device.alias("device_id"), name.alias("device_name"), F.from_json(text, DEVICE_SCHEMA).alias("p"))
     names = F.transform("p.columns", lambda c: c["name"])
-    rows = p.select("device_id", "device_name", names.alias("names"), F.explode("p.records").alias("r"))
-    return rows.filter(F.size("names") == F.size("r")).select(
-        "device_id", "device_name", F.map_from_arrays("names", "r").alias("record")
-    )
+    return p.select("device_id", "device_name", names.alias("names"), F.explode("p.records").alias("r"))

@@ -106,10 +106,19 @@ def test_chunked_window_is_not_by_group(spark):
     assert out.agg(F.max("run")).first()[0] == 1000
 
 
-def test_large_groups_are_listed_and_bounded(spark):
+def test_large_groups_are_listed(spark):
     df = spark.range(100).selectExpr("if(id < 60, 'x', cast(id as string)) as g")
-    assert [r["g"] for r in large_groups(df, ["g"], 50)] == ["x"]
-    assert large_groups(df, ["g"]) == []
+    assert [r["g"] for r in large_groups(df, ["g"], 50).collect()] == ["x"]
+    assert large_groups(df, ["g"]).isEmpty()
+
+
+def test_many_large_groups_and_equal_schemas(spark):
+    """Twenty groups above a tiny threshold, decimals: both ways give the same rows and types."""
+    df = spark.range(2000).selectExpr("id % 20 as g", "id as n", "cast(id % 7 as decimal(18,2)) as v")
+    both = [running_totals(df, ["g"], [F.col("n")], {"run": F.col("v")}, [F.shiftright("n", 5)], totals=True, peaks=True, large_rows=rows)
+            for rows in (5, 10_000)]
+    assert both[0].schema.simpleString() == both[1].schema.simpleString()
+    assert sorted(both[0].collect()) == sorted(both[1].collect())
 
 
 def test_conservation(spark):

@@ -126,7 +126,8 @@ def test_calendar_rule(spark):
     at = lambda *d: (cal[dt.date(*d)]["fiscal_year"], cal[dt.date(*d)]["fiscal_month"], cal[dt.date(*d)]["fiscal_week"], cal[dt.date(*d)]["week_of_month"])
     assert at(2024, 12, 30) == (2025, 1, 1, 1)
     assert at(2025, 3, 24) == (2025, 3, 13, 5) and at(2025, 3, 31) == (2025, 4, 14, 1)
-    assert at(2026, 12, 28) == (2026, 1, 53, 1) and at(2027, 1, 4) == (2027, 1, 1, 1)
+    assert at(2026, 12, 28) == (2027, 1, 1, 1) and at(2027, 1, 3) == (2027, 1, 1, 1) and at(2027, 1, 4) == (2027, 1, 1, 1)
+    assert all((r["fiscal_month_end_date"] - r["fiscal_month_start_date"]).days < 35 for r in cal.values())
     r = cal[dt.date(2025, 2, 5)]
     assert (r["fiscal_yy_mm"], r["fiscal_mon_yyyy"], r["fiscal_month_start_date"], r["fiscal_week_end_date"]) == ("25-02", "Feb-2025", dt.date(2025, 1, 27), dt.date(2025, 2, 9))
 
