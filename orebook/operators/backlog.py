@@ -38,13 +38,18 @@ def daily_changes(orders: DataFrame, site: str, ordered: str, invoiced: str) ->
 
 
 def backlog_daily(orders: DataFrame, site: str, ordered: str, invoiced: str, as_of: dt.date,
-                  holidays: Sequence[dt.date] = ()) -> DataFrame:
+                  holidays: Sequence[dt.date] = (), line: Sequence[str] = ()) -> DataFrame:
     """New, shipped and open orders per site and day up to the day before ``as_of``.
 
+    ``line`` names the columns that make an order line: rows that repeat one (a line with two
+    jobs) count once. Without it every row counts.
+
     Orders are reduced to daily changes first, written once for their three readers; open
     orders are a running sum over days, so days are never matched with orders. All windows
     run over one row per site and day.
     """
+    if line:
+        orders = orders.select(site, ordered, invoiced, *line).distinct()
     changes = cut(daily_changes(orders, site, ordered, invoiced), "daily-changes")
     lo = changes.filter("new_orders > 0").agg(F.min("dt")).scalar()
     spine = spine_by_site(changes.select(site).distinct(), lo, F.lit(as_of - dt.timedelta(days=1)))

@@ -65,12 +65,21 @@ def temp_feed(raw: DataFrame, label: str, regular: str, overtime: str, year: int
 
 
 def wide_feed(raw: DataFrame, ids: dict[str, str], year: int, country: str, site: Column, dept: str = WIDE_DEPT,
-              overtime_suffix: str = ".1") -> DataFrame:
-    """Twelve regular and twelve overtime columns per employee to one row per month."""
+              overtime_suffix: str = ".1", department: str | None = None) -> DataFrame:
+    """Twelve regular and twelve overtime columns per employee to one row per month.
+
+    Rows of the department ``dept`` are kept, told by the digits its field begins with; where
+    ``department`` is given, they are told by that text and get ``dept`` as their code. ``site``
+    may be a column, such as one looked up by the row's location.
+    """
     named = raw.select(
         *[F.col(f"`{src}`").alias(dst) for src, dst in ids.items()],
         *[F.col(f"`{m}`") for m in MONTHS], *[F.col(f"`{m}{overtime_suffix}`") for m in MONTHS], site.alias("site"),
-    ).withColumn("dept_code", extract_or_null(F.col("dept_code"), r"(^\d+)")).filter(F.col("dept_code") == dept)
+    )
+    if department is None:
+        named = named.withColumn("dept_code", extract_or_null(F.col("dept_code"), r"(^\d+)")).filter(F.col("dept_code") == dept)
+    else:
+        named = named.filter(F.col("dept_code") == department).withColumn("dept_code", F.lit(dept))
     long = melt_pairs(
         named, ["site", *ids.values()], {n: m for m, n in MONTH_NUMBER.items()},
         {n: f"{m}{overtime_suffix}" for m, n in MONTH_NUMBER.items()}, "reg", "ot",

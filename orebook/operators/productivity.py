@@ -61,12 +61,15 @@ def worked_summary(hours: DataFrame) -> DataFrame:
     )
 
 
-def banded_payout(worked: DataFrame, earned: DataFrame, timing: DataFrame, bands: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Productivity per site and month, the highest band it reaches, and the payout.
+def banded_payout(worked: DataFrame, earned: DataFrame, timing: DataFrame, bands: DataFrame, overrides: DataFrame,
+                  sites: Sequence[str] | None = None) -> DataFrame:
+    """Productivity per site and month, the highest band it reaches, and the payout; for ``sites`` only, if given.
 
     ``timing`` maps (year, month) to the target year; ``bands`` has (site, year, band_pct,
     goal_pct, payout_usd, uom); an override replaces the band's payout.
     """
+    if sites is not None:
+        worked = worked.filter(F.col("site").isin(*sites))
     out = worked.join(earned, ["site", "year", "month"], "left").withColumn(
         "earned_hours", F.coalesce("earned_hours", F.lit(0))
     )
@@ -83,8 +86,10 @@ def banded_payout(worked: DataFrame, earned: DataFrame, timing: DataFrame, bands
     ).drop("__fixed")
 
 
-def employee_payout(hours: DataFrame, results: DataFrame, temp: str = "TEMP") -> DataFrame:
-    """Hours times the site's rate; temporary staff get none."""
+def employee_payout(hours: DataFrame, results: DataFrame, temp: str = "TEMP", sites: Sequence[str] | None = None) -> DataFrame:
+    """Hours times the site's rate; temporary staff get none. For ``sites`` only, if given."""
+    if sites is not None:
+        hours = hours.filter(F.col("site").isin(*sites))
     rate = F.coalesce("payout_usd", F.lit(0))
     return hours.join(results.select("site", "year", "month", "payout_usd"), ["site", "year", "month"], "left").withColumn(
         "month_bonus", F.when(F.col("employee_name") == temp, F.lit(0)).otherwise(F.col("total_hrs") * rate)

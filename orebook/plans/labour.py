@@ -187,7 +187,7 @@ def op_period_extract(t):
     return results.unionByName(targets).unionByName(detail)
 
 
-# Five payroll feeds shaped from the given tables.
+# Six payroll feeds shaped from the given tables.
 SQL_FEEDS = SQL_SITES + """, sitemap as (select n_name as site_name, n_nationkey, site, 'C' || n_nationkey as country from ns where n_nationkey < 20),
  f1 as (select country, m.site, cast(year(ts) as integer) as year, cast(month(ts) as integer) as month, cast(user_id as varchar) as employee_id, 'NAME ' || (user_id % 7) as employee_name, '110/120' as dept_code,
    sum(case when event_type = 'click' then cast(value as decimal(18,2)) else 0 end) as r, sum(case when event_type in ('view', 'purchase') then cast(value as decimal(18,2)) else 0 end) as o
@@ -195,16 +195,20 @@ SQL_FEEDS = SQL_SITES + """, sitemap as (select n_name as site_name, n_nationkey
  f2 as (select 'US' as country, 'AMERICA' as site, 1998 as year, cast(month(o_orderdate) as integer) as month, '999999' as employee_id, 'TEMP' as employee_name, '110/120' as dept_code,
    sum(case when o_orderstatus = 'F' then cast(o_totalprice as decimal(18,2)) else 0 end) as r, sum(case when o_orderstatus = 'P' then cast(o_totalprice as decimal(18,2)) else 0 end) as o from orders group by all),
  f3 as (select 'SG' as country, 'ASIA' as site, 1998 as year, cast(month(o_orderdate) as integer) as month, cast(c_custkey as varchar) as employee_id, c_name as employee_name, '120' as dept_code,
-   sum(cast(o_totalprice as decimal(18,2))) as r, sum(cast(o_totalprice as decimal(18,0))) as o from orders join customer on o_custkey = c_custkey where c_nationkey = 3 group by all),
+   sum(cast(o_totalprice as decimal(18,2))) as r, sum(cast(o_totalprice as decimal(18,0))) as o from orders join customer on o_custkey = c_custkey where c_nationkey <= 3 group by all),
  f4 as (select 'FR' as country, case c_nationkey when 5 then 'S5' when 6 then 'S6' end as site, cast(year(o_orderdate) as integer) as year, cast(month(o_orderdate) as integer) as month, cast(c_custkey as varchar) as employee_id, c_name as employee_name,
    case c_mktsegment when 'BUILDING' then '120' when 'MACHINERY' then '121' else '300' end as dept_code, sum(cast(o_totalprice as decimal(18,2))) as t, sum(case when o_orderstatus = 'P' then cast(o_totalprice as decimal(18,2)) else 0 end) as o
-   from orders join customer on o_custkey = c_custkey where c_nationkey in (5, 6, 7) group by all),
+   from orders join customer on o_custkey = c_custkey where c_nationkey between 4 and 17 group by all),
  f5 as (select country, site, cast(year(o_orderdate) as integer) as year, cast(month(o_orderdate) as integer) as month, c_custkey || ' - ' || case when o_orderpriority = '1-URGENT' then 'PIP' else 'NONE' end as employee_id, c_name as employee_name, 'D' || c_nationkey as dept_code,
    case when c_mktsegment = 'BUILDING' then 'Plant - Processing' else 'Office' end as department, case when o_orderpriority = '1-URGENT' then 'PIP' else 'NONE' end as plan, cast(o_totalprice as decimal(18,2)) as t, cast(case when o_orderstatus = 'P' then o_totalprice else 0 end as decimal(18,2)) as o
    from orders join customer on o_custkey = c_custkey left join sitemap m on m.n_nationkey = c_nationkey where c_nationkey >= 18),
+ f6 as (select 'CN' as country, m.site, 1998 as year, cast(month(o_orderdate) as integer) as month, cast(c_custkey as varchar) as employee_id, c_name as employee_name, '120' as dept_code,
+   sum(cast(o_totalprice as decimal(18,2))) as r, sum(cast(o_totalprice as decimal(18,0))) as o
+   from orders join customer on o_custkey = c_custkey left join sitemap m on m.n_nationkey = c_nationkey where c_mktsegment = 'BUILDING' group by all),
  allf as (select country, site, year, month, employee_id, employee_name, dept_code, cast(r as double) as regular_hrs, cast(o as double) as overtime_hrs, cast(r as double) + cast(o as double) as total_hrs from f1
    union all select country, site, year, month, employee_id, employee_name, dept_code, cast(r as double), cast(o as double), cast(r as double) + cast(o as double) from f2
    union all select country, site, year, month, employee_id, employee_name, dept_code, cast(r as double), cast(o as double), cast(r as double) + cast(o as double) from f3
+   union all select country, site, year, month, employee_id, employee_name, dept_code, cast(r as double), cast(o as double), cast(r as double) + cast(o as double) from f6
    union all select country, site, year, month, employee_id, employee_name, dept_code, cast(t as double) - cast(o as double), cast(o as double), cast(t as double) from f4 where dept_code in ('120', '121')
    union all select country, site, year, month, employee_id, employee_name, dept_code, cast(t as double) - cast(o as double), cast(o as double), cast(t as double) from f5 where case when year < 1998 then department = 'Plant - Processing' else plan = 'PIP' end)"""
 
@@ -227,12 +231,17 @@ def feeds(t):
     who = t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_nationkey", "c_mktsegment")
     raw3 = month_sheet(t).join(who, "o_custkey").select(
         F.concat(text(F.col("o_custkey")), F.lit(".0")).alias("number"), "c_name",
-        F.concat(F.when(F.col("c_nationkey") == 3, "120").otherwise("300"), F.lit(" plant")).alias("dept"), *MONTHS, *[f"`{x}.1`" for x in MONTHS],
+        F.concat(F.when(F.col("c_nationkey") <= 3, "120").otherwise("300"), F.lit(" plant")).alias("dept"), *MONTHS, *[f"`{x}.1`" for x in MONTHS],
+    )
+    place = nations.join(sites, F.col("n_name") == F.col("site_name"), "left").select("k", "site")
+    raw6 = month_sheet(t).join(who, "o_custkey").join(place, F.col("c_nationkey") == F.col("k")).select(
+        F.concat(text(F.col("o_custkey")), F.lit(".0")).alias("number"), "c_name", "site",
+        F.when(F.col("c_mktsegment") == "BUILDING", H.PLAN_DEPT).otherwise("Office").alias("dept"), *MONTHS, *[f"`{x}.1`" for x in MONTHS],
     )
     sheet = t.orders.join(who, "o_custkey")
     late = F.when(F.col("o_orderstatus") == "P", dec("o_totalprice")).otherwise(F.lit(0))
     dept = F.when(F.col("c_mktsegment") == "BUILDING", "120").when(F.col("c_mktsegment") == "MACHINERY", "121").otherwise("300")
-    raw4 = sheet.filter("c_nationkey in (5, 6, 7)").groupBy(
+    raw4 = sheet.filter("c_nationkey between 4 and 17").groupBy(
         text(F.col("c_nationkey")).alias("branch"), text(F.year("o_orderdate")).alias("year"), text(F.month("o_orderdate")).alias("month"),
         text(F.col("o_custkey")).alias("employee_id"), F.col("c_name").alias("employee_name"), dept.alias("dept_code"),
     ).agg(text(F.sum(dec("o_totalprice"))).alias("worked"), text(F.sum(late)).alias("overtime"))
@@ -246,6 +255,7 @@ def feeds(t):
         H.pay_code_feed(raw1, sites, "decimal(18,2)"), H.temp_feed(raw2, "label", "F", "P", 1998, "US", "AMERICA", "decimal(18,2)"),
         H.wide_feed(raw3, {"number": "employee_id", "c_name": "employee_name", "dept": "dept_code"}, 1998, "SG", F.lit("ASIA")),
         H.branch_feed(raw4, "FR", {5: "S5", 6: "S6"}), H.plan_feed(raw5, sites, since=1998),
+        H.wide_feed(raw6, {"number": "employee_id", "c_name": "employee_name", "dept": "dept_code"}, 1998, "CN", F.col("site"), department=H.PLAN_DEPT),
     ]
 
 
