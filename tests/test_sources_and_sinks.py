@@ -129,3 +129,39 @@ def test_machine_stream_equals_batch(spark, tmp_path):
     batch = MS.split_stream(spark.read.parquet(src), "state", "e", "s")
     got = sorted((r["id"], r["event_date"], r["allocated_duration_sec"]) for r in spark.read.parquet(out).collect())
     assert got == sorted((r["id"], r["event_date"], r["allocated_duration_sec"]) for r in batch.collect()) and len(got) == 2
+
+
+def test_csv_quotes_and_header_names(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,descr,more\n1,"1/2"" BAR, round",x\n2,plain,y\n')
+    (tmp_path / "b.csv").write_text("descr,id\nfoo,3\n")
+    paths = [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]
+    rows = S.read_text_csv(spark, paths, columns=["id", "descr"]).collect()
+    assert sorted(tuple(r) for r in rows) == [("1", '1/2" BAR, round'), ("2", "plain"), ("3", "foo")]
+    with pytest.raises(ValueError, match="more"):
+        S.read_text_csv(spark, paths, columns=["id", "more"])
+
+
+def test_two_appends_keep_new_columns(spark, tmp_path):
+    path = str(tmp_path / "t")
+    W.load(spark.createDataFrame([(1,)], "a int"), path, "replace")
+    W.load(spark.createDataFrame([(2, "x")], "a int, extra string"), path, "append")
+    W.load(spark.createDataFrame([(3, "y", "z")], "a int, extra string, more string"), path, "append")
+    assert sorted((tuple(r) for r in W.read_loaded(spark, path).collect()), key=str) == [(1, None, None), (2, "x", None), (3, "y", "z")]
+
+
+def test_short_and_long_device_records(spark):
+    text = '{"device": "d", "columns": [{"name": "a"}, {"name": "b"}], "records": [["1", "2"], ["3"], ["4", "5", "6"]]}'
+    df = spark.createDataFrame([("d", text), ("e", '{"columns": [')], "id string, payload string")
+    good = FD.device_records(df, F.col("id"), F.col("id")).collect()
+    assert sorted((r["record"]["a"], r["record"]["b"]) for r in good if r["record"]["b"]) == [("1", "2")]
+    assert [r["record"] for r in good if r["record"]["a"] == "3"] == [{"a": "3", "b": None}]
+    bad = FD.unfit_records(df, F.col("id"), F.col("id")).collect()
+    assert sorted((r.device_id, r.reason) for r in bad) == [("d", "more values than columns"), ("e", "payload does not parse")]
+
+
+def test_wide_feed_told_by_department_text(spark):
+    months = ", ".join(f"'{n}' as {m}, '1' as `{m}.1`" for n, m in enumerate(H.MONTHS, 1))
+    raw = spark.sql(f"select * from values ('7.0', 'Ann', 'Plant - Processing', 'S1'), ('8.0', 'Bob', 'Office', 'S2') as v(number, name, dept, place) lateral view outer explode(array(1)) as one")
+    raw = raw.selectExpr("*", *months.split(", "))
+    out = H.wide_feed(raw, {"number": "employee_id", "name": "employee_name", "dept": "dept_code"}, 2025, "CN", F.col("place").alias("site"), department="Plant - Processing").collect()
+    assert len(out) == 12 and {(r.site, r.dept_code, r.employee_id) for r in out} == {("S1", "120", "7")}
