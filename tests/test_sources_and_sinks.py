@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from orebook.functions import clean as C
 from orebook.functions import text as X
+from orebook.operators import hours as H
 from orebook.sinks import writers as W
 from orebook.sources import csv_files as S
 from orebook.sources import feeds as FD
@@ -160,8 +161,10 @@ def test_short_and_long_device_records(spark):
 
 
 def test_wide_feed_told_by_department_text(spark):
-    months = ", ".join(f"'{n}' as {m}, '1' as `{m}.1`" for n, m in enumerate(H.MONTHS, 1))
-    raw = spark.sql(f"select * from values ('7.0', 'Ann', 'Plant - Processing', 'S1'), ('8.0', 'Bob', 'Office', 'S2') as v(number, name, dept, place) lateral view outer explode(array(1)) as one")
-    raw = raw.selectExpr("*", *months.split(", "))
-    out = H.wide_feed(raw, {"number": "employee_id", "name": "employee_name", "dept": "dept_code"}, 2025, "CN", F.col("place").alias("site"), department="Plant - Processing").collect()
-    assert len(out) == 12 and {(r.site, r.dept_code, r.employee_id) for r in out} == {("S1", "120", "7")}
+    raw = spark.createDataFrame(
+        [("7.0", "Ann", "Plant - Processing", "S1"), ("8.0", "Bob", "Office", "S2")], "number string, name string, dept string, place string")
+    raw = raw.select("*", *[F.lit(str(n)).alias(m) for n, m in enumerate(H.MONTHS, 1)], *[F.lit("1").alias(f"{m}.1") for m in H.MONTHS])
+    ids = {"number": "employee_id", "name": "employee_name", "dept": "dept_code"}
+    out = H.wide_feed(raw, ids, 2025, "CN", F.col("place").alias("site"), department="Plant - Processing").collect()
+    assert len(out) == 12 and {(r.site, r.dept_code, r.employee_id) for r in out} == {("S1", H.WIDE_DEPT, "7")}
+    assert sorted(float(r.total_hrs) for r in out) == [float(n + 1) for n in range(1, 13)]
