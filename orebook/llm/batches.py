@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+ROWS_AT_ONCE = 1000
+
 
 def add_columns(df: DataFrame, inputs: list[str], new: T.StructType, make: Callable[..., Iterator[tuple]]) -> DataFrame:
     """``df`` with the columns ``new``; ``make()`` gives a function from lists of ``inputs`` to rows of new values.
@@ -25,11 +28,15 @@ def add_columns(df: DataFrame, inputs: list[str], new: T.StructType, make: Calla
 
     def run(batches):
         work = make()
-        for batch in batches:
+        # Slices keep the Python copies of long texts small beside the batch itself.
+        for batch in (whole.slice(at, ROWS_AT_ONCE) for whole in batches for at in range(0, max(1, whole.num_rows), ROWS_AT_ONCE)):
             rows = work(*[batch.column(c).to_pylist() for c in inputs])
             made = list(zip(*rows)) or [()] * len(fresh)
             arrays = [batch.column(c) for c in kept] + [pa.array(v, type=f.type) for v, f in zip(made, fresh)]
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *fresh.names])
+        # The worker may serve another operator next; the memos of this task refer to themselves, so they are collected.
+        work = rows = made = None
+        gc.collect()
 
     return df.select(*[F.col(f"`{c}`") for c in read]).mapInArrow(run, out)
 

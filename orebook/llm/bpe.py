@@ -16,6 +16,7 @@ Nothing is shuffled, memory is bounded by the batch, the memos and one document.
 from __future__ import annotations
 
 import base64
+import copy
 import hashlib
 import re
 
@@ -33,7 +34,7 @@ WHITE = "\t-\r \x85\xa0  -     　"
 #: A word with its punctuation and the one space before it, or white space as the pattern cuts it. No piece of the
 #: pattern reaches over the end of such a chunk, so chunks can be encoded, and remembered, one by one.
 CHUNK = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-CHUNKS_KEPT, PIECES_KEPT, PAIRS_KEPT, PAIR_BITS = 500_000, 700_000, 500_000, 24
+CHUNKS_KEPT, PIECES_KEPT, PAIRS_KEPT, PAIR_BITS = 250_000, 350_000, 300_000, 24
 
 ENCODED = T.StructType([
     T.StructField("n_tokens", T.LongType()),
@@ -78,14 +79,23 @@ class Codec:
         # merge that swallows each.
         self.right_end = {t: self._edge(t, halves, 1) for t in halves}
         self.left_end = {t: self._edge(t, halves, 0) for t in halves}
-        self.fits = Memo(self._fits, PAIRS_KEPT)
-        self.chunks = Memo(self._chunk, CHUNKS_KEPT)
-        self.pieces = Memo(self._piece, PIECES_KEPT)
+        self._remember()
         self.table = np.frombuffer(b"".join(self.token.get(r, b"") for r in range(len(self.size))), np.uint8)
         self.sizes = np.array(self.size, np.int64)
         self.offsets = np.cumsum(self.sizes) - self.sizes
         self.pack = {r: r.to_bytes(4, "little") for r in self.token}
 
+    def _remember(self) -> None:
+        self.fits = Memo(self._fits, PAIRS_KEPT)
+        self.chunks = Memo(self._chunk, CHUNKS_KEPT)
+        self.pieces = Memo(self._piece, PIECES_KEPT)
+
+    def for_task(self) -> Codec:
+        """The same tables with empty memos, which end with the task that uses them."""
+        own = copy.copy(self)
+        own._remember()
+        return own
+
     def _merge(self, word: bytes, least: int = 1) -> list[int]:
         """The merges by definition, lowest rank first, leftmost among equals, until ``least`` parts are left."""
         parts = [word[i:i + 1] for i in range(len(word))]
@@ -179,11 +189,11 @@ _CODECS: dict[tuple, Codec] = {}
 
 
 def codec(name: str, pattern: str) -> Codec:
-    """The codec of a shipped rank file, built once per Python worker."""
+    """The codec of a shipped rank file; its tables are built once per Python worker."""
     if (name, pattern) not in _CODECS:
         with open(SparkFiles.get(name), "rb") as f:
             _CODECS[name, pattern] = Codec(f.read(), pattern)
-    return _CODECS[name, pattern]
+    return _CODECS[name, pattern].for_task()
 
 
 def _ship(df: DataFrame, path: str) -> str:

@@ -109,11 +109,16 @@ class Model:
         self.code = np.zeros(0x110000, np.uint8)
         self.code[kept] = np.arange(2, len(kept) + 2)
         self.code[SPACE] = 1
-        tables = [automaton(self.code[t].tolist(), width) for t in text.values()]
         self.scale = np.array([math.log2(len(t) + 2) for t in text.values()])
-        # States of all automata are numbered through, so that all languages walk in one table.
-        self.base = np.cumsum([0, *[len(t) // width for t in tables]])[:-1].astype(np.int32)
-        self.table = np.concatenate([t + 2 * b for t, b in zip(tables, self.base)]) if tables else np.empty(0, np.int32)
+        # States of all automata are numbered through, so that all languages walk in one table. An automaton has fewer
+        # than twice as many states as letters; what is not needed of the table is never touched.
+        self.table, used, bases = np.empty(2 * width * sum(len(t) + 1 for t in text.values()), np.int32), 0, []
+        for t in text.values():
+            one = automaton(self.code[t].tolist(), width)
+            bases.append(used // width)
+            np.add(one, 2 * bases[-1], out=self.table[used:used + len(one)])
+            used += len(one)
+        self.base, self.table = np.array(bases, np.int32), self.table[:used]
 
     def phrases(self, codes: np.ndarray) -> np.ndarray:
         """``codes``: letters by segment (position first, 255 after the end); phrase ends by language and segment."""
@@ -192,5 +197,6 @@ _MODELS: list[tuple] = []
 def _model(sent) -> Model:
     """The model of a broadcast sample, built once per Python worker."""
     if not _MODELS or _MODELS[0][0] is not sent.value:
-        _MODELS[:] = [(sent.value, Model(sent.value))]
+        _MODELS.clear()  # before the next one is built
+        _MODELS.append((sent.value, Model(sent.value)))
     return _MODELS[0][1]

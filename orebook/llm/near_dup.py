@@ -35,7 +35,7 @@ from orebook.session import cut
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 STEP = 0x9E3779B97F4A7C15
 BASE = np.uint64(STEP)
-WORDS_KEPT, ELEMENTS_AT_ONCE, SETS_KEPT, BLOCK, COLUMNS_AT_ONCE = 400_000, 150_000, 64, 512, 4096
+WORDS_KEPT, ELEMENTS_AT_ONCE, SETS_KEPT, BLOCK, COLUMNS_AT_ONCE = 200_000, 150_000, 64, 512, 4096
 SIGNED = T.StructType([
     T.StructField("n_shingles", T.LongType()),
     T.StructField("set_digest", T.BinaryType()),
@@ -100,7 +100,7 @@ def super_minhash(sets: list[np.ndarray], size: int) -> np.ndarray:
 
 
 def band_keys(signature: np.ndarray, bands: int) -> np.ndarray:
-    bits = signature.view(np.uint64).reshape(len(signature), bands, -1)
+    bits = signature.view(np.uint64).reshape(len(signature), bands, signature.shape[1] // bands)
     key = np.broadcast_to(mix(np.arange(1, bands + 1, dtype=np.uint64) * BASE), (len(signature), bands))
     for i in range(bits.shape[2]):
         key = mix(key * BASE + bits[:, :, i])
