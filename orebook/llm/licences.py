@@ -1,6 +1,6 @@
 """Licence scan by canonical digests.
 
-Texts are brought to a canonical form: lower case, copyright lines taken out, equivalent spellings made one, every
+Texts are brought to a canonical form: lower case, copyright notices taken out, equivalent spellings made one, every
 run of punctuation and white space one space. The digest of the canonical form is joined with the digests of known
 licence texts and notices. Looked up are the entire text, every paragraph and every line, each as a whole: a text is
 found however it is set, broken or spelled, and never because it shares a few words with a licence.
@@ -24,6 +24,14 @@ SPELLINGS = (
     ("per cent", "percent"), ("copyright holder(?:s)?", "copyright owner"), ("https", "http"), ("gnu gpl", "gnu general public license"),
 )
 COPYRIGHT = r"(?m)^[ \t#*/;-]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
+# What is taken out: a notice (copyright or (c), then a year, its placeholder or a sign) up to the line end or to words
+# that open a licence, and 'all rights reserved' alone on a line. ``COPYRIGHT`` above is read by the SQL twin only.
+_YEAR = r"[<\[{]?(?:[0-9]{4}|year|yyyy)\b"
+_SIGN = r"(?:\(c\)|©)"
+_OPENS = (r"permission\s+(?:is|to)\b|redistribution\s+and\s+use\b|licen[cs]ed\s+under\b|released\s+under\b|spdx-licen[cs]e|"
+          r"this\s+(?:program|library|software|file|work)\s+is\b")
+NOTICE = (rf"(?m)^[ \t#*/;-]*(?:copyright[ \t:,]*(?:{_SIGN}|{_YEAR})|{_SIGN}[ \t]*(?:copyright[ \t]*)?{_YEAR}|"
+          rf"all rights reserved[ \t.]*$)(?:(?!{_OPENS})[^\n])*")
 
 # Licence texts and notices by SPDX identifier.
 KNOWN = (
@@ -79,14 +87,18 @@ specific language governing permissions and limitations under the License."""),
 
 def folded(text: Column) -> Column:
     """Canonical but for line ends: these stay, so that lines and paragraphs can be told apart."""
-    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT, "")
+    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), NOTICE, "")
     for found, used in SPELLINGS:
         out = F.regexp_replace(out, found, used)
     return F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", " ")
 
 
 def canonical(part: Column) -> Column:
-    return F.trim(F.regexp_replace(part, r"\s+", " "))
+    out = F.trim(F.regexp_replace(part, r"\s+", " "))
+    for found, used in SPELLINGS:
+        if " " in found:  # a line end may have stood between the words
+            out = F.regexp_replace(out, found, used)
+    return out
 
 
 def known(spark) -> DataFrame:

@@ -1,12 +1,12 @@
 """Information-theoretic sanitisation of personal data.
 
 Base spans are found by pattern (e-mail and IP addresses, card and phone numbers). Each distinct value is a protected
-entity. Words near it may give it away: over the whole corpus the documents with the entity, with the word, and with
-the word near the entity are counted, and the pointwise mutual information of word and entity is compared with the
+entity. Words may give it away: over the whole corpus the documents with the entity, with the word, and with both,
+however far apart, are counted, and the pointwise mutual information of word and entity is compared with the
 information content of the entity. The ratio is 1 where the word reveals the entity entirely. From ``REMOVE`` on the
-word is removed, from ``GENERALISE`` on it is replaced by its class; both count from ``SUPPORT`` different texts on
-only, as one text is no evidence of a habit. Counts are by document; words are made distinct per document and summed
-per task before any shuffle.
+word is removed, from ``GENERALISE`` on it is replaced by its class, wherever it stands in a document with the entity;
+both count from ``SUPPORT`` different texts on only, as one text is no evidence of a habit. Counts are by document; words
+are made distinct per document, and words too frequent to reveal an entity are left out before they meet it.
 
 Positions count code points, ends are exclusive. Null text counts as empty: no spans, and sanitised it stays null.
 Repeated rows each count as a document, but never as support. Overlapping spans are replaced together. Extra columns
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from orebook.session import cut
 
-#: Code points on each side of a value in which words count as near it; evidence and thresholds.
-NEAR, SUPPORT, GENERALISE, REMOVE = 60, 2, 0.75, 0.9
+#: Evidence and thresholds.
+SUPPORT, GENERALISE, REMOVE = 2, 0.75, 0.9
 #: Fixed patterns. They find what the plain ones find, but start only where a plain match can start and never give
 #: characters back, so that long runs take linear time.
 LOCAL = "A-Za-z0-9._%+-"
@@ -88,65 +88,92 @@ def base_spans(df: DataFrame, text_col: str = "text") -> DataFrame:
     return out.drop(*[f"__{k}" for k in PATTERNS])
 
 
-def _windows() -> Column:
-    """The text before and after each base span, with its start and whether its outer edge cuts a word."""
-    each = ", ".join(
-        f"transform({k}, s -> named_struct('entity', xxhash64('{k}', s.value), 'start', s.start, 'end', s.end))" for k in PATTERNS)
+def _words(text: str) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.col(f"`{text}`")), F.lit(WORD), F.lit(0)))
+
+
+def _spans_where(test: str) -> Column:
+    """Number, start, end and value of those words ``m`` of ``__text`` for which ``test`` holds, words being read once."""
     return F.expr(f"""
-        flatten(transform(concat({each}), s -> array(
-            named_struct('entity', s.entity, 'at', greatest(0, s.start - {NEAR}),
-                'text', substring(__text, greatest(0, s.start - {NEAR}) + 1, least({NEAR}, s.start)), 'open', s.start > {NEAR}, 'side', 0),
-            named_struct('entity', s.entity, 'at', s.end,
-                'text', substring(__text, s.end + 1, {NEAR}), 'open', length(__text) > s.end + {NEAR}, 'side', 1))))""")
+        case when size(__m) > 0 then aggregate(
+            zip_with(slice(split(__text, {_quoted(WORD)}, -1), 1, size(__m)), __m, (g, v) -> struct(length(g) as gap, v as value)),
+            named_struct('n', 0, 'at', 0, 'spans', cast(array() as array<struct<n:int,start:int,end:int,value:string>>)),
+            (a, m) -> named_struct('n', a.n + 1, 'at', a.at + m.gap + length(m.value), 'spans', transform(
+                array(named_struct('n', a.n, 'start', a.at + m.gap, 'end', a.at + m.gap + length(m.value), 'value', m.value)),
+                w -> case when {test} then concat(a.spans, array(w)) else a.spans end)[0]),
+            a -> a.spans)
+        else cast(array() as array<struct<n:int,start:int,end:int,value:string>>) end""")
+
+
+# Only values with letters can share letters with a word.
+WITH_LETTERS = "filter(concat(" + ", ".join(PATTERNS) + "), s -> s.value rlike '\\\\p{L}')"
+IN_VALUE = "exists(__taken, x -> x.start < w.end and w.start < x.end)"
 
 
 def find(df: DataFrame, text_col: str = "text", carry: tuple = (), name: str = "personal") -> DataFrame:
     """``carry`` columns of ``df`` with the base spans by kind and ``term`` / ``word`` spans: words to remove / to generalise."""
     plain = base_spans(df, text_col).withColumn("__row", F.monotonically_increasing_id())
-    kept = [F.col(f"`{c}`") for c in carry]
-    rows = cut(plain.select(*kept, "__row", F.xxhash64("__text").alias("__same"), *PATTERNS, _windows().alias("__near")), name)
-    near = (rows.where(F.size("__near") > 0)
-            .withColumn("__taken", F.expr("concat(" + ", ".join(f"transform({k}, s -> struct(s.start, s.end))" for k in PATTERNS) + ")"))
-            .select("__row", "__same", "__taken", F.explode("__near").alias("w")).select("__row", "__same", "__taken", "w.*")
-            .withColumn("m", F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))
-    near = near.withColumn("t", F.explode(places("text", "m", WORD))).where(
-        "not (open and side = 0 and t.start = 0) and not (open and side = 1 and t.end = length(text))").select(
-        "__row", "__same", "entity", F.lower("t.value").alias("term"), (F.col("at") + F.col("t.start")).alias("start"),
-        (F.col("at") + F.col("t.end")).alias("end"), "__taken")
-    near = cut(near.where("not exists(__taken, x -> x.start < end and start < x.end)").drop("__taken"), "near")
-    risky = _disclosing(df, text_col, rows, near)
-    found = (near.join(risky, ["entity", "term"]).groupBy("__row", "start", "end").agg(F.max("remove").alias("remove"))
-             .groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "remove"))).alias("__found")))
+    entities = F.expr("array_distinct(concat(" + ", ".join(f"transform({k}, s -> xxhash64('{k}', s.value))" for k in PATTERNS) + "))")
+    rows = plain.withColumn("__entities", entities).select(
+        *[F.col(f"`{c}`") for c in carry], "__row", F.xxhash64("__text").alias("__same"), *PATTERNS, "__entities",
+        F.when(F.size("__entities") > 0, F.col("__text")).alias("__text"))
+    rows = cut(rows, name)
+    pairs, risky = _disclosing(df, text_col, rows)
+    found = (pairs.join(risky, ["entity", "term"]).groupBy("__row", "term").agg(F.max("remove").alias("remove"))
+             .groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("term", "remove"))).alias("__terms")))
     return with_words(rows, found)
 
 
 def with_words(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows without any base span have no words to hide, so they pass by the join."""
-    some = rows.where(F.size("__near") > 0).join(found, "__row", "left")
-    none = rows.where(F.size("__near") == 0).withColumn("__found", F.expr("cast(null as array<struct<start:int,end:int,remove:boolean>>)"))
-    out = some.unionByName(none)
+    """Every occurrence outside the values is marked. Rows without any base span have no words to hide, so they pass by the join."""
+    some = rows.where(F.size("__entities") > 0).join(found, "__row", "left").withColumn(
+        "__m", F.when(F.col("__terms").isNotNull(), F.regexp_extract_all("__text", F.lit(WORD), F.lit(0))))
+    some = some.withColumn("__taken", F.expr(WITH_LETTERS)).withColumn(
+        "__found", _spans_where(f"map_contains_key(__terms, lower(w.value)) and not {IN_VALUE}")).withColumn(
+        "__found", F.expr("transform(__found, w -> struct(w.start as start, w.end as end, __terms[lower(w.value)] as remove))"))
+    none = rows.where(F.size("__entities") == 0).withColumn("__found", F.expr("cast(null as array<struct<start:int,end:int,remove:boolean>>)"))
+    out = some.drop("__terms", "__m", "__taken").unionByName(none)
     for kind, test in (("term", "x.remove"), ("word", "not x.remove")):
         out = out.withColumn(kind, F.expr(f"coalesce(transform(filter(__found, x -> {test}), x -> struct(x.start, x.end)), array())"))
-    return out.drop("__row", "__same", "__near", "__found")
-
-
-def _disclosing(df: DataFrame, text_col: str, rows: DataFrame, near: DataFrame) -> DataFrame:
-    """``entity``, ``term`` and ``remove`` of the words that reveal an entity beyond the lower threshold."""
-    joint = (near.groupBy("entity", "term", "__same", "__row").agg(F.lit(1).alias("one"))
-             .groupBy("entity", "term", "__same").agg(F.count("one").alias("n"))
-             .groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("n").alias("texts")).where(f"texts >= {SUPPORT}"))
-    joint = cut(joint, "joint")
-    entities = F.expr("array_distinct(transform(__near, w -> w.entity))")
-    n_entity = rows.where(F.size("__near") > 0).select(F.explode(entities).alias("entity")).groupBy("entity").agg(F.count("entity").alias("n_entity"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(f"`{text_col}`")), F.lit(WORD), F.lit(0)))
-    n_term = df.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("term").alias("n_term"))
+    return out.drop("__row", "__same", "__entities", "__text", "__found")
+
+
+def _disclosing(df: DataFrame, text_col: str, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The ``pairs`` of entity and term by document that may count, and the ``entity``, ``term`` and ``remove`` of those
+    terms that reveal an entity beyond the lower threshold.
+
+    Entities without support go first. As a term is never in more documents with the entity than the entity has, the
+    ratio can reach the threshold only where n_term <= total * (n_entity / total) ** GENERALISE; other terms are no pairs.
+    """
     total = rows.count()
-    scored = joint.join(n_term, "term").join(n_entity, "entity")
+    held = rows.where(F.size("__entities") > 0)
+    each = held.select("__row", "__same", F.explode("__entities").alias("entity"))
+    n_entity = (each.groupBy("entity", "__same").agg(F.count("entity").alias("n"))
+                .groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("n").alias("texts")).where(f"texts >= {SUPPORT}"))
+    n_entity = cut(n_entity.withColumn("most", F.floor(
+        1e-6 + 1.000001 * total * F.pow(F.col("n_entity") / F.lit(float(max(1, total))), F.lit(GENERALISE)))), "entities")
+    most = n_entity.agg(F.max("most")).first()[0] or 0
+    backed = each.join(n_entity, "entity").groupBy("__row").agg(F.collect_list(F.struct("entity", "n_entity", "most")).alias("backed"))
+    # A term counts where it stands outside the values: of its occurrences those inside are left out.
+    words = (held.select("__row", "__same", "__text", F.expr(WITH_LETTERS).alias("__taken")).join(backed, "__row")
+             .withColumn("__m", F.regexp_extract_all("__text", F.lit(WORD), F.lit(0)))
+             .withColumn("__in", F.transform(_spans_where(IN_VALUE), lambda w: w.n)))
+    free = F.expr("array_distinct(transform(case when size(__in) = 0 then __m else filter(__m, (v, i) -> not array_contains(__in, i)) end, v -> lower(v)))")
+    words = words.select("__row", "__same", "backed", F.explode(free).alias("term"))
+    n_term = (df.select(F.explode(_words(text_col)).alias("term")).groupBy("term").agg(F.count("term").alias("n_term"))
+              .where(F.col("n_term").between(SUPPORT, most)))
+    pairs = (words.join(n_term, "term").select("__row", "__same", "term", "n_term", F.explode("backed").alias("b"))
+             .where("n_term <= b.most").select("__row", "__same", "term", "n_term", "b.entity", "b.n_entity"))
+    pairs = cut(pairs, "pairs")
+    joint = (pairs.groupBy("entity", "term", "n_entity", "n_term", "__same").agg(F.count("term").alias("n"))
+             .groupBy("entity", "term", "n_entity", "n_term").agg(F.sum("n").alias("n_both"), F.count("n").alias("texts"))
+             .where(f"texts >= {SUPPORT}"))
     pmi = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term")))
     content = F.log2(F.lit(float(total)) / F.col("n_entity"))
     ratio = F.when(content > 0, pmi / content).otherwise(0.0)
-    return scored.select("entity", "term", ratio.alias("ratio")).where(F.col("ratio") >= GENERALISE).select(
+    risky = joint.select("entity", "term", ratio.alias("ratio")).where(F.col("ratio") >= GENERALISE).select(
         "entity", "term", (F.col("ratio") >= REMOVE).alias("remove"))
+    return pairs, risky
 
 
 def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -103,6 +103,22 @@ def test_licences(spark):
     assert licences.scan(df.limit(0)).count() == 0
 
 
+def test_licence_bodies_keep_lines_that_begin_with_copyright(spark):
+    texts = {name: text for name, kind, text in licences.KNOWN if kind == "text"}
+    mit = texts["MIT"].replace("\nWARRANTIES", " WARRANTIES").replace("AUTHORS OR\nCOPYRIGHT HOLDERS", "\nAUTHORS OR COPYRIGHT HOLDERS")
+    isc = texts["ISC"].replace("the above copyright", "the above\ncopyright")
+    assert mit != texts["MIT"] and isc != texts["ISC"]
+    heads = ["", "Copyright (c) 2020 Some Body\n\n", "© 2020 Some Body\nAll rights reserved.\n\n", "Copyright 2020 Some Body. "]
+    rows = [(h + form(t), name) for h in heads for t, name in ((mit, "MIT"), (isc, "ISC"), (texts["0BSD"], "0BSD"))
+            for form in (str, lambda t: " ".join(t.split()), lambda t: "\n".join(t.split(" ")))]
+    cut = mit.replace("COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES", "")
+    rows += [(cut, ""), ("copyright law\n" + isc, "")]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licences.scan(df).collect()}
+    assert [got[i].licences for i in range(len(rows))] == [name for _, name in rows]
+    assert all(got[i].whole_text == bool(name) for i, (_, name) in enumerate(rows))
+
+
 def test_url_lists(spark):
     day = lambda n: dt.date(2024, 1, n)
     entries = [("l", "block", "bad.com", day(5), "add"), ("l", "block", "bad.com", day(10), "remove"), ("l", "block", "bad.com", day(10), "add"),
@@ -179,6 +195,23 @@ def test_disclosing_words(spark):
     assert pii.report(pii.find(df.drop("email").limit(0), carry=("doc_id",))).count() == 0
 
 
+def test_disclosing_words_anywhere_in_the_document(spark):
+    draw = random.Random(11)
+    prose = lambda n: " ".join(draw.choice(["ruda", "selin", "mota", "kerin", "dolu"]) for _ in range(n))
+    rows = [(i, prose(30)) for i in range(200)]
+    rows += [(300 + i, f"Zorbinek {prose(100)} jane@mail.org {prose(60)}\n\nzorbinek, {prose(3)} mail") for i in range(3)]
+    rows += [(310, f"Zorbinek {prose(9)}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    spans = {r.doc_id: r for r in pii.find(df, carry=("doc_id",)).collect()}
+    for i in range(300, 303):
+        text = dict(rows)[i]
+        want = [m.span() for m in re.finditer("(?i)zorbinek", text)] + [(len(text) - 4, len(text))]
+        assert sorted((s.start, s.end) for s in [*spans[i].term, *spans[i].word]) == want and len(want) == 3
+        assert "orbinek" not in clean[i] and "<EMAIL>" in clean[i]
+    assert clean[310] == rows[-1][1]  # no entity in it
+
+
 def test_shards(spark):
     draw = random.Random(10)
     rows = [(i, "hot text " * 5) for i in range(700)] + [(1000 + i, "t" * draw.randint(0, 400)) for i in range(1300)] + [(5, "same")] * 50
