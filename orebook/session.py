@@ -36,14 +36,15 @@ def size_for(spark: SparkSession, input_bytes: int, partition_bytes: int = 128 *
     return wanted
 
 
-def local_session(cores: str = "*", memory: str = "8g", partitions: int = 8) -> SparkSession:
-    """A local session for tests and the benchmark; a cluster brings its own."""
+def local_session(cores: str = "*", memory: str = "8g", partitions: int = 8, shared: str | None = None) -> SparkSession:
+    """A local session for tests and the benchmark; a cluster brings its own. ``shared`` is a new folder where not given."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("orebook")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
+        .config("spark.checkpoint.dir", shared or tempfile.mkdtemp(prefix="orebook-shared-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
