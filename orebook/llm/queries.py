@@ -9,7 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orebook.llm import bpe, decontaminate, forest, language, licences, near_dup, pii, shards, token_counts, url_lists
+from orebook.llm import (
+    bpe, decontaminate, forest, language, licences, near_dup, periodic, pii, ranked, shards, sketch, token_counts, url_lists,
+)
 from orebook.session import shared_path
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -205,3 +207,64 @@ def temporal_url_lists(spark: SparkSession, folder: str) -> DataFrame:
         .union(entries(named.where("page_id % 50 = 7"), "pages", "key", F.date_sub("fetched", 1), "add"))
         .union(entries(named.where("page_id % 100 = 7"), "pages", "key", F.col("fetched"), "remove")))
     return url_lists.evaluate(pages, history).select("page_id", "host", "fetched", "lists", "blocked", "listed_since")
+
+
+SQL_RANKED = f"""
+with doc as (
+  select doc_id, regexp_extract_all(translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '{WORD}') as w
+  from documents),
+total as (select count(*) as docs, sum(len(w))::bigint as terms from doc where len(w) > 0),
+asked as (
+  select distinct item_id,
+    unnest(regexp_extract_all(translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '{WORD}')) as term from benchmark),
+posting as (
+  select doc_id, len(w) as n, term, count(*) as tf from doc, unnest(w) as t(term) group by doc_id, n, term),
+weight as (
+  select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w
+  from posting, total group by term, docs),
+scored as (
+  select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))))::bigint as score
+  from asked join posting using (term) join weight using (term), total group by item_id, doc_id),
+listed as (
+  select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score
+  from scored where score > 0)
+select * from listed where rank <= 50
+"""
+
+
+@query("op11_stratified_search", SQL_RANKED)
+def stratified_search(spark: SparkSession, folder: str) -> DataFrame:
+    docs, items = table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "benchmark", "item_id", "text")
+    return ranked.rank_all(docs, items, top=50)
+
+
+@query("op12_scaled_sketches")
+def scaled_sketches(spark: SparkSession, folder: str) -> DataFrame:
+    found = sketch.compare_with_next(table(spark, folder, "documents", "doc_id", "text"))
+    return found.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        sketch.as_text(F.col("own")).alias("fingerprint"), sketch.as_text(F.col("own_edited")).alias("edited_fingerprint"),
+        sketch.likeness(F.col("own"), F.col("own_edited")).alias("near_edited"),
+        sketch.likeness(F.col("own"), F.col("following")).alias("near_next"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Texts in which, for one id in ten, the words from one place on repeat those of a period after it."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    some = docs.withColumn("g", F.floor(h / 10)).withColumn("w", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    some = some.withColumn("a", F.expr("case when size(w) > 0 then cast(g % size(w) as int) end"))
+    some = some.withColumn("p", F.expr("cast(1 + (size(w) - a) div (3 + g % 8) as int)"))
+    planted = F.expr("array_join(transform(w, (x, i) -> case when i >= a then w[a + (i - a) % p] else x end), ' ')")
+    return some.withColumn("text", F.when(F.col("a").isNotNull(), planted).otherwise(F.col("text"))).select(*docs.columns)
+
+
+@query("op13_block_convolution_runs")
+def block_convolution_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic.find_runs(with_planted_runs(table(spark, folder, "documents", "doc_id", "text")))
+    longest = F.expr("array_max(transform(runs, r -> struct(r.length as length, -r.start as start, -r.period as period)))")
+    lines = F.transform("runs", lambda r: F.concat(r.start, F.lit(","), r.length, F.lit(","), r.period, F.lit("\n")))
+    return found.withColumn("longest", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("longest.start")).alias("start"),
+        F.col("longest.length").alias("length"), (-F.col("longest.period")).alias("period"),
+        F.expr("(1000 * longest.length) div -longest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
