@@ -33,7 +33,7 @@ from orebook.llm.decontaminate import words_of
 from orebook.session import cut, shared_path
 
 #: Terms of the documents of a shard; bytes of the items searched at once.
-SHARD_TERMS, BLOCK_BYTES = 4_000_000, 4 * 2**20
+SHARD_TERMS, BLOCK_BYTES = 2_000_000, 4 * 2**20
 COUNTED = T.StructType([
     T.StructField("n", T.LongType()),
     T.StructField("terms", T.StringType()),

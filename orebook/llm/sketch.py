@@ -112,11 +112,9 @@ def next_ids(sizes: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     sizes = cut(sizes, "ids")
     parts = max(int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sizes.count() // block_rows))
     dealt = cut(sizes.repartitionByRange(parts, "id").withColumn("part", F.spark_partition_id()), "ranges")
-    firsts = dealt.groupBy("part").agg(F.min("id").alias("first"))
     order = Window.orderBy("part")
-    least = firsts.agg(F.min("first").alias("least"))
-    firsts = (firsts.withColumn("after", F.lead("first").over(order))
-              .crossJoin(F.broadcast(least)).select("part", F.coalesce("after", "least").alias("after")))  # a single row
+    firsts = dealt.groupBy("part").agg(F.min("id").alias("first")).select("part", F.coalesce(
+        F.lead("first").over(order), F.first("first").over(order.rowsBetween(Window.unboundedPreceding, 0))).alias("after"))
     follows = F.lead("id").over(Window.partitionBy("part").orderBy("id"))
     return (dealt.withColumn("follows", follows).join(firsts, "part")
             .withColumn("next_id", F.coalesce("follows", "after")).drop("part", "follows", "after"))
@@ -126,15 +124,17 @@ def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Each row's id with ``text``, ``edited`` (its last 1 / ``part`` of code points replaced by the first as many of the
     next text), and the sketches ``own``, ``own_edited`` and ``following`` (of the next text).
 
-    Texts are shuffled once, by id, for both joins: only the beginning of the next text and its sketch travel again.
+    Texts are shuffled once, by id, for both joins: only the beginning of the next text and its sketch travel again. Both
+    joins read the same rows, those with an id, so that Spark reuses the exchange.
     """
-    docs = with_sketch(df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")), "text", "own")
+    every = with_sketch(df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")), "text", "own")
+    docs = every.where("id is not null")
     wanted = (df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.length(F.col(f"`{text_col}`")), F.lit(0)).alias("n"))
               .where("id is not null").groupBy("id").agg(F.expr(f"max(n) div {part}").cast("int").alias("take")))
     pairs = next_ids(wanted).select(F.col("id").alias("prev"), F.col("next_id").alias("id"), "take")
     given = (docs.join(pairs, "id").select("prev", F.struct(F.expr("substring(text, 1, take)").alias("head"), F.col("own").alias("own")).alias("next"))
              .groupBy("prev").agg(F.min("next").alias("next")))
-    out = docs.join(given.withColumnRenamed("prev", "id"), "id", "left")
+    out = docs.join(given.withColumnRenamed("prev", "id"), "id", "left").unionByName(every.where("id is null"), allowMissingColumns=True)
     moved = f"cast(length(text) div {part} as int)"
     out = out.withColumn("edited", F.expr(
         f"concat(substring(text, 1, length(text) - {moved}), coalesce(substring(next.head, 1, {moved}), ''))"))
