@@ -120,15 +120,21 @@ def _sql_known() -> str:
     return ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, _, text in licences.KNOWN)
 
 
+def _sql_spelled(text: str, spellings) -> str:
+    for found, used in spellings:
+        text = f"regexp_replace({text}, '{found}', '{used}', 'g')"
+    return text
+
+
 def _sql_folded(text: str) -> str:
-    out = f"regexp_replace(lower(coalesce({text}, '')), '{licences.COPYRIGHT}', '', 'g')"
-    for found, used in licences.SPELLINGS:
-        out = f"regexp_replace({out}, '{found}', '{used}', 'g')"
-    return rf"regexp_replace({out}, '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')"
+    """A notice goes up to the line end or the opening words, which stay as what the last group holds."""
+    out = rf"regexp_replace(lower(coalesce({text}, '')), '(?m){licences.NOTICE_HEAD}(?:[^\n]*?({licences.OPENS}|\n|\z))', '\1', 'g')"
+    out = rf"regexp_replace({out}, '(?m){licences.RESERVED}$', '', 'g')"
+    return rf"regexp_replace({_sql_spelled(out, licences.SPELLINGS)}, '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')"
 
 
 def _sql_canonical(text: str) -> str:
-    return rf"trim(regexp_replace({text}, '\s+', ' ', 'g'))"
+    return _sql_spelled(rf"trim(regexp_replace({text}, '\s+', ' ', 'g'))", licences.ACROSS_LINES)
 
 
 SQL_LICENCES = rf"""
