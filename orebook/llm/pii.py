@@ -9,8 +9,9 @@ both count from ``SUPPORT`` different texts on only, as one text is no evidence
 are made distinct per document, and words too frequent to reveal an entity are left out before they meet it.
 
 Positions count code points, ends are exclusive. Null text counts as empty: no spans, and sanitised it stays null.
-Repeated rows each count as a document, but never as support. Overlapping spans are replaced together. Extra columns
-are kept, columns that bear a new name are replaced. Everything is built-in functions.
+Repeated rows each count as a document, but never as support. Overlapping spans are replaced together. ``find`` keeps
+the columns it is told to carry, but for those that bear the name of a kind; ``sanitise`` keeps all columns and changes
+none but the text. Everything is built-in functions.
 """
 
 from __future__ import annotations
@@ -115,7 +116,7 @@ def find(df: DataFrame, text_col: str = "text", carry: tuple = (), name: str = "
     plain = base_spans(df, text_col).withColumn("__row", F.monotonically_increasing_id())
     entities = F.expr("array_distinct(concat(" + ", ".join(f"transform({k}, s -> xxhash64('{k}', s.value))" for k in PATTERNS) + "))")
     rows = plain.withColumn("__entities", entities).select(
-        *[F.col(f"`{c}`") for c in carry], "__row", F.xxhash64("__text").alias("__same"), *PATTERNS, "__entities",
+        *[F.col(f"`{c}`") for c in carry if c not in KINDS], "__row", F.xxhash64("__text").alias("__same"), *PATTERNS, "__entities",
         F.when(F.size("__entities") > 0, F.col("__text")).alias("__text"))
     rows = cut(rows, name)
     pairs, risky = _disclosing(df, text_col, rows)
@@ -194,6 +195,10 @@ def sanitise(df: DataFrame, text_col: str = "text") -> DataFrame:
 
     A generalised word keeps only whether it begins with a capital.
     """
+    # Names of its own for all columns, as those of ``df`` may be those of the spans.
+    names = {c: f"__column{i}" for i, c in enumerate(df.columns)}
+    columns, text_col = df.columns, names[text_col]
+    df = df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
     found = find(df, text_col, tuple(df.columns), "sanitised")
     marks = F.expr("array_sort(concat(" + ", ".join(
         f"transform({k}, s -> named_struct('start', s.start, 'end', s.end, 'mark', " + (
@@ -207,4 +212,4 @@ def sanitise(df: DataFrame, text_col: str = "text") -> DataFrame:
                 then named_struct('at', m.end, 'out', concat(a.out, array(substring(`{text_col}`, a.at + 1, m.start - a.at), m.mark)))
                 else named_struct('at', greatest(a.at, m.end), 'out', a.out) end,
             a -> concat(concat_ws('', a.out), substring(`{text_col}`, a.at + 1, length(`{text_col}`)))) end"""))
-    return done.select(*[F.col(f"`{c}`") for c in df.columns])
+    return done.select(*[F.col(names[c]).alias(c) for c in columns])

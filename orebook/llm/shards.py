@@ -8,7 +8,8 @@ tolerance or no key is left between. Only counts reach the driver: shards * PROB
 rounds for 63 bits. Then rows are exchanged once and numbered within their shard.
 
 Rows without text count 8 bytes and have the checksum of the empty text; repeated rows are rows of their own; an
-empty table gives an empty one; with fewer rows than shards some shards are empty. Everything is built-in functions.
+empty table gives an empty one; with fewer rows than shards some shards are empty. Carried columns may have any name but
+those of the result, which replace them. Everything is built-in functions.
 """
 
 from __future__ import annotations
@@ -68,8 +69,10 @@ def histogram_shards(df: DataFrame, shards: int, id_col: str = "doc_id", text_co
 
     Keys and sizes are written once, so that row numbers stay the same when a task is repeated.
     """
-    kept = list(dict.fromkeys([id_col, *carry]))
-    rows = cut(keyed(df, id_col, text_col).select(*[F.col(f"`{c}`") for c in kept], "size", "text_crc32", "row_number", "key"), "keyed")
+    kept = [c for c in dict.fromkeys([id_col, *carry]) if c == id_col or c not in ("size", "text_crc32", "shard", "slot")]
+    named = {c: f"__kept{i}" for i, c in enumerate(kept)}
+    plain = df.select(F.col(f"`{text_col}`").alias("__text"), *[F.col(f"`{c}`").alias(n) for c, n in named.items()])
+    rows = cut(keyed(plain, named[id_col], "__text").drop("__text"), "keyed")
     starts = splitters(rows, shards, tolerance)
     shard = F.lit(shards - 1)
     for s in range(shards - 2, -1, -1):
@@ -90,7 +93,7 @@ def histogram_shards(df: DataFrame, shards: int, id_col: str = "doc_id", text_co
     return (dealt.withColumn("slot", F.row_number().over(within) - 1)
             .join(F.broadcast(sizes), ["shard", "block"])  # at most shards * 1000 rows
             .withColumn("slot", (F.col("slot") + F.col("before")).cast("long"))
-            .select(*[F.col(f"`{c}`") for c in kept], "size", "text_crc32", "shard", "slot"))
+            .select(*[F.col(n).alias(c) for c, n in named.items()], "size", "text_crc32", "shard", "slot"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

@@ -1,11 +1,15 @@
 """Decontamination, language, licences, URL lists, personal data and shards on small and odd inputs."""
 
 import datetime as dt
+import math
 import random
 import re
 import zlib
 
+import duckdb
+
 from orebook.llm import decontaminate, language, licences, pii, shards, url_lists
+from orebook.llm.queries import QUERIES, TWINS
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -69,20 +73,35 @@ def test_languages(spark):
     assert {r.lang_pred for r in nothing} == {"und"} and len(nothing) == len(rows) + 4
 
 
-def test_cross_parsing_counts_phrases():
-    table = language.automaton([1, 2, 1, 2, 3], 5)
-
-    def phrases(codes):
-        state = ends = 0
-        for c in codes:
-            step = table[state * 5 + c]
-            state, ends = step >> 1, ends + (step & 1)
-        return ends + 1
-
-    assert phrases([1, 2, 1, 2, 3]) == 1
-    assert phrases([1, 2, 3, 1, 2]) == 2
-    assert phrases([2, 2, 2]) == 3
-    assert phrases([4, 4]) == 3  # a letter without any phrase ends one each
+def test_phrases_are_longest_matches():
+    draw = random.Random(3)
+    letters = "abcdeé漢字한ж"
+    for _ in range(60):
+        samples = {k: ["".join(draw.choice(letters[:-1] + " ") for _ in range(draw.randint(1, 40))) for _ in range(3)] for k in "xy"}
+        model, codes = language.Model(samples), [ord(c) for c in ("".join(draw.choice(letters + " 1") for _ in range(40)))]
+        text = "".join(map(chr, language.letters("".join(map(chr, codes)))))
+        for number, lang in enumerate(model.langs):
+            known = "".join("".join(map(chr, language.letters(t))) + " " for t in samples[lang] if len(language.letters(t)))
+            held, ends = "", 0
+            for c in text:
+                if held + c in known:
+                    held += c
+                else:
+                    held, ends = c if c in known else "", ends + 1
+            assert model.phrases(model.code[language.letters(text)][:, None])[number, 0] == ends
+
+
+def test_scripts_of_many_letters(spark):
+    draw = random.Random(12)
+    starts = {"zh": (0x4E00, 900), "ja": (0x3041, 80), "ko": (0xAC00, 1100), "ru": (0x430, 32), "el": (0x3B1, 24), "ar": (0x621, 26), "hi": (0x905, 50), "en": (97, 26)}
+    stems = {k: ["".join(chr(a + draw.randrange(n)) for _ in range(3)) for _ in range(80)] for k, (a, n) in starts.items()}
+    text = lambda k, n: " ".join(draw.choice(stems[k]) for _ in range(n))
+    fields = "doc_id long, text string, lang string"
+    labelled = spark.createDataFrame([(i, text(k, 60), k) for k in starts for i in range(12)] + [(1, text("zh", 9) * 9000, "en")], fields)
+    rows = [(i, text(k, 30), k) for i, k in enumerate(k for k in starts for _ in range(30))] + [(900, "\u0301\u0302 12", "und"), (901, "é\u0301", None)]
+    got = language.identify(spark.createDataFrame(rows, fields), labelled).collect()
+    assert sum(r.lang == r.lang_pred for r in got if r.lang) >= 0.98 * len(got)
+    assert [r.lang_pred for r in got if r.doc_id == 900] == ["und"]
 
 
 def test_licences(spark):
@@ -101,6 +120,24 @@ def test_licences(spark):
     assert all(got[k] == ("", 0, False) for k in ((5, None), (6, ""), (7, "the MIT License"), (8, rows[7][1]), (9, rows[8][1])))
     assert got[4, rows[9][1]] == ("CC-BY-4.0", 1, True)
     assert licences.scan(df.limit(0)).count() == 0
+    own = spark.createDataFrame([("Own-1.0", "You may read, but not write."), (None, "more"), ("x", "!")], "licence string, text string")
+    found = {r.doc_id: r.licences for r in licences.scan(df, texts=own).collect()}
+    assert found[7] == "" and [r.licences for r in licences.scan(df, texts=own).where("text = 'prose'").collect()] == []
+    mine = spark.createDataFrame([(1, "prose\nYOU may read but not write\n"), (2, "more"), (3, "SPDX-License-Identifier: GPL-2.0-or-later")], "doc_id long, text string")
+    assert {r.doc_id: r.licences for r in licences.scan(mine, texts=own).collect()} == {1: "Own-1.0", 2: "", 3: "GPL-2.0-or-later"}
+
+
+def test_licence_scan_and_twin_on_usual_layouts(spark, tmp_path):
+    texts = {name: text for name, kind, text in licences.KNOWN if kind == "text"}
+    rows = [f"{head}{texts[name]}" for name in sorted(texts) for head in ("", "Copyright (c) 2001 A\n\n", "MIT\n", "Copyright 2020 A, B\nAll rights reserved.\n\n")]
+    rows += ["Copyright 2020 X. Licensed under the MIT License.", "Copyright © 2020 X.\nLicenced under CC BY 4.0\n", "copyright law", None, "", "all rights reserved",
+             "Copyright 2020 " + "a😀" * 500_000 + "\nReleased under the MIT License.", "a\n\nSPDX-License-Identifier: BSD-2-Clause\n\nb", "licence\rlicensed under CC BY 4.0\r\n"]
+    spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    both = duckdb.connect()
+    both.sql(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = {r[0]: r[1:] for r in both.sql(TWINS["op1_licence_digests"]).fetchall()}
+    got = {r.doc_id: (r.licences, r.n_matches, r.whole_text) for r in QUERIES["op1_licence_digests"](spark, str(tmp_path)).collect()}
+    assert got == want and got[len(rows) - 3] == ("MIT", 2, True) and got[20][0] == "MIT"
 
 
 def test_licence_bodies_keep_lines_that_begin_with_copyright(spark):
@@ -182,17 +219,20 @@ def test_disclosing_words(spark):
     rows += [(300 + i, f"{prose()} Zorbinek kerin jane@mail.org, mota {prose()}") for i in range(4)]
     rows += [(400, "hapaxon solo@mail.org"), (401, "hapaxon solo@mail.org"), (402, None), (403, ""), (404, "x +1 (555) 123-4567 and jane@mail.org")]
     df = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, email string")
-    found = pii.report(pii.find(df.drop("email"), carry=("doc_id",))).collect()
+    found = pii.report(pii.find(df, carry=("doc_id", "email"))).collect()
     assert len(found) == len(rows)
     spans = {r.doc_id: r.spans for r in found}
     texts = dict(rows)
     named = {texts[i][int(s.split(":")[1]):int(s.split(":")[2])] for i in spans for s in spans[i].split(",") if s.startswith(("term", "word"))}
     assert named == {"Zorbinek"}  # common words reveal nothing; hapaxon has only one text behind it
     assert all(spans[300 + i].count("term:") == 1 for i in range(4))
-    clean = {r.doc_id: r.text for r in pii.sanitise(df.drop("email")).collect()}
+    wide = df.selectExpr("*", "'i' as ip", "'c' as card", "'p' as phone", "'t' as term", "'w' as word", "1 as __text", "2 as __row")
+    kept = pii.sanitise(wide).collect()
+    assert {tuple(r)[2:] for r in kept} == {("k", "i", "c", "p", "t", "w", 1, 2)} and pii.sanitise(wide).columns == wide.columns
+    clean = {r.doc_id: r.text for r in kept}
     assert clean[402] is None and clean[403] == "" and clean[404] == "x <PHONE> and <EMAIL>" and clean[0] == texts[0]
     assert "<REMOVED> kerin <EMAIL>, mota" in clean[300]
-    assert pii.report(pii.find(df.drop("email").limit(0), carry=("doc_id",))).count() == 0
+    assert pii.report(pii.find(df.limit(0), carry=("doc_id",))).count() == 0
 
 
 def test_disclosing_words_anywhere_in_the_document(spark):
@@ -212,6 +252,36 @@ def test_disclosing_words_anywhere_in_the_document(spark):
     assert clean[310] == rows[-1][1]  # no entity in it
 
 
+def test_disclosure_equals_brute_force(spark):
+    draw = random.Random(14)
+    names = ["Zorbinek", "Quallo", "Mirte", "Hosk"]
+    prose = lambda n: " ".join(draw.choice(["ruda", "selin", "mota", "kerin", "dolu", "teva", "nobi"]) for _ in range(n))
+    texts = [prose(draw.randint(0, 12)) for _ in range(120)] + [None, ""]
+    for i in range(60):
+        who = draw.choice(names)
+        texts.append(f"{who if draw.random() < 0.8 else ''} {prose(draw.randint(1, 6))} {who[:2].lower()}@mail.org {draw.choice(names) if draw.random() < 0.2 else ''}")
+    texts += texts[-10:]
+    spans = [[(k, t[a:b]) for k, at in plain_spans(t).items() for a, b in at] for t in map(lambda t: t or "", texts)]
+    words_in = [{w.lower() for w in re.findall(r"[^\W\d_]{3,}", t or "")} for t in texts]
+    free = [{w.lower() for w in re.findall(r"[^\W\d_]{3,}", re.sub(PLAIN["email"], lambda m: " " * len(m[0]), t or ""))} for t in texts]
+    want, total = set(), len(texts)
+    for entity in {s for some in spans for s in some}:
+        have = [i for i in range(total) if entity in spans[i]]
+        if len({texts[i] for i in have}) < pii.SUPPORT:
+            continue
+        for term in {w for i in have for w in free[i]}:
+            both, n = [i for i in have if term in free[i]], sum(term in w for w in words_in)
+            if len({texts[i] for i in both}) >= pii.SUPPORT:
+                ratio = math.log2(len(both) * total / (len(have) * n)) / math.log2(total / len(have))
+                want |= {(i, term, ratio >= pii.REMOVE) for i in both if ratio >= pii.GENERALISE}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = set()
+    for r in pii.find(df, carry=("doc_id",)).collect():
+        got |= {(r.doc_id, texts[r.doc_id][s.start:s.end].lower(), kind == "term") for kind in ("term", "word") for s in r[kind]}
+    strongest = {(i, t): max(x for j, u, x in want if (j, u) == (i, t)) for i, t, _ in want}
+    assert got == {(i, t, x) for (i, t), x in strongest.items()} and len(got) > 20
+
+
 def test_shards(spark):
     draw = random.Random(10)
     rows = [(i, "hot text " * 5) for i in range(700)] + [(1000 + i, "t" * draw.randint(0, 400)) for i in range(1300)] + [(5, "same")] * 50
@@ -228,5 +298,10 @@ def test_shards(spark):
             assert sorted(r.slot for r in mine) == list(range(len(mine)))
             assert abs(sum(r["size"] for r in mine) - total / 24) <= most
     few = shards.histogram_shards(df.limit(3), 24).collect()
-    assert len(few) == 3 and all(r.slot == 0 or True for r in few)
+    assert len(few) == 3 and {s: sorted(r.slot for r in few if r.shard == s) for s in {r.shard for r in few}} == {
+        s: list(range(sum(r.shard == s for r in few))) for s in {r.shard for r in few}}
+    names = ["doc_id", "text", "size", "key", "row_number", "block", "__text", "shard"]
+    odd = shards.histogram_shards(spark.createDataFrame([(i, "t", *"abcdef") for i in range(9)], names), 2, carry=tuple(names[2:]))
+    assert odd.columns == ["doc_id", "key", "row_number", "block", "__text", "size", "text_crc32", "shard", "slot"]
+    assert {(r.key, r.row_number, r.block, r["__text"], r["size"]) for r in odd.collect()} == {("b", "c", "d", "e", 9)}
     assert shards.histogram_shards(df.limit(0), 24).count() == 0
