@@ -45,12 +45,10 @@ def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_token_counts")
 def token_counts_cached(spark: SparkSession, folder: str) -> DataFrame:
     """Starts from an empty cache, so that a run counts everything itself; a user passes a lasting cache."""
-    docs = table(spark, folder, "documents", "doc_id", "text")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    docs = table(spark, folder, "documents", "doc_id", "text").withColumn("n_bytes", size)
     counted = token_counts.count_tokens(docs, WORD_TOKENIZER, shared_path(spark, "token-cache"))
-    return counted.select(
-        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens",
-        (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"),
-    )
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
 @query("op5_cross_parsing_language")
