@@ -5,16 +5,17 @@ one). In a SuperMinHash signature each shingle visits the positions in an order
 rank + fraction: ranks differ within a shingle, which correlates the positions and lowers the variance of the
 estimate; a document stops as soon as no later rank can lower any position. Bands of the signature are buckets.
 
-Equal sets are one class from the start, so copies cost one row. In each bucket the members are compared with one
-pivot, the member that shares most buckets with others (of a group of copies, mostly the original); every candidate
-is verified on the full sets, and linked documents are grouped. Buckets whose members are then in different groups
-are compared whole, block by block, inside tasks that return only which members belong together. So no pair leaves a
-task, no candidate is dropped, and two documents of one bucket end in one group if, and only if, links
-lead from one to the other. With 20 bands of 4 a pair at 0.85 is missed by all bands once in 2.5 million.
-
-Rows without words, null text included, are linked with nothing. Rows that share an id count as one document (their
-smallest text stands for it in comparisons). Rows without an id are kept unless a document with an id is in their
-group. Repeated rows get equal results. Extra columns are not read; an empty table gives an empty one.
+Equal sets are one class from the start, so copies cost one row. Classes are the nodes of the graph; ids come in only for
+the result. In each bucket the members are compared with one pivot, the member that shares most buckets with others (of a
+group of copies, mostly the original); every candidate is verified on the full sets, and linked documents are grouped.
+Buckets whose members are then in different groups are compared whole, block by block, inside tasks that return only
+which members belong together. So no pair leaves a task, no candidate is dropped, and two documents of one bucket end in
+one group if, and only if, links lead from one to the other. A bucket of k blocks sends each of its texts to k tasks.
+With 20 bands of 4 a pair at 0.85 is missed by all bands once in 2.5 million.
+
+Rows without words, null text included, are linked with nothing. Rows that share an id, and rows without one, are compared
+as any others; a group's id is the smallest one in it, null where none of its rows has an id. Repeated rows get equal
+results. Extra columns are not read; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -145,7 +146,8 @@ def verify(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> Da
                 sets[key] = shingles.of(text)
             return sets[key]
 
-        for batch in batches:
+        # Slices keep the Python copies of long texts small beside the batch itself.
+        for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
             good = []
             for a, ta, b, tb in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 x, y = of(a, ta), of(b, tb)
@@ -162,9 +164,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     bands: int = 20, rows: int = 4) -> DataFrame:
     """One row per row of ``df``: the id, ``n_shingles``, ``component_id`` (smallest id reachable) and ``kept``."""
     docs = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    signed = cut(signatures(docs, "text", shingle, bands, rows).drop("text").withColumn("row", F.monotonically_increasing_id()), "signatures")
-    groups = _groups(docs, signed, shingle, percent).select("set_digest", "group_id")
-    out = signed.join(groups, "set_digest", "left").select(
+    signed = cut(signatures(docs.withColumn("row", F.monotonically_increasing_id()), "text", shingle, bands, rows), "signed")
+    groups = _groups(signed, shingle, percent).select("set_digest", F.col("first.id").alias("group_id"))
+    out = signed.select("id", "n_shingles", "set_digest").join(groups, "set_digest", "left").select(
         F.col("id").alias(id_col), "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("group_id")).otherwise(F.col("id")).alias("component_id"))
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
@@ -175,22 +177,22 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     """``df`` with one row of each group: of the smallest id, and of repeated rows the first. Wordless rows all stay."""
     copy = df.withColumn("__row", F.monotonically_increasing_id())
     signed = cut(signatures(copy, text_col, shingle, bands, rows), "signed")
-    short = signed.select(F.col(f"`{id_col}`").alias("id"), F.col("__row").alias("row"), "n_shingles", "set_digest", "buckets")
-    docs = signed.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    # A group without an id is a class of its own, known by its digest.
-    first = (_groups(docs, short, shingle, percent)
-             .groupBy("group_id", F.when(F.col("group_id").isNull(), F.col("set_digest")).alias("alone"))
-             .agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row")))
+    short = signed.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col("__row").alias("row"),
+                          "n_shingles", "set_digest", "buckets")
+    first = _groups(short, shingle, percent).select(F.col("first.row").alias("__row")).distinct()
     stays = first.union(short.where("n_shingles = 0").select("row"))
     return signed.join(stays, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
-def _groups(docs: DataFrame, signed: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """``set_digest``, ``group_id`` (smallest id of the group) and ``first`` (its first row) of every class."""
+def _groups(signed: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """``set_digest`` and ``first`` of every class: its group's first row by id, rows without an id last.
+
+    A class is named by its first row, whose text stands for it: equal sets compare alike.
+    """
     classes = cut(signed.where("n_shingles > 0").groupBy("set_digest").agg(
         F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "row")).alias("first"), F.first("buckets").alias("buckets"))
-        .withColumn("rep", F.col("first.id")), "classes")
-    members = classes.where("rep is not null").select(F.explode("buckets").alias("bucket"), "rep").distinct()
+        .withColumn("rep", F.col("first.row")), "classes")
+    members = classes.select(F.explode("buckets").alias("bucket"), "rep").distinct()
     full = members.groupBy("bucket").agg(F.count("rep").alias("n")).where("n > 1")
     shared = cut(members.join(full, "bucket"), "buckets")
     degree = shared.groupBy("rep").agg(F.sum("n").alias("degree"))
@@ -199,13 +201,14 @@ def _groups(docs: DataFrame, signed: DataFrame, shingle: int, percent: int) -> D
     pairs = shared.join(pivot, "bucket").where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     tested = cut(pairs, "pairs")
     needed = shared.select(F.col("rep").alias("id")).distinct()
-    texts = cut(docs.join(needed, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
+    texts = cut(signed.select(F.col("row").alias("id"), "text").join(needed, "id", "left_semi"), "texts")
     links = cut(verify(tested, texts, shingle, percent), "verified")
     groups = components(links, "a", "b")
     rest = _compare_in_blocks(_mixed(shared, groups), texts, shingle, percent)
     groups = components(links.union(cut(rest, "verified")), "a", "b")
-    return (classes.join(groups, F.col("rep") == F.col("node"), "left")
-            .select("set_digest", F.coalesce("component", "rep").alias("group_id"), "first"))
+    named = (classes.join(groups, F.col("rep") == F.col("node"), "left")
+             .select("set_digest", "first", F.coalesce("component", "rep").alias("component")))
+    return named.drop("first").join(named.groupBy("component").agg(F.min("first").alias("first")), "component").drop("component")
 
 
 def _mixed(shared: DataFrame, groups: DataFrame) -> DataFrame:

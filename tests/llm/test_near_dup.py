@@ -158,3 +158,17 @@ def test_forest_recall_on_borderline_pairs():
                     leaves[k][r].add(node)
         met |= [bool(p & q) for p, q in zip(*leaves)]
     assert met.mean() >= 0.99
+
+
+def test_links_of_rows_that_share_an_id_or_have_none(spark):
+    draw = random.Random(31)
+    base = [str(draw.randint(0, 10**9)) for _ in range(60)]
+    near = [*base[:59], "other"]
+    other = [str(draw.randint(0, 10**9)) for _ in range(60)]
+    far = [str(draw.randint(0, 10**9)) for _ in range(40)]
+    rows = [(1, base), (2, near), (2, ["0", *far]), (None, [*other[:59], "x"]), (None, other), (7, far[:30])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in near_dup.near_duplicates(df, shingle=3, percent=85).collect())
+    assert got == sorted([(1, 58, 1), (2, 58, 1), (2, 39, 2), (0, 58, 0), (0, 58, 0), (7, 28, 7)])
+    kept = near_dup.drop_near_duplicates(df, shingle=3, percent=85).collect()
+    assert sorted(r.doc_id or 0 for r in kept) == [0, 1, 2, 7]
