@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from orebook.functions.numbers import ratio, to_lbs
 from orebook.functions.text import linked_key
-from orebook.operators.rollup import grain_rollup, ordered_text
+from orebook.operators.rollup import count_distinct_by, grain_rollup, ordered_text
 
 
 def job_rollup(rows: DataFrame, job: str, first: Sequence[str], last: Sequence[str], cost: str, rate: str) -> DataFrame:
@@ -47,10 +47,7 @@ def bom_expected_item(bom: DataFrame, keys: Sequence[str], numerator: str, denom
 
 def bom_type(bom: DataFrame, key: str, item: str, kinds: dict[str, Column]) -> DataFrame:
     """Distinct items per key, in all and by kind."""
-    return bom.groupBy(key).agg(
-        F.countDistinct(item).alias("items"),
-        *[F.countDistinct(F.when(c, F.col(item))).alias(n) for n, c in kinds.items()],
-    )
+    return count_distinct_by(bom, [key], item, "items", kinds)
 
 
 def produced_qty(txn: DataFrame, keys: Sequence[str], qty: str) -> DataFrame:
@@ -97,6 +94,20 @@ def link_jobs(jobs: DataFrame, order: str, line: str, shipment: str, item: str)
     return jobs.select(*keep, *linked_key(direct, F.col(item)))
 
 
+def job_facts(rows: DataFrame, job: str, qty: str, expected: Column, issued: Column, sequence: str, code: str,
+              firsts: dict[str, Column], sep: str = " → ") -> DataFrame:
+    """Everything a link needs of a job from one aggregate: ``firsts`` (smallest values), ``expected_qty`` and ``issued_qty``
+    (sums where the condition holds) and ``route`` (the distinct codes in order, null codes skipped)."""
+    step = F.when(F.col(code).isNotNull(), F.struct(F.col(sequence).isNull().alias("n"), F.col(sequence).alias("s"), F.col(code).alias("c")))
+    out = rows.groupBy(job).agg(
+        *[F.min(c).alias(n) for n, c in firsts.items()],
+        F.sum(F.when(expected, F.col(qty))).alias("expected_qty"), F.sum(F.when(issued, F.col(qty))).alias("issued_qty"),
+        F.array_sort(F.collect_set(step)).alias("__steps"),
+    )
+    route = F.when(F.size("__steps") > 0, F.array_join(F.transform("__steps", lambda x: x["c"]), sep))
+    return out.withColumn("route", route).drop("__steps")
+
+
 def order_job_link(lines: DataFrame, jobs: DataFrame, expected: DataFrame, actual: DataFrame, routes: DataFrame,
                    on: Sequence[str], job: str) -> DataFrame:
     """Order lines with their jobs, usage and route. The inputs are at job grain already, so the

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,15 +37,41 @@ def asof_values(keys: DataFrame, history: DataFrame, by: str, at: str, effective
     )
 
 
+def asof_values_chunked(keys: DataFrame, history: DataFrame, by: str, at: str, effective: str, values: Sequence[str],
+                        chunk: Callable[[Column], Column]) -> DataFrame:
+    """:func:`asof_values` for times, where one ``by`` may hold most of the rows.
+
+    ``chunk`` cuts time, never falling along it (an hour, a day). Keys and history are stacked and sorted by ``by`` and
+    chunk; a key without a history row before it in its chunk gets the last one of an earlier chunk, which is carried
+    along a table of one row per chunk. A task holds one chunk of one ``by``.
+    """
+    wanted = keys.select(F.col(by), F.col(at).alias("__at")).filter(F.col("__at").isNotNull()).distinct()
+    known = history.filter(F.col(effective).isNotNull()).groupBy(by, effective).agg(*[F.max_by(v, F.struct(*values)).alias(v) for v in values])
+    row = F.struct(effective, *values)
+    kind = known.select(row.alias("r")).schema["r"].dataType
+    rows = wanted.select(by, "__at", F.lit(1).alias("__side"), F.lit(None).cast(kind).alias("__row")).unionByName(
+        known.select(by, F.col(effective).alias("__at"), F.lit(0).alias("__side"), row.alias("__row")))
+    rows = rows.withColumn("__chunk", chunk(F.col("__at")))
+    within = Window.partitionBy(by, "__chunk").orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(by).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy(by, "__chunk").agg(F.max(F.when(F.col("__side") == 0, F.struct("__at", "__row"))).alias("__last")).select(
+        by, "__chunk", F.last("__last.__row", ignorenulls=True).over(before).alias("__carried"))
+    found = rows.withColumn("__row", F.last("__row", ignorenulls=True).over(within)).filter("__side = 1")
+    same = found[by].eqNullSafe(carried[by]) & (found["__chunk"] == carried["__chunk"])
+    return found.join(carried.hint("merge"), same).select(
+        found[by], F.col("__at").alias(at), F.coalesce("__row", "__carried").alias("__row")).select(by, at, "__row.*")
+
+
 def asof_join(facts: DataFrame, history: DataFrame, by: str, at: str, effective: str,
-              values: Sequence[str]) -> DataFrame:
-    """Facts with the values in force at their date; none in force leaves nulls.
+              values: Sequence[str], chunk: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Facts with the values in force at their date; none in force leaves nulls. ``chunk`` cuts times, where ``at`` is one.
 
     The found values, one row per distinct key and date, are written to the shared folder
     first. Their size is then known, and Spark broadcasts them if they are small and shuffles
     by key and date if they are not, with a busy key split at run time.
     """
-    found = cut(asof_values(facts, history, by, at, effective, values), "asof")
+    args = (facts, history, by, at, effective, values)
+    found = cut(asof_values(*args) if chunk is None else asof_values_chunked(*args, chunk), "asof")
     return facts.join(found, [by, at], "left")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orebook.operators.joins import keep_top
+from orebook.operators.running import LARGE_ROWS, positions
 
 
 def grain_rollup(df: DataFrame, keys: Sequence[str], first: Sequence[str] = (), last: Sequence[str] = (),
@@ -37,6 +38,63 @@ def json_list(sort: Sequence[Column], fields: Sequence[Column]) -> Column:
     return F.transform(F.array_sort(F.collect_list(item)), lambda x: x["v"])
 
 
+def list_segments(df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunks: Sequence[Column], fields: Sequence[Column],
+                  size: int, large_rows: int = LARGE_ROWS) -> DataFrame:
+    """Ordered lists of any length: ``keys``, ``segment`` (from 0), ``n`` and ``items``, at most ``size`` structs of ``fields``.
+
+    The place of a row in its group is a running count, which cuts large groups along ``order`` (see
+    :func:`orebook.operators.running.running_totals` for ``chunks``). So a group with a third of all rows becomes many
+    rows of bounded size, gathered by many tasks; a reader or a sink puts the segments of a group in line.
+    """
+    placed = positions(df, keys, order, chunks, "__place", large_rows)
+    item = F.struct(F.col("__place"), F.struct(*fields).alias("v"))
+    out = placed.groupBy(*keys, F.floor((F.col("__place") - 1) / size).cast("long").alias("segment")).agg(
+        F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(item)).alias("items"))
+    return out.withColumn("items", F.transform("items", lambda x: x["v"]))
+
+
+def distinct_flags(df: DataFrame, keys: Sequence[str], item: str, kinds: dict[str, Column]) -> DataFrame:
+    """One row per ``keys`` and ``item`` that tells for each kind whether any row is of it; null items are left out.
+
+    Distinct items of any grain coarser than ``keys`` follow from these rows by :func:`count_flags`.
+    """
+    return df.filter(F.col(item).isNotNull()).groupBy(*keys, item).agg(
+        *[F.coalesce(F.bool_or(c), F.lit(False)).alias(n) for n, c in kinds.items()])
+
+
+def count_flags(flags: DataFrame, keys: Sequence[str], item: str, total: str, kinds: Sequence[str]) -> DataFrame:
+    """Distinct items per ``keys``, in all (``total``) and by kind: flags are merged by item, then counted.
+
+    Conditional distinct counts without a copy of each row per count.
+    """
+    merged = flags.groupBy(*keys, item).agg(*[F.bool_or(n).alias(n) for n in kinds])
+    return merged.groupBy(*keys).agg(F.count(item).alias(total), *[F.count_if(F.col(n)).alias(n) for n in kinds])
+
+
+def count_distinct_by(df: DataFrame, keys: Sequence[str], item: str, total: str, kinds: dict[str, Column]) -> DataFrame:
+    """Conditional distinct counts per ``keys``; a key whose items are all null counts 0."""
+    flagged = df.groupBy(*keys, item).agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(n) for n, c in kinds.items()])
+    return flagged.groupBy(*keys).agg(
+        F.count(item).alias(total), *[F.count_if(F.col(n) & F.col(item).isNotNull()).alias(n) for n in kinds])
+
+
+def distinct_bitmaps(df: DataFrame, keys: Sequence[str], number: str, kinds: dict[str, Column]) -> DataFrame:
+    """Bitmaps of the whole numbers (0 and up) in ``number`` that occur by kind, 32,768 numbers a row and ``bucket``.
+
+    For dense numbers and coarse keys, where one row per item would be many more.
+    """
+    x = F.col(number)
+    # A bucket begins at 1; the number after is taken, so that 0 has a place.
+    return df.filter(x.isNotNull()).groupBy(*keys, F.bitmap_bucket_number(x + 1).alias("bucket")).agg(
+        *[F.bitmap_construct_agg(F.bitmap_bit_position(F.when(c, x + 1))).alias(n) for n, c in kinds.items()])
+
+
+def count_bitmaps(bitmaps: DataFrame, keys: Sequence[str], kinds: Sequence[str]) -> DataFrame:
+    """Distinct numbers per ``keys``, a grain no finer than that of the bitmaps."""
+    merged = bitmaps.groupBy(*keys, "bucket").agg(*[F.bitmap_or_agg(n).alias(n) for n in kinds])
+    return merged.groupBy(*keys).agg(*[F.sum(F.bitmap_count(n)).alias(n) for n in kinds])
+
+
 def null_last_key(c: Column) -> list[Column]:
     """Sort fields that put null last inside a struct."""
     return [c.isNull().alias("n"), c.alias("x")]

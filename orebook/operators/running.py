@@ -70,6 +70,35 @@ def running_totals(
     return out.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in plain.schema.fields])
 
 
+def positions(df: DataFrame, group: Sequence[str], order: Sequence[Column], chunks: Sequence[Column], name: str,
+              large_rows: int = LARGE_ROWS) -> DataFrame:
+    """``df`` with each row's place in its group along a total ``order``, from 1; large groups are counted in chunks."""
+    counted = running_totals(df, group, order, {name: F.lit(1).cast("long")}, chunks, large_rows=large_rows)
+    return counted.withColumn(name, F.col(name).cast("long"))
+
+
+def trailing_sums(df: DataFrame, group: Sequence[str], order: Sequence[Column], measures: dict[str, Column], chunks: Sequence[Column],
+                  rows: int, block_rows: int = LARGE_ROWS, large_rows: int = LARGE_ROWS) -> DataFrame:
+    """``df`` with the sums of every measure over the row and the ``rows`` - 1 rows before it in ``group`` along ``order``.
+
+    Rows are numbered and cut into blocks of ``block_rows`` rows. A block also gets the last ``rows`` - 1 rows before it,
+    its halo, so every frame lies in one block and no task holds more than a block and its halo. A sum over no
+    value but null is null, as in a plain window.
+    """
+    halo = rows - 1
+    if halo > block_rows:
+        raise ValueError("a block must be no shorter than the rows before it that a frame needs")
+    names = {f"__m_{n}": c for n, c in measures.items()}
+    placed = positions(df.withColumns(names), group, order, chunks, "__place", large_rows)
+    block = F.floor((F.col("__place") - 1) / block_rows)
+    last = F.pmod(F.col("__place") - 1, F.lit(block_rows)) >= block_rows - halo
+    both = placed.withColumn("__own", block).withColumn(
+        "__block", F.explode(F.when(last, F.array(block, block + 1)).otherwise(F.array(block))))
+    frame = Window.partitionBy(*group, "__block").orderBy("__place").rowsBetween(-halo, 0)
+    summed = both.withColumns({n: F.sum(f"__m_{n}").over(frame) for n in measures})
+    return summed.filter("__own = __block").select(*[F.col(f"`{c}`") for c in df.columns], *measures)
+
+
 def _plain(df, group, order, measures, totals, peaks, attrs) -> DataFrame:
     whole = Window.partitionBy(*group)
     upto = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

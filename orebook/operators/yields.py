@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from orebook.functions.dates import trailing_flags
 from orebook.functions.numbers import ratio, unit_cost_value
-from orebook.operators.rollup import distinct_text, stack
+from orebook.operators.rollup import ordered_text, stack
 
 MEASURES = (
     "picked_lbs", "picked_usd", "complete_lbs", "complete_usd", "engineered_lbs", "engineered_usd",
@@ -40,30 +40,53 @@ def yield_output_basis(df: DataFrame) -> DataFrame:
     })
 
 
-def yield_bom_basis(picked: DataFrame, item_yield: DataFrame, order_yield: DataFrame, produced: DataFrame,
-                    order: str, item: str, money: str | None = None) -> DataFrame:
-    """Expected yield by item, else by order, else 1; rolled up to the order and set against output.
+def order_item_facts(rows: DataFrame, order: str, item: str, lbs: Column, usd: Column, num: Column, den: Column,
+                     picked: Column, by_item: Column, by_order: Column, made: Column, rate: str,
+                     sums: dict[str, Column] | None = None, greatest: dict[str, Column] | None = None) -> DataFrame:
+    """One conditional aggregate by (order, item) that feeds both bases.
 
-    All four inputs meet on the order, so after the first shuffle by (order, item) the order
-    grain is reached by one aggregate. ``money`` is the type the order's figures are cast to.
+    ``picked``, ``by_item``, ``by_order`` and ``made`` tell what a row counts for: picked material, the item's and the
+    order's bill of material (``num`` / ``den``, ratio of maxima and of sums), output. ``rate`` is the type of a yield;
+    ``sums`` and ``greatest`` are further measures, summed and maximised. Rows without an order are left out.
     """
-    expected = F.coalesce(F.col("item_yield"), F.col("order_yield"), F.lit(1))
-    rows = (
-        picked.join(item_yield.select(order, item, F.col("expected_yield").alias("item_yield")), [order, item], "left")
-        .join(order_yield.select(order, F.col("expected_yield").alias("order_yield")), order, "left")
-        .withColumn("__expected_lbs", F.col("picked_lbs") * expected)
+    item_yield = ratio(F.max(F.when(by_item, num)), F.max(F.when(by_item, den)))
+    return rows.filter(F.col(order).isNotNull()).groupBy(order, item).agg(
+        F.coalesce(F.bool_or(picked), F.lit(False)).alias("__picked"),
+        F.sum(F.when(picked, lbs)).alias("picked_lbs"), F.sum(F.when(picked, usd)).alias("picked_usd"),
+        F.when(F.col(item).isNotNull(), item_yield).cast(rate).alias("item_yield"),
+        F.sum(F.when(by_order, num)).alias("__num"), F.sum(F.when(by_order, den)).alias("__den"),
+        F.sum(F.when(made, lbs)).alias("complete_lbs"),
+        *[F.sum(c).alias(n) for n, c in (sums or {}).items()], *[F.max(c).alias(n) for n, c in (greatest or {}).items()],
     )
-    typed = lambda c: c.cast(money) if money else c
-    sums = rows.groupBy(order).agg(
-        typed(F.sum("picked_lbs")).alias("picked_lbs"), typed(F.sum("picked_usd")).alias("picked_usd"),
-        ratio(typed(F.sum("__expected_lbs")), typed(F.sum("picked_lbs"))).alias("engineered_yield"),
+
+
+def order_facts(facts: DataFrame, order: str, item: str, rate: str, money: str, sums: Sequence[str] = (),
+                greatest: Sequence[str] = ()) -> DataFrame:
+    """One aggregate by order of :func:`order_item_facts`: picked amounts and items, output, ``engineered_yield``.
+
+    Expected pounds are those picked times the item's yield, else the order's, else 1. The order's yield is known only
+    after the aggregate, so the pounds of items without a yield of their own are summed apart.
+    """
+    text = facts.withColumn("__text", F.when(F.col("__picked"), F.col(item).cast("string")))
+    lbs = F.col("picked_lbs")
+    out = text.groupBy(order).agg(
+        F.bool_or("__picked").alias("any_picked"), ordered_text("__text", ["__text"], ", ").alias("picked_items"),
+        F.sum(lbs).cast(money).alias("picked_lbs"), F.sum("picked_usd").cast(money).alias("picked_usd"),
+        F.sum(lbs * F.col("item_yield")).alias("__known"), F.sum(F.when(F.col("item_yield").isNull(), lbs)).alias("__rest"),
+        ratio(F.sum("__num"), F.sum("__den")).cast(rate).alias("__order_yield"),
+        F.sum("complete_lbs").cast(money).alias("complete_lbs"),
+        *[F.sum(n).cast(money).alias(n) for n in sums], *[F.max(n).alias(n) for n in greatest],
     )
-    produced = produced.withColumn("complete_lbs", typed(F.col("complete_lbs")))
-    items = distinct_text(rows.withColumn(item, F.col(item).cast("string")), [order], item, ", ", "picked_items")
+    zero, one = F.lit(0), F.lit(1)
+    expected = F.coalesce("__known", zero) + F.coalesce("__rest", zero) * F.coalesce("__order_yield", one)
+    return out.withColumn("engineered_yield", ratio(expected.cast(money), F.col("picked_lbs"))).drop("__known", "__rest", "__order_yield")
+
+
+def yield_bom_basis(orders: DataFrame) -> DataFrame:
+    """From picked amounts, output and the expected yield of an order: its values, losses and yields."""
     c = F.col
-    out = sums.join(items, order).join(produced, order, "left")
     unit_cost = ratio(c("picked_usd"), c("picked_lbs"))
-    out = _losses(out.withColumns({
+    out = _losses(orders.withColumns({
         "complete_usd": c("complete_lbs") * unit_cost,
         "engineered_lbs": ratio(c("complete_lbs"), c("engineered_yield")),
         "engineered_usd": ratio(c("complete_lbs"), c("engineered_yield")) * unit_cost,

@@ -9,6 +9,7 @@ from orebook.functions.numbers import ratio
 from orebook.operators import rollup as R
 from orebook.operators import yields as Y
 from orebook.plans.registry import query
+from orebook.session import cut
 from orebook.plans.shapes import PRICE, SITES, SQL_LINES, SQL_ORDERS, dbl, dec, site_lines, site_orders
 
 D2 = "decimal(18,2)"
@@ -52,10 +53,35 @@ def agg_ratio_of_sums(t):
 select l_suppkey, count(distinct l_partkey) as items, count(distinct case when l_returnflag = 'R' then l_partkey end) as returned_items
 from lineitem group by 1""")
 def agg_count_distinct_cond(t):
-    return t.lineitem.groupBy("l_suppkey").agg(
-        F.countDistinct("l_partkey").alias("items"),
-        F.countDistinct(F.when(F.col("l_returnflag") == "R", F.col("l_partkey"))).alias("returned_items"),
-    )
+    return R.count_distinct_by(t.lineitem, ["l_suppkey"], "l_partkey", "items", {"returned_items": F.col("l_returnflag") == "R"})
+
+
+_KINDS = {"items": F.lit(True), "returned_items": F.col("l_returnflag") == "R", "open_items": F.col("l_linestatus") == "O"}
+
+
+@query("agg_distinct_grains", """
+select site, cast(case when grouping(ship_year) = 1 then null else ship_year end as integer) as ship_year, grouping(ship_year) = 1 as all_years,
+  count(distinct l_partkey) as items, count(distinct l_partkey) filter (where l_returnflag = 'R') as returned_items, count(distinct l_partkey) filter (where l_linestatus = 'O') as open_items
+from (select 'S' || (l_suppkey % 7) as site, year(l_shipdate) as ship_year, l_partkey, l_returnflag, l_linestatus from lineitem) group by rollup(site, ship_year) having site is not null""")
+def agg_distinct_grains(t):
+    """Distinct items by site and year and, from the same bitmaps, by site."""
+    site = F.concat(F.lit("S"), (F.col("l_suppkey") % 7).cast("string"))
+    rows = t.lineitem.withColumns({"site": site, "ship_year": F.year("l_shipdate")})
+    maps = cut(R.distinct_bitmaps(rows, ["site", "ship_year"], "l_partkey", _KINDS), "item-bitmaps")
+    by_year = R.count_bitmaps(maps, ["site", "ship_year"], list(_KINDS)).withColumn("all_years", F.lit(False))
+    return R.stack([by_year, R.count_bitmaps(maps, ["site"], list(_KINDS)).withColumn("all_years", F.lit(True))])
+
+
+@query("agg_json_array_segments", f"""
+select l_suppkey, (place - 1) // 25 as segment, count(*) as n, cast(to_json(list({{'date': strftime(l_shipdate, '%Y-%m-%d'), 'site': l_returnflag, 'part': l_partkey}} order by place)) as varchar) as details
+from (select *, row_number() over (partition by l_suppkey order by {", ".join(["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"])}) as place from lineitem) group by 1, 2""")
+def agg_json_array_segments(t):
+    """Lists of any length as numbered segments of at most 25 rows."""
+    ship = F.col("l_shipdate")
+    order = [ship.asc_nulls_last(), *[F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")]]
+    fields = [F.date_format(ship, "yyyy-MM-dd").alias("date"), F.col("l_returnflag").alias("site"), F.col("l_partkey").alias("part")]
+    out = R.list_segments(t.lineitem, ["l_suppkey"], order, [F.to_date(ship), F.shiftright("l_orderkey", 20)], fields, 25)
+    return out.select("l_suppkey", "segment", "n", F.to_json("items").alias("details"))
 
 
 @query("agg_conditional", """

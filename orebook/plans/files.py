@@ -11,8 +11,10 @@ from orebook.plans.registry import query
 from orebook.plans.shapes import SQL_ORDERS, dbl, dec, site_orders
 from orebook.session import shared_path
 from orebook.sinks import writers as W
+from orebook.sinks.published import PublishedTable
 from orebook.sources import csv_files as S
 from orebook.sources import feeds as FD
+from orebook.sources import numbered as N
 from orebook.sources import tables as T
 
 
@@ -26,6 +28,17 @@ def _orders_text(t):
     )
 
 
+def _titled_files(rows, titles, path):
+    """Lines (``at``, ``value``) in as many files as there are shuffle partitions, each with the ``titles`` on top."""
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    top = F.posexplode(F.array(*map(F.lit, titles)))
+    heads = spark.range(parts).select(F.col("id").cast("int").alias("part"), top).select("part", F.lit(0).alias("below"), F.col("pos").cast("long").alias("at"), F.col("col").alias("value"))
+    dealt = rows.select(F.pmod(F.hash("at"), F.lit(parts)).alias("part"), F.lit(1).alias("below"), "at", "value")
+    lines = heads.union(dealt).repartition(parts, "part").sortWithinPartitions("part", "below", "at")
+    lines.select("part", "value").write.partitionBy("part").text(path)
+
+
 @query("src_csv_na", """
 select cast(o_orderkey as varchar) as o_orderkey, case o_orderstatus when 'P' then null when 'O' then null else o_orderpriority end as note,
   case when o_orderpriority in ('1-URGENT', '2-HIGH') then null else cast(o_orderdate as date) end as order_date from orders""")
@@ -102,12 +115,19 @@ select cast(o_orderkey as varchar) as order_line, case when o_orderstatus <> 'O'
 union all select cast(o_orderkey as varchar), o_orderpriority, '07.01.98', date '1998-07-01' from orders where o_orderstatus = 'P'
 union all select cast(o_orderkey as varchar), null, 'Old stuff', null from orders where o_orderstatus = 'O'""")
 def src_snapshot_conform(t):
-    rows = lambda status, *cols: t.orders.filter(F.col("o_orderstatus") == status).select(*cols)
-    key, reason = F.col("o_orderkey"), F.col("o_orderpriority")
-    first = rows("F", key.alias("Order Line"), reason.alias("Reason"))
-    second = rows("P", key.alias("order line "), reason.alias(" "), F.col("o_totalprice").alias("stray"))  # blank header, extra column
-    third = rows("O", key.alias("Order-Line"))  # column missing, name is no date
-    return S.conform_snapshots([("06.18.98", first), ("07.01.98", second), ("Old stuff", third)])
+    """A file per snapshot, read in one scan: a blank header and an extra column, a missing column, a name that is no date."""
+    path = shared_path(t.spark, "snapshots")
+    key, reason = _text("o_orderkey"), F.col("o_orderpriority")
+    forms = {
+        "F": ("06.18.98", "Order Line,Reason", F.concat_ws(",", key, reason)),
+        "P": ("07.01.98", "order line , ,stray", F.concat_ws(",", key, reason, _text("o_totalprice"))),
+        "O": ("Old stuff", "Order-Line", key),
+    }
+    for status, (tab, head, line) in forms.items():
+        rows = t.orders.filter(F.col("o_orderstatus") == status).select(F.col("o_orderkey").alias("at"), line.alias("value"))
+        _titled_files(rows, ["Report of the day", head], f"{path}/tab={tab}")
+    tab = lambda file: F.url_decode(F.regexp_extract(file, "tab=([^/]*)/", 1))
+    return N.read_snapshots(t.spark, f"{path}/tab=*/part=*", ["Order Line", "Reason"], tab, skip=1)
 
 
 @query("src_db_table", "select p_partkey, p_brand, p_retailprice from part")
@@ -173,12 +193,12 @@ select o_orderkey, o_orderpriority, cast(o_totalprice as varchar) as extra from
 union all select o_orderkey, null, null from orders where o_orderstatus = 'O'""")
 def sink_truncate_evolve(t):
     """Replace, then truncate with a new column (kept as text), then append with a column missing."""
-    path = shared_path(t.spark, "load")
+    table = PublishedTable(t.spark, shared_path(t.spark, "load"))
     part = lambda s, *cols: t.orders.filter(F.col("o_orderstatus") == s).select(*cols)
-    W.load(part("F", "o_orderkey", "o_orderpriority"), path, "replace")
-    W.load(part("P", "o_orderkey", "o_orderpriority", F.col("o_totalprice").alias("extra")), path, "truncate")
-    W.load(part("O", "o_orderkey"), path, "append")
-    return W.read_loaded(t.spark, path)
+    table.replace(part("F", "o_orderkey", "o_orderpriority"))
+    table.truncate(part("P", "o_orderkey", "o_orderpriority", F.col("o_totalprice").alias("extra")))
+    table.append(part("O", "o_orderkey"))
+    return table.read()
 
 
 @query("sink_view_or_table", """
@@ -205,6 +225,34 @@ def sink_incremental_snapshot(t):
     return t.spark.read.parquet(path).select("snapshot_date", "o_orderpriority", "n")
 
 
+@query("sink_merge_by_key", """
+with per as (select cast(date_trunc('year', o_orderdate) as date) as day, o_orderstatus, o_orderpriority, count(*) as n from orders group by 1, 2, 3)
+select day, o_orderstatus, o_orderpriority, cast(case when o_orderstatus = 'P' and day >= date '1996-01-01' then n + 1 else n end as bigint) as n from per where o_orderstatus <> 'O' or day >= date '1997-01-01'""")
+def sink_merge_by_key(t):
+    """Logged rows replaced by key: a load without some days, an overlapping one with other counts, and that one again."""
+    table = PublishedTable(t.spark, shared_path(t.spark, "merged"), partition="day")
+    keys = ["day", "o_orderstatus", "o_orderpriority"]
+    per = t.orders.groupBy(F.to_date(F.date_trunc("year", "o_orderdate")).alias("day"), "o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    table.merge(per.filter("o_orderstatus <> 'O'"), keys)
+    later = per.filter("(o_orderstatus = 'O' and day >= date '1997-01-01') or (o_orderstatus = 'P' and day >= date '1996-01-01')")
+    later = later.withColumn("n", F.col("n") + F.when(F.col("o_orderstatus") == "P", 1).otherwise(0))
+    table.merge(later, keys)
+    table.merge(later, keys)
+    return table.read().select(*keys, "n")
+
+
+@query("src_csv_title_rows", """
+select cast(o_orderkey as varchar) as o_orderkey, nullif(o_orderpriority, '5-LOW') as note, strftime(o_orderdate, '%Y-%m-%d') as order_date from orders""")
+def src_csv_title_rows(t):
+    """Seven title rows, one of them like data and one blank, above a header whose columns are in another order."""
+    path = shared_path(t.spark, "titles")
+    top = ["Report", "", '"a, b",c', "1,2,3", "x", "", "end", "order_date, note,o_orderkey"]
+    note = F.when(F.col("o_orderpriority") == "5-LOW", "N/A").otherwise(F.concat(F.lit('"'), "o_orderpriority", F.lit('"')))
+    rows = _orders_text(t).select(F.col("o_orderkey").cast("long").alias("at"), F.concat_ws(",", "order_date", note, "o_orderkey").alias("value"))
+    _titled_files(rows, top, path)
+    return N.read_csv_skipping(t.spark, f"{path}/part=*", 7, ["o_orderkey", "note", "order_date"])
+
+
 @query("sink_csv_bom_archive", """
 select cast(o_orderkey as varchar) as o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as order_date, o_orderpriority, copy from orders, (values ('now'), ('1999-06-30')) c(copy) where o_orderstatus = 'F'""")
 def sink_csv_bom_archive(t):

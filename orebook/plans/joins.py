@@ -100,6 +100,23 @@ def join_range_asof_two_step(t):
     return J.asof_join(dated_orders(t).drop("o_totalprice"), monthly_rates(t), "ccy", "order_date", "rate_date", ["rate"])
 
 
+@query("join_asof_timestamp", """
+with view as (select event_type, cast(ts as timestamp) as ts, event_id, value, user_id from events where event_type <> 'error'),
+ error as (select event_type, ts, max({'value': value, 'user_id': user_id}) as r from (
+   select case when user_id % 3 = 0 then 'click' else 'view' end as event_type, cast(ts as timestamp) as ts, value, user_id from events where event_type = 'error') group by 1, 2)
+select event_id, view.event_type, cast(strftime(view.ts, '%Y-%m-%d %H:%M:%S.%f') as varchar) as at, cast(strftime(error.ts, '%Y-%m-%d %H:%M:%S.%f') as varchar) as since, r.value as last_value, r.user_id as last_user
+from view asof left join error on view.event_type = error.event_type and view.ts >= error.ts""")
+def join_asof_timestamp(t):
+    """The last error before each event, by kind of event and time; a kind's time is cut into days."""
+    events = t.events.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    facts = events.filter("event_type <> 'error'").select("event_id", "event_type", "ts")
+    history = events.filter("event_type = 'error'").select(
+        F.when(F.col("user_id") % 3 == 0, "click").otherwise("view").alias("event_type"), F.col("ts").alias("since"), "value", "user_id")
+    found = J.asof_join(facts, history, "event_type", "ts", "since", ["value", "user_id"], chunk=lambda at: F.to_date(at))
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return found.select("event_id", "event_type", text("ts").alias("at"), text("since").alias("since"), F.col("value").alias("last_value"), F.col("user_id").alias("last_user"))
+
+
 SQL_TARGETS = """targets(site, effective_from, target) as (values
   ('AFRICA', date '1995-06-01', 20), ('AFRICA', date '1997-01-01', 25), ('ASIA', date '1996-01-01', 18),
   ('EUROPE', date '1995-01-01', 22), ('EUROPE', date '1998-07-01', 30), ('MIDEAST', date '1999-01-01', 15))"""

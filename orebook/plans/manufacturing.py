@@ -111,23 +111,18 @@ select o.so_nbr, o.so_line, o.so_shipment, sales_usd, j.job, link_source, expect
 left join linked j on o.so_nbr = j.so_nbr and o.so_line = j.so_line and o.so_shipment = j.so_shipment left join expected e on j.job = e.job left join actual a on j.job = a.job left join r on j.job = r.job""")
 def op_order_job_link(t):
     txt = lambda c: F.col(c).cast("string")
-    lines = t.lineitem.groupBy(txt("l_orderkey").alias("so_nbr"), txt("l_linenumber").alias("so_line"), F.lit("1").alias("so_shipment")).agg(
-        dbl(F.sum(dec("l_extendedprice", PRICE))).alias("sales_usd")
-    )
-    # Only the route needs an attribute of the part; the rest is read from the lines alone.
-    rows = t.lineitem.withColumns({"job": F.col("l_orderkey") * 8 + F.col("l_linenumber"), "qty": dec("l_quantity")})
-    is_open, star = F.col("l_linestatus") == "O", F.lit("*")
-    item = F.concat(txt("l_orderkey"), star, txt("l_linenumber"), F.when(F.col("l_returnflag") == "R", "*1").otherwise("*"))
-    jobs = rows.groupBy("job").agg(
-        F.min(F.when(is_open, txt("l_orderkey"))).alias("so_nbr"), F.min(F.when(is_open, txt("l_linenumber"))).alias("so_line"),
-        F.min(F.when(is_open, F.lit("1"))).alias("so_shipment"), F.min(item).alias("item"),
-    )
-    linked = JB.link_jobs(jobs, "so_nbr", "so_line", "so_shipment", "item").drop("item")
-    expected = rows.filter("l_returnflag != 'N'").groupBy("job").agg(dbl(F.sum("qty")).alias("expected_qty"))
-    actual = rows.filter("l_returnflag = 'R'").groupBy("job").agg(dbl(F.sum("qty")).alias("issued_qty"))
-    typed = rows.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
-    steps = JB.route_steps(typed, "job", "l_suppkey", "p_type").groupBy("job").agg(R.ordered_text("p_type", ["l_suppkey", "p_type"], " → ").alias("route"))
-    return JB.order_job_link(lines, linked, expected, actual, steps, ["so_nbr", "so_line", "so_shipment"], "job")
+    lines = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(dbl(F.sum(dec("l_extendedprice", PRICE))).alias("sales_usd")).select(
+        txt("l_orderkey").alias("so_nbr"), txt("l_linenumber").alias("so_line"), F.lit("1").alias("so_shipment"), "sales_usd")
+    rows = t.lineitem.withColumns({"job": F.col("l_orderkey") * 8 + F.col("l_linenumber"), "qty": dec("l_quantity")}).join(
+        t.part.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"), "left")
+    is_open, star, flag = F.col("l_linestatus") == "O", F.lit("*"), F.col("l_returnflag")
+    item = F.concat(txt("l_orderkey"), star, txt("l_linenumber"), F.when(flag == "R", "*1").otherwise("*"))
+    # The lines are read twice: once by order line, once by job.
+    jobs = JB.job_facts(rows, "job", "qty", flag != "N", flag == "R", "l_suppkey", "p_type", {
+        "so_nbr": F.when(is_open, txt("l_orderkey")), "so_line": F.when(is_open, txt("l_linenumber")),
+        "so_shipment": F.when(is_open, F.lit("1")), "item": item})
+    linked = JB.link_jobs(jobs.withColumns({"expected_qty": dbl("expected_qty"), "issued_qty": dbl("issued_qty")}), "so_nbr", "so_line", "so_shipment", "item")
+    return lines.join(linked.drop("item"), ["so_nbr", "so_line", "so_shipment"], "left")
 
 
 # Yield by order: picked is every line, complete the lines not returned, engineered less the discount.
@@ -140,13 +135,15 @@ SQL_YIELD_OUT = SQL_YIELD_IN + """, yusd as (select *, picked_usd / nullif(picke
    complete_lbs / nullif(picked_lbs, 0) / nullif(complete_lbs / nullif(engineered_lbs, 0), 0) as yield_performance from yusd)"""
 
 
+OUTPUT = {
+    "out_picked_lbs": lambda: dec("l_quantity"), "out_picked_usd": lambda: dec("l_extendedprice", PRICE),
+    "out_complete_lbs": lambda: F.when(F.col("l_returnflag") != "R", dec("l_quantity")),
+    "out_engineered_lbs": lambda: (F.col("l_quantity") * (1 - F.col("l_discount"))).cast("decimal(18,4)"),
+}
+
+
 def yield_out(t):
-    q = dec("l_quantity")
-    rows = t.lineitem.groupBy(F.col("l_orderkey").alias("job")).agg(
-        dbl(F.sum(q)).alias("picked_lbs"), dbl(F.sum(dec("l_extendedprice", PRICE))).alias("picked_usd"),
-        dbl(F.sum(F.when(F.col("l_returnflag") != "R", q))).alias("complete_lbs"),
-        dbl(F.sum((F.col("l_quantity") * (1 - F.col("l_discount"))).cast("decimal(18,4)"))).alias("engineered_lbs"),
-    )
+    rows = t.lineitem.groupBy(F.col("l_orderkey").alias("job")).agg(*[dbl(F.sum(c())).alias(n.removeprefix("out_")) for n, c in OUTPUT.items()])
     return Y.yield_output_basis(rows)
 
 
@@ -155,31 +152,34 @@ def op_yield_metrics_output_basis(t):
     return yield_out(t)
 
 
-SQL_BOM = """pick as (select l_orderkey as job, l_partkey as item, sum(cast(l_quantity as decimal(18,2))) as picked_lbs, sum(cast(l_extendedprice as decimal(18,2))) as picked_usd from lineitem where l_returnflag <> 'A' group by 1, 2),
- iy as (select l_orderkey as job, l_partkey as item, cast(max(l_quantity) / nullif(max(l_quantity + l_linenumber), 0) as decimal(18,6)) as item_yield from lineitem where l_linestatus = 'O' group by 1, 2),
- oy as (select l_orderkey as job, cast(sum(l_quantity) / nullif(sum(l_quantity + l_linenumber), 0) as decimal(18,6)) as order_yield from lineitem where l_linenumber <= 3 group by 1),
- pq as (select l_orderkey as job, cast(sum(cast(l_quantity as decimal(18,2))) as double) as complete_lbs from lineitem where l_returnflag = 'A' group by 1),
- agg as (select p.job, string_agg(distinct cast(p.item as varchar), ', ' order by cast(p.item as varchar)) as picked_items, cast(sum(picked_lbs) as double) as picked_lbs, cast(sum(picked_usd) as double) as picked_usd,
-   cast(sum(picked_lbs * coalesce(item_yield, order_yield, 1)) as double) / nullif(cast(sum(picked_lbs) as double), 0) as ey
-   from pick p left join iy on p.job = iy.job and p.item = iy.item left join oy on p.job = oy.job group by 1),
- bom0 as (select a.*, complete_lbs, complete_lbs * (picked_usd / nullif(picked_lbs, 0)) as complete_usd, complete_lbs / nullif(ey, 0) as engineered_lbs, complete_lbs / nullif(ey, 0) * (picked_usd / nullif(picked_lbs, 0)) as engineered_usd
-   from agg a left join pq on a.job = pq.job),
- bom as (select job, picked_items, picked_lbs, picked_usd, complete_lbs, complete_usd, engineered_lbs, engineered_usd, picked_lbs - complete_lbs as yieldloss_lbs, picked_usd - complete_usd as yieldloss_usd,
-   picked_lbs - engineered_lbs as yieldvar_lbs, picked_usd - engineered_usd as yieldvar_usd, ey as engineered_yield, complete_lbs / nullif(picked_lbs, 0) as actual_yield,
-   complete_lbs / nullif(picked_lbs, 0) / nullif(ey, 0) as yield_performance from bom0)"""
+# The expected output of a picked line is its pounds times the rate of its item in the order, of the order, or 1.
+_RATE = "cast({a}(l_quantity) filter (where {c}) over (partition by {k}) / nullif({a}(l_quantity + l_linenumber) filter (where {c}) over (partition by {k}), 0) as decimal(18,6))"
+SQL_BOM = f"""bom as (
+  select job, picked_items, lbs as picked_lbs, usd as picked_usd, made as complete_lbs, made * (usd / nullif(lbs, 0)) as complete_usd, made / nullif(r, 0) as engineered_lbs,
+    made / nullif(r, 0) * (usd / nullif(lbs, 0)) as engineered_usd, lbs - made as yieldloss_lbs, usd - made * (usd / nullif(lbs, 0)) as yieldloss_usd, lbs - made / nullif(r, 0) as yieldvar_lbs,
+    usd - made / nullif(r, 0) * (usd / nullif(lbs, 0)) as yieldvar_usd, r as engineered_yield, made / nullif(lbs, 0) as actual_yield, made / nullif(lbs, 0) / nullif(r, 0) as yield_performance
+  from (select job, picked_items, lbs, usd, made, cast(out_lbs as double) / nullif(lbs, 0) as r from (
+    select l_orderkey as job, string_agg(distinct cast(l_partkey as varchar), ', ' order by cast(l_partkey as varchar)) filter (where taken) as picked_items,
+      cast(sum(q) filter (where taken) as double) as lbs, cast(sum(cast(l_extendedprice as decimal(18,2))) filter (where taken) as double) as usd,
+      cast(sum(q) filter (where l_returnflag = 'A') as double) as made, sum(q * coalesce(item_rate, order_rate, 1)) filter (where taken) as out_lbs
+    from (select *, l_returnflag <> 'A' as taken, cast(l_quantity as decimal(18,2)) as q, {_RATE.format(a="max", c="l_linestatus = 'O'", k="l_orderkey, l_partkey")} as item_rate,
+        {_RATE.format(a="sum", c="l_linenumber <= 3", k="l_orderkey")} as order_rate from lineitem)
+    group by l_orderkey having bool_or(taken))))"""
+
+RATE = "decimal(18,6)"
+
+
+def line_facts(rows, sums=None, greatest=None):
+    """What both bases need of each order and item, from rows with ``l_orderkey`` and ``l_partkey``."""
+    flag, qty = F.col("l_returnflag"), F.col("l_quantity")
+    return Y.order_item_facts(rows, "l_orderkey", "l_partkey", dec("l_quantity"), dec("l_extendedprice", PRICE), qty, qty + F.col("l_linenumber"),
+                              flag != "A", F.col("l_linestatus") == "O", F.col("l_linenumber") <= 3, flag == "A", RATE, sums, greatest)
 
 
 def yield_bom(t):
-    li = t.lineitem.withColumns({"job": F.col("l_orderkey"), "item": F.col("l_partkey"), "q": dec("l_quantity")})
-    picked = li.filter("l_returnflag != 'A'").groupBy("job", "item").agg(F.sum("q").alias("picked_lbs"), F.sum(dec("l_extendedprice", PRICE)).alias("picked_usd"))
-    gross = F.col("l_quantity") + F.col("l_linenumber")
-    bom = li.select("job", "item", "l_linenumber", "l_linestatus", F.col("l_quantity").alias("num"), gross.alias("den"))
-    six = lambda df: df.withColumn("expected_yield", F.col("expected_yield").cast("decimal(18,6)"))
-    by_item = six(JB.bom_expected_item(bom.filter("l_linestatus = 'O'"), ["job", "item"], "num", "den"))
-    by_order = six(JB.bom_expected(bom.filter("l_linenumber <= 3"), ["job"], "num", "den"))
-    produced = JB.produced_qty(li.filter("l_returnflag = 'A'"), ["job"], "q")
     # Exact sums first, floating point from the order grain on.
-    return Y.yield_bom_basis(picked, by_item, by_order, produced, "job", "item", money="double")
+    orders = Y.order_facts(line_facts(t.lineitem), "l_orderkey", "l_partkey", RATE, "double").filter("any_picked")
+    return Y.yield_bom_basis(orders.drop("any_picked").withColumnRenamed("l_orderkey", "job"))
 
 
 @query("op_yield_metrics_bom_basis", f"with {SQL_BOM} select * from bom")
@@ -223,14 +223,35 @@ SQL_ALL_YIELD = f"{SQL_ORDERS}, {SQL_ROUTE}, {SQL_YIELD_OUT}, {SQL_BOM}, {SQL_CA
 
 
 def final(t):
+    """Both bases from one read of the lines: those of finished jobs, by order and item, then by order.
+
+    The lines meet the finished jobs of the window first, which deals them out by order; neither aggregate, nor the join
+    with the jobs' attributes, moves them again.
+    """
     status = F.when(F.col("o_orderstatus") == "F", "Complete").when(F.col("o_orderstatus") == "P", "Closed").otherwise("Released")
-    jobs = site_orders(t).join(routes(t).select(F.col("l_orderkey").alias("o_orderkey"), "loss_op_name"), "o_orderkey", "left").select(
-        F.col("o_orderkey").alias("job"), F.col("order_date").alias("complete_date"), "site", status.alias("prod_status"), "loss_op_name"
-    )
-    # Both bases are at job grain: stacked first, they meet the job attributes in one join.
-    both = R.stack([yield_out(t).withColumn("basis", F.lit("output")), yield_bom(t).withColumn("basis", F.lit("bom"))])
-    return Y.yield_final([jobs.join(both, "job")], SINCE, AS_OF, "prod_status", ("Complete", "Closed"), "complete_date", "Drill", "loss_op_name",
-                         calendar(t).select("calendar_date", *FISCAL))
+    done = ("Complete", "Closed")
+    jobs = site_orders(t).select(F.col("o_orderkey").alias("job"), F.col("order_date").alias("complete_date"), "site", status.alias("prod_status")).filter(
+        F.col("complete_date").between(F.lit(SINCE), F.lit(AS_OF)) & F.col("prod_status").isin(*done))
+    names = reference_table(t.spark, OP_NAMES, "op_code string, op_name string")
+    ranks = reference_table(t.spark, OP_RANKS, "op_name string, rank int")
+    ops = names.join(ranks, "op_name", "left").select("op_code", "op_name", "rank")
+    lines = (t.lineitem.join(t.part.select("p_partkey", F.col("p_type").alias("op_code")), F.col("l_partkey") == F.col("p_partkey"), "left")
+             .join(ops, "op_code", "left").join(jobs, F.col("l_orderkey") == F.col("job"), "left_semi"))
+    # The loss belongs to the operation of the lowest rank on the route, of equal ranks to the greatest name.
+    owner = F.when(F.col("rank").isNotNull(), F.struct((-F.col("rank")).alias("r"), F.col("op_name").alias("n")))
+    facts = line_facts(lines, {n: c() for n, c in OUTPUT.items()}, {"__owner": owner})
+    orders = Y.order_facts(facts, "l_orderkey", "l_partkey", RATE, "double", list(OUTPUT), ["__owner"]).withColumnsRenamed({"l_orderkey": "job"})
+    orders = orders.join(jobs, "job").withColumn("loss_op_name", F.col("__owner.n"))
+    measures = [*Y.MEASURES, "engineered_yield", "actual_yield", "yield_performance"]
+    beside = Y.yield_bom_basis(orders).withColumnsRenamed({m: f"bom_{m}" for m in (*measures, "picked_items")})
+    beside = Y.yield_output_basis(beside.withColumnsRenamed({n: n.removeprefix("out_") for n in OUTPUT}))
+
+    def basis(name, items, prefix=""):
+        return F.struct(F.lit(name).alias("basis"), items.cast("string").alias("picked_items"), *[F.col(prefix + m).alias(m) for m in measures])
+
+    both = F.array(basis("output", F.lit(None)), F.when(F.col("any_picked"), basis("bom", F.col("bom_picked_items"), "bom_")))
+    rows = beside.select("job", "complete_date", "site", "prod_status", "loss_op_name", F.inline(both)).filter("basis is not null")
+    return Y.yield_final([rows], SINCE, AS_OF, "prod_status", done, "complete_date", "Drill", "loss_op_name", calendar(t).select("calendar_date", *FISCAL))
 
 
 @query("op_yield_final", f"with {SQL_ALL_YIELD} select * from fin")

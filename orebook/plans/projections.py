@@ -44,11 +44,12 @@ def proj_sentinel_date(t):
 
 
 @query("proj_blank_to_null_cast", """
-select doc_id, cast(cast(nullif(trim(regexp_extract(text, '[0-9]+', 0)), '') as decimal(38,2)) as double) as first_number
+select doc_id, cast(try_cast(nullif(trim(regexp_extract(text, '[0-9]+', 0)), '') as decimal(38,2)) as double) as first_number
 from documents""")
 def proj_blank_to_null_cast(t):
     found = F.regexp_extract("text", "[0-9]+", 0)
-    return t.documents.select("doc_id", dbl(C.blank_to_null_cast(found, "decimal(38,2)")).alias("first_number"))
+    # A run of more than 36 digits is beyond the type and gives null.
+    return t.documents.select("doc_id", dbl(C.blank_to_null_cast(found, "decimal(38,2)", lenient=True)).alias("first_number"))
 
 
 @query("proj_ratio_guard", """

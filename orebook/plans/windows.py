@@ -6,13 +6,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from orebook.functions.dates import overlap_seconds
+from orebook.functions.numbers import ratio
 from orebook.operators import allocation as A
 from orebook.operators import backlog as B
 from orebook.operators import joins as J
 from orebook.operators import machine as M
 from orebook.operators import rollup as R
 from orebook.operators import timegrid as G
-from orebook.operators.running import running_totals
+from orebook.operators.running import running_totals, trailing_sums
 from orebook.plans.joins import BANDS, SQL_BANDS, SQL_TARGETS, TARGETS, targets
 from orebook.plans.registry import query
 from orebook.sources.tables import reference_table
@@ -164,6 +165,22 @@ def win_trailing_rows(t):
     return daily(t).select("dt", "site", F.sum("new_orders").over(w).alias("new_7d"), F.avg("open_orders").over(w).alias("open_avg"))
 
 
+_LINE_PLACE = "l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice"
+
+
+@query("win_trailing_blocks", f"""
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, cast(sum(cast(l_quantity as decimal(18,2))) over w as double) as qty_12,
+  cast(sum(cast(l_extendedprice as decimal(18,2))) over w as double) / nullif(cast(sum(cast(l_quantity as decimal(18,2))) over w as double), 0) as price_12
+from lineitem window w as (partition by l_returnflag order by {_LINE_PLACE} rows between 11 preceding and current row)""")
+def win_trailing_blocks(t):
+    """Sums of the last twelve lines and their ratio, over groups that each hold a third of all lines or more."""
+    lines = t.lineitem.select("l_returnflag", "l_shipdate", *KEYS, "l_quantity", "l_extendedprice")
+    order = [F.col("l_shipdate").asc_nulls_last(), *[F.col(c) for c in _LINE_PLACE.split(", ")[1:]]]
+    out = trailing_sums(lines, ["l_returnflag"], order, {"qty": dec("l_quantity"), "usd": dec("l_extendedprice")},
+                        [F.to_date("l_shipdate"), F.shiftright("l_orderkey", 20)], 12)
+    return out.select(*KEYS, "l_quantity", "l_extendedprice", dbl("qty").alias("qty_12"), ratio(dbl("usd"), dbl("qty")).alias("price_12"))
+
+
 @query("win_ratio_of_window_sums", f"with {SQL_DAILY} select dt, site, new_orders_week_avg, shipped_orders_week_avg from trend")
 def win_ratio_of_window_sums(t):
     return daily(t).select("dt", "site", "new_orders_week_avg", "shipped_orders_week_avg")
