@@ -181,7 +181,7 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
                           "n_shingles", "set_digest", "buckets")
     first = _groups(short, shingle, percent).select(F.col("first.row").alias("__row")).distinct()
     stays = first.union(short.where("n_shingles = 0").select("row"))
-    return signed.join(stays, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
+    return signed.join(stays.hint("merge"), "__row", "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def _groups(signed: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -201,7 +201,8 @@ def _groups(signed: DataFrame, shingle: int, percent: int) -> DataFrame:
     pairs = shared.join(pivot, "bucket").where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     tested = cut(pairs, "pairs")
     needed = shared.select(F.col("rep").alias("id")).distinct()
-    texts = cut(signed.select(F.col("row").alias("id"), "text").join(needed, "id", "left_semi"), "texts")
+    # Both sides grow with the table; a small one is not to be joined in another way than a large one.
+    texts = cut(signed.select(F.col("row").alias("id"), "text").join(needed.hint("merge"), "id", "left_semi"), "texts")
     links = cut(verify(tested, texts, shingle, percent), "verified")
     groups = components(links, "a", "b")
     rest = _compare_in_blocks(_mixed(shared, groups), texts, shingle, percent)
