@@ -56,9 +56,6 @@ def agg_count_distinct_cond(t):
     return R.count_distinct_by(t.lineitem, ["l_suppkey"], "l_partkey", "items", {"returned_items": F.col("l_returnflag") == "R"})
 
 
-_KINDS = {"items": F.lit(True), "returned_items": F.col("l_returnflag") == "R", "open_items": F.col("l_linestatus") == "O"}
-
-
 @query("agg_distinct_grains", """
 select site, cast(case when grouping(ship_year) = 1 then null else ship_year end as integer) as ship_year, grouping(ship_year) = 1 as all_years,
   count(distinct l_partkey) as items, count(distinct l_partkey) filter (where l_returnflag = 'R') as returned_items, count(distinct l_partkey) filter (where l_linestatus = 'O') as open_items
@@ -66,10 +63,11 @@ from (select 'S' || (l_suppkey % 7) as site, year(l_shipdate) as ship_year, l_pa
 def agg_distinct_grains(t):
     """Distinct items by site and year and, from the same bitmaps, by site."""
     site = F.concat(F.lit("S"), (F.col("l_suppkey") % 7).cast("string"))
+    kinds = {"items": F.lit(True), "returned_items": F.col("l_returnflag") == "R", "open_items": F.col("l_linestatus") == "O"}
     rows = t.lineitem.withColumns({"site": site, "ship_year": F.year("l_shipdate")})
-    maps = cut(R.distinct_bitmaps(rows, ["site", "ship_year"], "l_partkey", _KINDS), "item-bitmaps")
-    by_year = R.count_bitmaps(maps, ["site", "ship_year"], list(_KINDS)).withColumn("all_years", F.lit(False))
-    return R.stack([by_year, R.count_bitmaps(maps, ["site"], list(_KINDS)).withColumn("all_years", F.lit(True))])
+    maps = cut(R.distinct_bitmaps(rows, ["site", "ship_year"], "l_partkey", kinds), "item-bitmaps")
+    by_year = R.count_bitmaps(maps, ["site", "ship_year"], list(kinds)).withColumn("all_years", F.lit(False))
+    return R.stack([by_year, R.count_bitmaps(maps, ["site"], list(kinds)).withColumn("all_years", F.lit(True))])
 
 
 @query("agg_json_array_segments", f"""
