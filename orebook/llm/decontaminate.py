@@ -4,7 +4,7 @@ Each benchmark item gives its windows of ten consecutive words (a shorter item i
 Windows of one length share a shift table: it tells, for the last two words read, how far the search may jump before
 a window could end. Only where the jump is zero are the windows with this ending looked up and compared word by
 word. The item texts are read in blocks of bounded size; each block is one more pass over the words of the same
-batches, so a larger benchmark costs time but neither memory nor a shuffle.
+batches, so a larger benchmark costs no shuffle, but a task holds the tables of all blocks.
 
 Null or wordless texts have no words and no hits; a wordless item has no window; items that share a window are all
 reported; an item without an id marks words but is not reported. Repeated rows are searched each; rows, order and
