@@ -15,6 +15,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a skewed join even when the split costs one more shuffle afterwards.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Batches for Python hold whole texts; fewer rows at once keep them small in the JVM and in the worker.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 
