@@ -11,19 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orebook.llm import bpe, decontaminate, language, near_dup, pii
-from orebook.session import shared_path
+from orebook.session import configure, shared_path
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no language (no letters, no text) go; where ``lang`` is null, the predicted one is filled in."""
+    configure(spark)
     named = language.identify(docs, docs).where(F.col("lang_pred") != language.UNKNOWN)
     return named.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles at 0.8 or more the one with the smallest id stays."""
+    configure(spark)
     return near_dup.drop_near_duplicates(docs, shingle=5, percent=80)
 
 
