@@ -3,23 +3,28 @@
 Each benchmark item gives its windows of ten consecutive words (a shorter item is one window of its own length).
 Windows of one length share a shift table: it tells, for the last two words read, how far the search may jump before
 a window could end. Only where the jump is zero are the windows with this ending looked up and compared word by
-word. The item texts are read in blocks of bounded size; each block is one more pass over the words of the same
-batches, so a larger benchmark costs no shuffle, but a task holds the tables of all blocks.
+word. The item texts are read in blocks of bounded size. Driver and tasks hold the tables of one block at a time: the
+first pass writes the documents with a row number, every further pass writes only the rows it hits, and these are
+joined in the end. A benchmark of one block needs neither the copy nor the join.
 
 Null or wordless texts have no words and no hits; a wordless item has no window; items that share a window are all
-reported; an item without an id marks words but is not reported. Repeated rows are searched each; rows, order and
-other columns are kept, columns that bear a new name are replaced. Whole texts are searched.
+reported; an item without an id marks words but is not reported. Repeated rows are searched each; rows and other
+columns are kept, columns that bear a new name are replaced. Whole texts are searched.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orebook.llm.batches import add_columns
+from orebook.session import cut
 
-WINDOW, BLOCK_BYTES = 10, 16 * 2**20
+#: Words of a window; bytes of item text whose tables a task holds at a time, as objects up to 150 times as large.
+WINDOW, BLOCK_BYTES = 10, 2 * 2**20
 #: Byte by byte: A-Z lowered; digits, letters and everything beyond ASCII stay; the rest separates words.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 FOUND = T.StructType([
@@ -83,33 +88,51 @@ def windows_of(items: list[tuple], size: int) -> dict[tuple, set]:
 def find_windows(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
                  size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with ``n_words``, ``hit_words`` (positions, ascending) and ``item_ids`` (as text, ascending)."""
-    sc = docs.sparkSession.sparkContext
     items = items.select(F.col(f"`{item_id}`").alias("id"), F.col(f"`{item_text}`").alias("text")).where("text is not null")
     volume = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-volume // block_bytes))
-    out = docs
+    if blocks == 1:
+        return _pass(docs, text, _send(items), size)
+    row = "__row"
+    while row in docs.columns:
+        row += "_"
+    hits = []
     for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
-        sent = sc.broadcast([(r.id, r.text) for r in part.collect()])  # of bounded size by the number of blocks
-        out = _pass(out, text, sent, size, first=block == 0)
-    return out
-
-
-def _pass(docs: DataFrame, text: str, sent, size: int, first: bool) -> DataFrame:
+        sent = _send(items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block))
+        if block == 0:
+            # The row numbers are fixed by being written.
+            first = cut(_pass(docs.withColumn(row, F.monotonically_increasing_id()), text, sent, size), "first-block")
+        else:
+            found = _pass(first.select(row, F.col(f"`{text}`")), text, sent, size)
+            hits.append(cut(found.where(F.size("hit_words") > 0).select(row, "hit_words", "item_ids"), "block"))
+        sent.destroy()  # what the pass found is written
+    lists = ("hit_words", "item_ids")
+    more = reduce(DataFrame.union, hits).groupBy(F.col(row).alias("__of")).agg(
+        *[F.flatten(F.collect_list(c)).alias(f"__more_{c}") for c in lists])
+    both = first.join(more, F.col(row) == F.col("__of"), "left")
+    return both.withColumns({
+        c: F.array_sort(F.array_union(c, F.coalesce(f"__more_{c}", F.slice(c, 1, 0)))) for c in lists
+    }).select(*[F.col(f"`{c}`") for c in first.columns if c != row])
+
+
+def _send(items: DataFrame):
+    """The items of one block, of bounded size, for the tasks of one pass."""
+    return items.sparkSession.sparkContext.broadcast([(r.id, r.text) for r in items.collect()])
+
+
+def _pass(docs: DataFrame, text: str, sent, size: int) -> DataFrame:
     def make():
         search = WuManber(windows_of(sent.value, size)).search
 
-        def rows(texts, n_words=None, hits=None, found=None):
-            for i, t in enumerate(texts):
+        def rows(texts):
+            for t in texts:
                 words = words_of(t)
                 hit, ids = search(words)
-                if not first:
-                    hit, ids = hit | set(hits[i]), ids | set(found[i])
                 yield len(words), sorted(hit), sorted(ids)
 
         return rows
 
-    return add_columns(docs, [text] if first else [text, "n_words", "hit_words", "item_ids"], FOUND, make)
+    return add_columns(docs, [text], FOUND, make)
 
 
 def report(found: DataFrame) -> DataFrame:
