@@ -7,9 +7,14 @@ that a split cannot part, as more than half of its vectors lie within the margin
 on a bounded sample; directions come from the seed and the node's number, so a tree is a few numbers. All vectors are
 routed through all trees and compared, in double precision, with the others of their leaves.
 
-Equal vectors are one class with a multiplicity. A leaf larger than ``block`` is cut into blocks and compared block by
-block, so leaf size is no limit. No pair leaves a task: a pair counts in the first leaf that it shares, each
-task returns per vector its number of links and its smallest linked vector, and components are found from these.
+A sample can tell only so many leaves apart. Leaves that are still crowded go on growing by trees of their own, a few
+levels at a time, each fitted in a task on a sample of that leaf, until they are small or a split hardly makes them
+smaller. So the size of leaves follows the parameter and not the number of vectors.
+
+Equal vectors are one class with a multiplicity. A leaf larger than ``block``, such as a dense one that no split parts,
+is cut into blocks and compared block by block, so leaf size is no limit. No pair leaves a task: a pair counts in the
+first leaf that it shares, each task returns per vector its number of links and its smallest linked vector, and
+components are found from these.
 
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of different
 lengths do not link. Repeated rows count as vectors of their own. Null ids are never the smallest. Extra columns are
@@ -18,6 +23,7 @@ not read; an empty table gives an empty one.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -33,6 +39,11 @@ from orebook.session import cut
 #: Vectors (and bytes) of the sample that thresholds are fitted on, trees, aimed leaf size, rows of a block.
 SAMPLE, SAMPLE_BYTES, TREES, LEAF, BLOCK, SEED = 20_000, 2**26, 6, 2048, 2048, 20240
 LEAST_SPLIT = 32
+#: A leaf of more than CROWDED times the aimed size grows by the levels it needs, SUB_DEPTH at most, fitted on about
+#: SUB_SAMPLE of its vectors; a leaf so made grows again if it is crowded and lost a tenth of the vectors by that.
+CROWDED, SUB_DEPTH, SUB_SAMPLE, SHRINKS = 4, 5, 1024, 0.9
+#: Leaves are numbered by vector length and tree above these bits, by node or path below them.
+NODE_BITS = 40
 
 
 def direction(dim: int, tree: int, node: int) -> np.ndarray:
@@ -106,10 +117,11 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         F.min("id").alias("id"), F.count("vec").alias("n"), F.first("vec").alias("vec")), "classes")
     forest = _fit(classes, kind, cosine, trees, leaf, sample)
     routed = cut(_routed(classes, df.sparkSession.sparkContext.broadcast(forest), kind, cosine, trees), "routed")
+    routed = _grown(classes, routed, kind, cosine, leaf)
     spread = routed.select("digest", "n", "vec", "leaves", F.explode("leaves").alias("leaf"))
-    # One row per leaf of the forest: its size is bounded by the sample that the trees were fitted on.
-    sizes = spread.groupBy("leaf").agg(F.count("n").alias("size")).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-    parts = (spread.join(F.broadcast(sizes.select("leaf", "blocks")), "leaf")
+    # One row per leaf, written so that its size is known when the join is planned.
+    sizes = cut(spread.groupBy("leaf").agg(F.ceil(F.count("n") / block).cast("int").alias("blocks")), "leaves")
+    parts = (spread.join(sizes, "leaf")
              .withColumn("own", F.pmod(F.xxhash64("digest"), "blocks").cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
     pairs = parts.select("leaf", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "digest", "n", "vec", "leaves")
@@ -160,7 +172,7 @@ def _routed(classes: DataFrame, forest, kind: str, cosine: float, trees: int) ->
                 for tree, cuts in enumerate(forest.value.get(dim, [{}])):
                     for node, at in route(x, cuts, tree, cosine):
                         for k in at:
-                            leaves[some[k]].append((dim * trees + tree) << 32 | node)
+                            leaves[some[k]].append((dim * trees + tree) << NODE_BITS | node)
             return ((x,) for x in leaves)
 
         return rows
@@ -168,6 +180,67 @@ def _routed(classes: DataFrame, forest, kind: str, cosine: float, trees: int) ->
     return add_columns(classes, ["vec"], T.StructType([T.StructField("leaves", T.ArrayType(T.LongType()))]), make)
 
 
+def child(leaf: int, node: int) -> int:
+    """The number of a node below a leaf. Two paths that meet in one number are compared together, which loses nothing."""
+    path = hashlib.blake2b(f"{leaf}/{node}".encode(), digest_size=NODE_BITS // 8).digest()
+    return leaf >> NODE_BITS << NODE_BITS | int.from_bytes(path)
+
+
+def _grown(classes: DataFrame, routed: DataFrame, kind: str, cosine: float, leaf: int) -> DataFrame:
+    """``routed`` with crowded leaves split by trees of their own."""
+    first = placed = routed.select("digest", F.explode("leaves").alias("leaf"), F.lit(None).cast("long").alias("parent"))
+    while True:
+        sizes = placed.groupBy("leaf").agg(F.count("digest").alias("size"), F.max("parent").alias("parent"))
+        shrinks = F.col("parent").isNull() | (F.col("size") < F.col("parent") * SHRINKS)
+        crowded = cut(sizes.where((F.col("size") > CROWDED * leaf) & shrinks).select("leaf", "size"), "crowded")
+        if crowded.isEmpty():
+            break
+        moving = placed.select("digest", "leaf").join(crowded, "leaf")
+        drawn = moving.where(F.pmod(F.xxhash64("digest", "leaf"), F.lit(10**6)) < F.lit(10**6 * SUB_SAMPLE) / F.col("size"))
+        vectors = classes.select("digest", "vec")
+        cuts = cut(drawn.join(vectors, "digest").select("leaf", "size", "vec").groupBy("leaf", "size").applyInArrow(
+            _fit_leaf(kind, cosine, leaf), "leaf long, nodes array<int>, cuts array<double>"), "sub-trees")
+        moved = _moved(moving.join(vectors, "digest").join(cuts, "leaf").sortWithinPartitions("leaf"), kind, cosine)
+        placed = cut(placed.join(cuts.select("leaf"), "leaf", "left_anti").select("digest", "leaf", "parent").union(moved), "placed")
+    if placed is first:
+        return routed
+    # The leaves of a vector: as many as trees and margins give it, whatever the number of vectors.
+    leaves = placed.groupBy("digest").agg(F.collect_set("leaf").alias("leaves"))
+    return cut(routed.drop("leaves").join(leaves, "digest"), "grown")
+
+
+def _fit_leaf(kind: str, cosine: float, aimed: int):
+    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        crowded, size = (k.as_py() for k in key)
+        depth = min(SUB_DEPTH, math.ceil(math.log2(size / aimed)))
+        cuts = fit(unit(group.column("vec").to_pylist(), kind), depth, crowded, cosine)
+        return pa.table({"leaf": pa.array([crowded], pa.int64()), "nodes": pa.array([list(cuts)], pa.list_(pa.int32())),
+                         "cuts": pa.array([list(cuts.values())], pa.list_(pa.float64()))})
+
+    return run
+
+
+def _moved(moving: DataFrame, kind: str, cosine: float) -> DataFrame:
+    """Rows of ``digest``, the leaf below the one it was in, and the size of that one as ``parent``."""
+    def make():
+        def rows(vectors, leaves, nodes, cuts):
+            into: list[list[int]] = [[] for _ in vectors]
+            by_leaf: dict[int, list[int]] = {}
+            for i, leaf in enumerate(leaves):
+                by_leaf.setdefault(leaf, []).append(i)
+            for leaf, some in by_leaf.items():
+                x = unit([vectors[i] for i in some], kind)
+                for node, at in route(x, dict(zip(nodes[some[0]], cuts[some[0]])), leaf, cosine):
+                    for k in at:
+                        into[some[k]].append(child(leaf, node))
+            return ((x,) for x in into)
+
+        return rows
+
+    sent = add_columns(moving, ["vec", "leaf", "nodes", "cuts"], T.StructType([T.StructField("into", T.ArrayType(T.LongType()))]), make)
+    return sent.select("digest", F.explode("into").alias("leaf"), F.col("size").alias("parent"))
+
+
 def _shared(a: list[list[int]], b: list[list[int]], leaf: int) -> np.ndarray:
     """Which pairs share a leaf with a smaller number than ``leaf``."""
     number: dict[int, int] = {}

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from orebook.llm import components, forest, near_dup
 
@@ -160,6 +161,35 @@ def test_forest_recall_on_borderline_pairs():
     assert met.mean() >= 0.99
 
 
+def test_crowded_leaves_grow_and_lose_no_link(spark):
+    draw = np.random.default_rng(5)
+    x = draw.standard_normal((6000, 24))
+    x[:500] = x[0] + 0.12 * draw.standard_normal((500, 24))  # a dense leaf, which no split parts
+    twins = np.arange(1000, 1800)
+    x[twins] = x[twins + 1000] + 0.25 * draw.standard_normal((800, 24))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(9000 + i, v[:3].tolist()) for i, v in enumerate(x[4000:4900])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in forest.near_vectors(df, leaf=100, block=90, sample=80).collect()}
+    for part in ([r for r in rows if r[0] < 9000], [r for r in rows if r[0] >= 9000]):
+        y = np.array([v for _, v in part])
+        y /= np.linalg.norm(y, axis=1, keepdims=True)
+        near = y @ y.T >= 0.9
+        np.fill_diagonal(near, False)
+        links = np.array([got[i].n_links for i, _ in part])
+        assert (links <= near.sum(axis=1)).all() and links.sum() >= 0.999 * near.sum() > 0
+
+    packed, kind = forest.packed(df.selectExpr("vec_id as id", "embedding as v"), "v")
+    classes = packed.selectExpr("id as digest", "vec", "1L as n").where("digest < 9000")
+    sent = spark.sparkContext.broadcast(forest._fit(classes, kind, 0.9, 6, 100, 80))
+    routed = forest._routed(classes, sent, kind, 0.9, 6)
+    grown = forest._grown(classes, routed, kind, 0.9, 100)
+    sizes = [[(r.n, r.dense) for r in t.selectExpr("digest", "explode(leaves) as leaf").groupBy("leaf").agg(
+        F.count("digest").alias("n"), F.sum((F.col("digest") < 500).cast("int")).alias("dense")).collect()] for t in (routed, grown)]
+    assert grown.columns == routed.columns and grown.count() == 6000
+    assert max(n for n, dense in sizes[0] if dense < 100) > 800 and max(sizes[0])[0] > 2000
+    assert all(n <= 400 or dense > 100 for n, dense in sizes[1]) and max(sizes[1])[0] < 1500
+
+
 def test_links_of_rows_that_share_an_id_or_have_none(spark):
     draw = random.Random(31)
     base = [str(draw.randint(0, 10**9)) for _ in range(60)]
