@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from orebook.functions.numbers import pick_by_site
 from orebook.operators.joins import scope_expand
 from orebook.operators.rollup import json_list, null_last_key, ordered_text, pivot_fixed
-from orebook.operators.running import LARGE_ROWS, running_totals
+from orebook.operators.running import LARGE_ROWS, GroupSizes, running_totals
 from orebook.session import cut
 
 # Pipeline states, stage order, and the job states that mean complete.
@@ -74,7 +74,7 @@ def demand_scope(lines: DataFrame, in_scope: Column, by: Sequence[str], staged:
 
 def allocation_tally(
     lines: DataFrame, stock: DataFrame, sites: Sequence[str], item: str, site: str, required: str,
-    order: Sequence[Column], chunks: Sequence[Column], sized_by: DataFrame | None = None,
+    order: Sequence[Column], chunks: Sequence[Column], sized_by: GroupSizes | None = None,
     large_rows: int = LARGE_ROWS,
 ) -> DataFrame:
     """First come, first served: the balance of every site after each line of an item.
@@ -101,23 +101,22 @@ def allocation_tally(
 
 
 def home_tally(lines: DataFrame, stock: DataFrame, item: str, site: str, required: str, order: Sequence[Column],
-               chunks: Sequence[Column], sized_by: DataFrame | None = None, large_rows: int = LARGE_ROWS) -> DataFrame:
+               chunks: Sequence[Column], sized_by: GroupSizes | None = None, large_rows: int = LARGE_ROWS) -> DataFrame:
     """Only the home site's balance: ``stock`` has one row per (item, site) with ``on_hand``.
-    ``sized_by`` is counted by item."""
+    ``sized_by`` tells the sizes by item."""
     out = running_totals(lines, [item, site], order, {"__used": F.coalesce(F.col(required), F.lit(0))}, chunks,
-                         attrs=stock, sized_by=sized_by, sized_on=[item] if sized_by is not None else None,
-                         large_rows=large_rows)
+                         attrs=stock, sized_by=sized_by, large_rows=large_rows)
     return out.withColumn("tally_home", F.coalesce(F.col("on_hand"), F.lit(0)) - F.col("__used")).drop("__used")
 
 
 def cross_site_match(tally: DataFrame, sites: Sequence[str], item: str, site: str, required: str, unit: str,
-                     ties: Sequence[Column], chunks: Sequence[Column], sized_by: DataFrame | None = None,
+                     ties: Sequence[Column], chunks: Sequence[Column], sized_by: GroupSizes | None = None,
                      large_rows: int = LARGE_ROWS) -> DataFrame:
     """Short lines of a site against the surplus of another, smallest lines first.
 
     The floors of all sites are on every line of the tally, so covering is counted per donor
     column in one pass over the short lines; only (item, short site, donor) rows are formed.
-    ``chunks`` follow ``ties`` within one required quantity. ``sized_by`` is counted by item.
+    ``chunks`` follow ``ties`` within one required quantity. ``sized_by`` tells the sizes by item.
     """
     r = F.col(required)
     donors = tally.groupBy(item).agg(*[F.coalesce(F.bool_or(F.col(site) == s), F.lit(False)).alias(f"__has_{s}") for s in sites])
@@ -128,7 +127,7 @@ def cross_site_match(tally: DataFrame, sites: Sequence[str], item: str, site: st
     ranked = running_totals(
         short, [item, site], [r.asc_nulls_last(), *[F.col(f"__t{i}") for i in range(len(ties))]],
         {"__cum": r}, [r, *[F.col(f"__k{i}") for i in range(len(chunks))]],
-        sized_by=sized_by, sized_on=[item] if sized_by is not None else None, large_rows=large_rows,
+        sized_by=sized_by, large_rows=large_rows,
     )
     fits = {s: F.col("__cum") <= F.col(floor_name(s)) for s in sites}
     per_unit = ranked.groupBy(item, site, unit).agg(

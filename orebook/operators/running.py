@@ -12,12 +12,13 @@ equals the plain window:
 Whether there are such groups is asked first, by counting. Without any, the plain window is
 used: one shuffle. Both ways give the same rows in the same types. The list of large groups
 is a table of its own: it has no limit, is never collected, and Spark plans its join by size.
+Operators over the same facts share one count (``GroupSizes``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,6 +36,28 @@ def large_groups(df: DataFrame, keys: Sequence[str], large_rows: int = LARGE_ROW
     return cut(sizes.select(*keys), "large-groups")
 
 
+class GroupSizes:
+    """The large groups of a table, counted when first asked for and once for all who ask.
+
+    A table of no more than ``large_rows`` rows holds no large group; its number of rows, which Spark takes from file
+    footers where it can, tells so without a shuffle.
+    """
+
+    def __init__(self, table: DataFrame, keys: Sequence[str], large_rows: int = LARGE_ROWS):
+        self.table, self.keys, self.large_rows = table, list(keys), large_rows
+
+    @cached_property
+    def large(self) -> DataFrame | None:
+        """Keys of the large groups, None without any."""
+        if self.table.count() <= self.large_rows:
+            return None
+        return _some(large_groups(self.table, self.keys, self.large_rows))
+
+
+def _some(groups: DataFrame) -> DataFrame | None:
+    return None if groups.isEmpty() else groups
+
+
 def running_totals(
     df: DataFrame,
     group: Sequence[str],
@@ -44,8 +67,7 @@ def running_totals(
     totals: bool = False,
     peaks: bool = False,
     attrs: DataFrame | None = None,
-    sized_by: DataFrame | None = None,
-    sized_on: Sequence[str] | None = None,
+    sized_by: GroupSizes | None = None,
     large_rows: int = LARGE_ROWS,
 ) -> DataFrame:
     """``df`` with the running sum of every measure within ``group`` along ``order``.
@@ -54,15 +76,15 @@ def running_totals(
     first, such as the day and then a range of order numbers. ``order`` must be total.
     ``totals`` adds ``<name>_total``, the sum over the group; ``peaks`` adds ``<name>_peak``,
     the highest running sum in the group. ``attrs``, one row per group, is joined by group.
-    ``sized_by`` is a table that is cheaper to count and whose counts by ``sized_on``, some or
-    all of ``group``, are not below those of ``df``.
+    ``sized_by`` tells the sizes in place of a count of ``df`` by ``group``: those of a table that is cheaper to count
+    or counted already, by some or all of ``group``, and not below those of ``df``.
     """
-    sized_on = list(sized_on or group)
-    large = large_groups(df if sized_by is None else sized_by, sized_on, large_rows)
     if attrs is not None:
         attrs = attrs.dropna(subset=list(group))
     plain = _plain(df, group, order, measures, totals, peaks, attrs)
-    if large.isEmpty():
+    sized_on = list(group) if sized_by is None else sized_by.keys
+    large = _some(large_groups(df, group, large_rows)) if sized_by is None else sized_by.large
+    if large is None:
         return plain
     marked = _attach(df, large.withColumn("__large", F.lit(True)), sized_on)
     out = _chunked(marked, df.columns, group, order, measures, chunks, totals, peaks, attrs)

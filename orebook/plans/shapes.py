@@ -12,6 +12,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orebook.operators.running import GroupSizes
 from orebook.sources.tables import Tables
 
 AS_OF = dt.date(1999, 6, 30)
@@ -98,6 +99,11 @@ def line_chunks(date: str = "promise_date") -> list[Column]:
     return [F.col(date), F.shiftright("l_orderkey", 20)]
 
 
+def item_sizes(t) -> GroupSizes:
+    """The busy items, counted once per query over the lines, as demand has no more rows per item than they have."""
+    return vars(t).setdefault("item_sizes", GroupSizes(t.lineitem, ["l_partkey"]))
+
+
 SQL_SITES = """ns as (
   select n_nationkey, n_name, replace(r_name, 'MIDDLE EAST', 'MIDEAST') as site
   from nation join region on n_regionkey = r_regionkey)"""

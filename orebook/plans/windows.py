@@ -18,7 +18,7 @@ from orebook.plans.joins import BANDS, SQL_BANDS, SQL_TARGETS, TARGETS, targets
 from orebook.plans.registry import query
 from orebook.sources.tables import reference_table
 from orebook.plans.shapes import (
-    AS_OF, HOLIDAYS, QUANTITY, SITES, SQL_LIFE, SQL_LINES, SQL_LINE_ORDER, SQL_ORDERS, SQL_SITES, add_site, dbl, dec, line_chunks,
+    AS_OF, HOLIDAYS, QUANTITY, SITES, SQL_LIFE, SQL_LINES, SQL_LINE_ORDER, SQL_ORDERS, SQL_SITES, add_site, dbl, dec, item_sizes, line_chunks,
     line_order, nation_sites, order_life, site_lines, site_orders,
 )
 
@@ -107,7 +107,7 @@ select l_orderkey, l_linenumber, l_partkey, l_suppkey, site,
   cast(coalesce(on_hand, 0) - sum(coalesce(required, 0)) over (partition by l_partkey, site order by {SQL_LINE_ORDER} rows unbounded preceding) as double) as balance
 from demand left join stock using (l_partkey, site)""")
 def win_running_balance(t):
-    out = A.home_tally(demand(t), stock(t), "l_partkey", "site", "required", line_order(), line_chunks(), sized_by=t.lineitem)
+    out = A.home_tally(demand(t), stock(t), "l_partkey", "site", "required", line_order(), line_chunks(), sized_by=item_sizes(t))
     return out.select(*KEYS, "site", dbl("tally_home").alias("balance"))
 
 
@@ -120,7 +120,7 @@ def win_partition_floor(t):
     """Lowest point of a balance that may rise again (negative requirements)."""
     need = F.coalesce(F.col("required"), F.lit(0))
     signed = F.when(F.col("l_linenumber") == 3, -need).otherwise(need)
-    out = running_totals(demand(t), ["l_partkey"], line_order(), {"used": signed}, line_chunks(), peaks=True, sized_by=t.lineitem)
+    out = running_totals(demand(t), ["l_partkey"], line_order(), {"used": signed}, line_chunks(), peaks=True, sized_by=item_sizes(t))
     return out.groupBy("l_partkey").agg(dbl(-F.max("used_peak")).alias("floor"))
 
 
@@ -131,7 +131,7 @@ select l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(sum(required) over (
 def win_cumulative_smallest_first(t):
     r = F.col("required")
     out = running_totals(demand(t).filter("required > 0"), ["l_partkey", "site"], [r.asc_nulls_last(), *line_order()],
-                         {"cumulative": r}, [r, *line_chunks()], sized_by=t.lineitem, sized_on=["l_partkey"])
+                         {"cumulative": r}, [r, *line_chunks()], sized_by=item_sizes(t))
     return out.select(*KEYS, dbl("cumulative").alias("cumulative"))
 
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orebook.operators import allocation as A
+from orebook.operators import running
 from orebook.operators.running import large_groups, running_totals
 
 D = lambda n: dt.date(2024, 1, n)
@@ -112,6 +113,18 @@ def test_large_groups_are_listed(spark):
     assert large_groups(df, ["g"]).isEmpty()
 
 
+def test_one_count_serves_many(spark, monkeypatch):
+    df = spark.range(1000).selectExpr("if(id < 600, 'x', cast(id as string)) as g", "id as n", "id % 3 as site", "1L as v")
+    counted = []
+    monkeypatch.setattr(running, "large_groups", lambda *a: counted.append(a[1]) or large_groups(*a))
+    small, busy = running.GroupSizes(df, ["g"]), running.GroupSizes(df, ["g"], 100)
+    totals = lambda sizes, keys: sorted(running_totals(
+        df, keys, [F.col("n")], {"run": F.col("v")}, [F.shiftright("n", 5)], sized_by=sizes).collect())
+    for keys in (["g"], ["g", "site"]):
+        assert totals(small, keys) == totals(busy, keys)
+    assert counted == [["g"]] and small.large is None and [r["g"] for r in busy.large.collect()] == ["x"]
+
+
 def test_many_large_groups_and_equal_schemas(spark):
     """Twenty groups above a tiny threshold, decimals: both ways give the same rows and types."""
     df = spark.range(2000).selectExpr("id % 20 as g", "id as n", "cast(id % 7 as decimal(18,2)) as v")
