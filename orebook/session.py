@@ -38,6 +38,11 @@ def size_for(spark: SparkSession, input_bytes: int, partition_bytes: int = 128 *
     return wanted
 
 
+def stored_bytes(df) -> int:
+    """Size of the files of a table, as Spark's statistics have it from the listing of its folder; no job is run."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def local_session(cores: str = "*", memory: str = "8g", partitions: int = 8, shared: str | None = None) -> SparkSession:
     """A local session for tests and the benchmark; a cluster brings its own. ``shared`` is a new folder where not given."""
     spark = (

@@ -7,15 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orebook.session import size_for, stored_bytes
+
 
 class Tables:
-    """The given tables of one folder, read lazily: ``t.orders`` or ``t["orders"]``."""
+    """The given tables of one folder, read lazily: ``t.orders`` or ``t["orders"]``.
+
+    A table larger than the session's shuffle partitions can hold raises their number before it is used.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def __getitem__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        size_for(self.spark, stored_bytes(table))
+        return table
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):

@@ -132,3 +132,19 @@ def test_lines_are_read_once_per_fact(spark, sf_dir, key, most):
 def test_segments_as_json_are_readable(spark, sf_dir):
     lists = queries()["agg_json_array_segments"](spark, sf_dir).limit(20).collect()
     assert all(len(json.loads(r.details)) == r.n <= 25 for r in lists)
+
+
+def test_large_tables_raise_the_shuffle_partitions(spark, sf_dir, monkeypatch):
+    from orebook import session
+    from orebook.sources import tables
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        orders = tables.Tables(spark, sf_dir).orders
+        size = session.stored_bytes(orders)
+        assert 0 < size < 2**27 and spark.conf.get("spark.sql.shuffle.partitions") == before
+        monkeypatch.setattr(tables, "stored_bytes", lambda df: 1000 * 2**27)
+        tables.Tables(spark, sf_dir)["orders"]
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "1000"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
