@@ -10,7 +10,10 @@ the result. In each bucket the members are compared with one pivot, the member t
 group of copies, mostly the original); every candidate is verified on the full sets, and linked documents are grouped.
 Buckets whose members are then in different groups are compared whole, block by block, inside tasks that return only
 which members belong together. So no pair leaves a task, no candidate is dropped, and two documents of one bucket end in
-one group if, and only if, links lead from one to the other. A bucket of k blocks sends each of its texts to k tasks.
+one group if, and only if, links lead from one to the other. A bucket of k blocks sends each of its texts to k tasks; blocks
+are bounded in documents and in shingles. The members of buckets of more than ``WIDE`` blocks are dealt out anew, by the rare
+shingles that any two linked sets must share (prefix filter): this moves each of their shingles a fixed number of times, and
+documents that all are just below the limit meet in no bucket any more.
 With 20 bands of 4 a pair at 0.85 is missed by all bands once in 2.5 million.
 
 Rows without words, null text included, are linked with nothing. Rows that share an id, and rows without one, are compared
@@ -25,7 +28,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,7 +39,9 @@ from orebook.session import cut
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 STEP = 0x9E3779B97F4A7C15
 BASE = np.uint64(STEP)
-WORDS_KEPT, ELEMENTS_AT_ONCE, SETS_KEPT, BLOCK, COLUMNS_AT_ONCE = 200_000, 150_000, 64, 512, 4096
+WORDS_KEPT, ELEMENTS_AT_ONCE, SETS_KEPT, COLUMNS_AT_ONCE = 200_000, 150_000, 64, 4096
+#: Documents of a block, shingles for which a longer document counts once more, blocks of a bucket that is compared whole.
+BLOCK, COUNTED, WIDE = 512, 2000, 8
 SIGNED = T.StructType([
     T.StructField("n_shingles", T.LongType()),
     T.StructField("set_digest", T.BinaryType()),
@@ -190,7 +195,7 @@ def _groups(signed: DataFrame, shingle: int, percent: int) -> DataFrame:
     A class is named by its first row, whose text stands for it: equal sets compare alike.
     """
     classes = cut(signed.where("n_shingles > 0").groupBy("set_digest").agg(
-        F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "row")).alias("first"), F.first("buckets").alias("buckets"))
+        F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "row")).alias("first"), F.first("buckets").alias("buckets"), F.first("n_shingles").alias("n_shingles"))
         .withColumn("rep", F.col("first.row")), "classes")
     members = classes.select(F.explode("buckets").alias("bucket"), "rep").distinct()
     full = members.groupBy("bucket").agg(F.count("rep").alias("n")).where("n > 1")
@@ -205,21 +210,95 @@ def _groups(signed: DataFrame, shingle: int, percent: int) -> DataFrame:
     texts = cut(signed.select(F.col("row").alias("id"), "text").join(needed.hint("merge"), "id", "left_semi"), "texts")
     links = cut(verify(tested, texts, shingle, percent), "verified")
     groups = components(links, "a", "b")
-    rest = _compare_in_blocks(_mixed(shared, groups), texts, shingle, percent)
+    mixed = _mixed(shared.where("n > 2"), groups, classes)
+    wide = F.col("size") > WIDE * BLOCK
+    rest = _compare_in_blocks(mixed.where(~wide), texts, shingle, percent)
+    crowd = mixed.where(wide).select("id").distinct()
+    if not crowd.isEmpty():
+        dealt = _by_rare_shingles(texts.join(crowd.hint("merge"), "id", "left_semi"), shingle, percent)
+        rest = rest.union(_compare_in_blocks(_mixed(dealt, groups, classes), texts, shingle, percent))
     groups = components(links.union(cut(rest, "verified")), "a", "b")
     named = (classes.join(groups, F.col("rep") == F.col("node"), "left")
              .select("set_digest", "first", F.coalesce("component", "rep").alias("component")))
     return named.drop("first").join(named.groupBy("component").agg(F.min("first").alias("first")), "component").drop("component")
 
 
-def _mixed(shared: DataFrame, groups: DataFrame) -> DataFrame:
-    """Buckets of three or more whose members are in different groups; of buckets with equal members one is taken."""
-    named = (shared.where("n > 2").join(groups, F.col("rep") == F.col("node"), "left")
-             .select("bucket", "rep", F.coalesce("component", "rep").alias("g")))
-    members = F.struct(F.count("rep"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")), F.sum(F.hash("rep").cast("long")))
-    mixed = (named.groupBy("bucket").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("rep").alias("size"), members.alias("same"))
-             .where("lo < hi").groupBy("same").agg(F.min("bucket").alias("bucket"), F.first("size").alias("size")))
-    return cut(named.join(mixed, "bucket").select("bucket", "size", F.col("rep").alias("id")), "mixed")
+def _mixed(shared: DataFrame, groups: DataFrame, classes: DataFrame) -> DataFrame:
+    """Buckets whose members are in different groups; of buckets with equal members one is taken.
+
+    ``size`` counts the documents to be compared with all others, ``others`` those compared with them alone (not ``short``).
+    Where documents have more than ``COUNTED`` shingles on average, each ``COUNTED`` shingles count as one.
+    """
+    if "short" not in shared.columns:
+        shared = shared.withColumn("short", F.lit(True))
+    named = (shared.join(groups, F.col("rep") == F.col("node"), "left")
+             .select("bucket", "rep", "short", F.coalesce("component", "rep").alias("g")))
+    members = F.struct(F.count("rep"), F.sum(F.xxhash64("rep", "short").cast("decimal(20,0)")),
+                       F.sum(F.hash("rep", "short").cast("long")))
+    mixed = (named.groupBy("bucket").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), members.alias("same"))
+             .where("lo < hi").groupBy("same").agg(F.min("bucket").alias("bucket")).select("bucket"))
+    held = cut(named.join(mixed, "bucket").join(classes.select("rep", "n_shingles"), "rep")
+               .select("bucket", F.col("rep").alias("id"), "short", "n_shingles"), "mixed")
+
+    def counted(which):
+        weight = F.coalesce(F.sum(F.when(which, F.col("n_shingles"))), F.lit(0))
+        return F.greatest(F.count_if(which), F.ceil(weight / COUNTED))
+
+    sizes = held.groupBy("bucket").agg(counted(F.col("short")).alias("size"), counted(~F.col("short")).alias("others"))
+    return held.join(sizes, "bucket").select("bucket", "size", "others", "short", "id")
+
+
+def _by_rare_shingles(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Buckets (``bucket``, ``rep``, ``short``) of ``texts`` (id, text): any two linked ones are in one, one of them ``short``.
+
+    Shingles are ordered by the number of texts that hold them. A set of n shingles that is linked with a smaller one shares
+    percent * n / 100 shingles with it, and 2 * percent * n / (100 + percent) with a larger one. So its first n - shared + 1
+    shingles, a long head to find smaller sets and a short one to be found by larger ones, hold a shingle of the other's head.
+    """
+    def run(batches):
+        shingles = Shingles(shingle)
+
+        def table(ids, sets):
+            sizes = [len(x) for x in sets]
+            return pa.RecordBatch.from_arrays([
+                pa.array(np.repeat(np.array(ids, np.int64), sizes)), pa.array(np.repeat(np.array(sizes, np.int64), sizes)),
+                pa.array(np.concatenate(sets).view(np.int64))], names=["rep", "n", "bucket"])
+
+        for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
+            ids, sets, held = [], [], 0
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids.append(key)
+                sets.append(shingles.of(text))
+                held += len(sets[-1])
+                if held >= ELEMENTS_AT_ONCE:
+                    yield table(ids, sets)
+                    ids, sets, held = [], [], 0
+            if sets:
+                yield table(ids, sets)
+
+    each = cut(texts.select("id", "text").mapInArrow(run, "rep long, n long, bucket long"), "shingles")
+    often = each.groupBy("bucket").agg(F.count("rep").alias("texts")).where("texts > 1")
+    of_text = Window.partitionBy("rep")
+    # Shingles that no other text holds come first and need no place of their own.
+    place = (F.col("n") - F.count("bucket").over(of_text)
+             + F.row_number().over(of_text.orderBy("texts", "bucket")))
+    heads = (each.join(often, "bucket").withColumn("place", place)
+             .where(f"place <= n - (n * {percent} + 99) div 100 + 1")
+             .withColumn("short", F.expr(f"place <= n - (n * {2 * percent} + {99 + percent}) div {100 + percent} + 1")))
+    heads = cut(heads.select("bucket", "rep", "short"), "heads")
+    meet = heads.groupBy("bucket").agg(F.count("rep").alias("n"), F.max("short").alias("found")).where("n > 1 and found")
+    return heads.join(meet, "bucket").select("bucket", "rep", "short")
+
+
+def _parts(mixed: DataFrame) -> DataFrame:
+    """Which members (``own``, ``id``) go to the task of the blocks (``i``, ``j``) of a bucket."""
+    if "short" not in mixed.columns:
+        mixed = mixed.withColumns({"short": F.lit(True), "others": F.lit(0)})
+    first, more = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("size", "others"))
+    place = lambda blocks: F.pmod(F.xxhash64("id"), F.greatest(blocks, F.lit(1))).cast("int")
+    return (mixed.withColumn("own", F.when(F.col("short"), place(first)).otherwise(first + place(more)))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), first - 1 + F.when(F.col("short"), more).otherwise(0))))
+            .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id"))
 
 
 def _compare_in_blocks(mixed: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -227,11 +306,6 @@ def _compare_in_blocks(mixed: DataFrame, texts: DataFrame, shingle: int, percent
 
     Intersections of all pairs of a block are one matrix product over the shingles that occur in it more than once.
     """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    parts = (mixed.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id"))
-
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         shingles = Shingles(shingle)
         i, j = key[1].as_py(), key[2].as_py()
@@ -251,7 +325,7 @@ def _compare_in_blocks(mixed: DataFrame, texts: DataFrame, shingle: int, percent
         return pa.table({"a": pa.array(ids[least[some]], kind), "b": pa.array(ids[some], kind)})
 
     kind = texts.schema["id"].dataType.simpleString()
-    return (parts.join(texts, "id").groupBy("bucket", "i", "j").applyInArrow(run, f"a {kind}, b {kind}").distinct())
+    return (_parts(mixed).join(texts, "id").groupBy("bucket", "i", "j").applyInArrow(run, f"a {kind}, b {kind}").distinct())
 
 
 def _intersections(sets: list[np.ndarray]) -> np.ndarray:

@@ -202,3 +202,67 @@ def test_links_of_rows_that_share_an_id_or_have_none(spark):
     assert got == sorted([(1, 58, 1), (2, 58, 1), (2, 39, 2), (0, 58, 0), (0, 58, 0), (7, 28, 7)])
     kept = near_dup.drop_near_duplicates(df, shingle=3, percent=85).collect()
     assert sorted(r.doc_id or 0 for r in kept) == [0, 1, 2, 7]
+
+
+def crowd(seed, count):
+    """Texts of one origin, each with edits of its own: most below the limit to all others, ten linked."""
+    draw = random.Random(seed)
+    words = [f"w{i}" for i in range(10**6)]
+    origin, rows = [draw.choice(words) for _ in range(150)], []
+    for i in range(count):
+        text = list(origin)
+        for at in draw.sample(range(150), 1 if i < 10 else 6):
+            text[at] = draw.choice(words)
+        rows.append((i, " ".join(text[:draw.randint(140, 150)])))
+    return rows
+
+
+@pytest.mark.parametrize("size, percent", [(3, 85), (5, 80), (1, 90)])
+def test_rare_shingles_bring_linked_texts_together(spark, size, percent):
+    rows = [r for r in corpus(7) if shingles(r[1], 1)] + [(10_000 + i, t) for i, t in crowd(8, 150)]
+    rows += [(20_000 + k, " ".join("abcdefghijklmnopqrstuvwxyz"[:k])) for k in range(1, 26)]
+    sets = {i: shingles(t, size) for i, t in rows}
+    docs = spark.createDataFrame(rows, "id long, text string")
+    buckets = {}
+    for r in near_dup._by_rare_shingles(docs, size, percent).collect():
+        buckets.setdefault(r.bucket, ([], []))[0 if r.short else 1].append(r.rep)
+    together = {(min(a, b), max(a, b)) for some, rest in buckets.values() for a in some for b in some + rest}
+    ids = sorted(sets)
+    linked = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1:]
+              if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    assert linked and all(p in together for p in linked)
+
+
+def test_crowded_buckets_are_dealt_by_rare_shingles(spark, monkeypatch):
+    """Shuffled rows grow with the number of documents; groups are those of brute force."""
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    monkeypatch.setattr(near_dup, "WIDE", 2)
+    sent, seen = [], []
+    plain, deal = near_dup._parts, near_dup._by_rare_shingles
+
+    def counted(mixed):
+        sent[-1] += plain(mixed).count()
+        return plain(mixed)
+
+    def dealt(texts, *rest):
+        seen.append(texts.count())
+        return deal(texts, *rest)
+
+    monkeypatch.setattr(near_dup, "_parts", counted)
+    monkeypatch.setattr(near_dup, "_by_rare_shingles", dealt)
+    for count in (150, 300):
+        rows = crowd(9, count)
+        sent.append(0)
+        _, want = brute(rows, 3, 85)
+        got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, percent=85).collect()
+        assert {r.doc_id: r.component_id for r in got} == want and 1 < len(set(want.values()))
+    assert len(seen) == 2 and all(n > 100 for n in seen)
+    assert 0 < sent[1] <= 2.5 * sent[0]
+
+
+def test_long_documents_make_more_blocks(spark):
+    shared = spark.createDataFrame([(1, 10, 3), (1, 11, 3), (1, 12, 3), (2, 10, 2), (2, 13, 2)], "bucket long, rep long, n long")
+    groups = spark.createDataFrame([(12, 11), (13, 10)], "node long, component long")
+    classes = spark.createDataFrame([(10, 5), (11, 7000), (12, 1), (13, 9)], "rep long, n_shingles long")
+    got = near_dup._mixed(shared, groups, classes).collect()
+    assert sorted((r.bucket, r.size, r.others, r.id) for r in got) == [(1, 4, 0, 10), (1, 4, 0, 11), (1, 4, 0, 12)]
