@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
@@ -14,6 +15,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 ROWS_AT_ONCE = 1000
 
 
+def give_back() -> None:
+    """Return to the system what a finished task held: Python workers live on, and Arrow and malloc keep freed memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc; other libraries do without
+    if trim:
+        trim(0)
+
+
 def add_columns(df: DataFrame, inputs: list[str], new: T.StructType, make: Callable[..., Iterator[tuple]]) -> DataFrame:
     """``df`` with the columns ``new``; ``make()`` gives a function from lists of ``inputs`` to rows of new values.
 
@@ -35,8 +45,8 @@ def add_columns(df: DataFrame, inputs: list[str], new: T.StructType, make: Calla
             arrays = [batch.column(c) for c in kept] + [pa.array(v, type=f.type) for v, f in zip(made, fresh)]
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *fresh.names])
         # The worker may serve another operator next; the memos of this task refer to themselves, so they are collected.
-        work = rows = made = None
-        gc.collect()
+        work = rows = made = arrays = batch = None
+        give_back()
 
     return df.select(*[F.col(f"`{c}`") for c in read]).mapInArrow(run, out)
 

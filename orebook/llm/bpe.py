@@ -19,6 +19,7 @@ import base64
 import copy
 import hashlib
 import re
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -75,10 +76,12 @@ class Codec:
             if cut is not None:
                 self.shorter[rank] = self.rank[cut]
         self.starts.make_automaton()
-        # The tokens that stand at the right (left) end of a token while its merges are done, with the rank of the
-        # merge that swallows each.
-        self.right_end = {t: self._edge(t, halves, 1) for t in halves}
-        self.left_end = {t: self._edge(t, halves, 0) for t in halves}
+        # The half that ends (begins) a token, -1 for a single byte: one after the other they are the tokens that stand
+        # at the right (left) end of it while its merges are done, each swallowed by the merge of the one before.
+        self.right_half, self.left_half = (array("i", [-1]) * len(self.size) for _ in range(2))
+        for token, parts in halves.items():
+            if parts:
+                self.left_half[token], self.right_half[token] = parts
         self._remember()
         self.table = np.frombuffer(b"".join(self.token.get(r, b"") for r in range(len(self.size))), np.uint8)
         self.sizes = np.array(self.size, np.int64)
@@ -108,25 +111,22 @@ class Codec:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return [self.rank[p] for p in parts]
 
-    def _edge(self, token: int, halves: dict[int, list[int]], side: int) -> list[tuple[bytes, int]]:
-        out, swallowed = [], len(self.rank) + 1
-        while True:
-            out.append((self.token[token], swallowed))
-            if not halves[token]:
-                return out
-            token, swallowed = halves[token][side], token
-
     def _fits(self, pair: int) -> bool:
         """No merge crosses the border: none of the tokens that meet there would be merged before it is swallowed.
 
         Among merges of one rank the leftmost is done first, so the border wins a tie against the right token's own.
         """
-        rank = self.rank.get
-        for x, until_x in self.right_end[pair >> PAIR_BITS]:
-            for y, until_y in self.left_end[pair & (1 << PAIR_BITS) - 1]:
-                m = rank(x + y)
+        rank, token, right, left = self.rank.get, self.token, self.right_half, self.left_half
+        last = len(self.rank) + 1
+        x, until_x = pair >> PAIR_BITS, last
+        while x >= 0:
+            y, until_y = pair & (1 << PAIR_BITS) - 1, last
+            while y >= 0:
+                m = rank(token[x] + token[y])
                 if m is not None and m < until_x and m <= until_y:
                     return False
+                y, until_y = left[y], y
+            x, until_x = right[x], x
         return True
 
     def _piece(self, piece: str) -> bytes:

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orebook.llm.batches import give_back
 from orebook.session import cut
 
 #: Links that one task joins by union-find.
@@ -44,6 +45,8 @@ def _local(batches):
         found = forest(zip(held.column(0).to_pylist(), held.column(1).to_pylist()))
         kind = held.schema.field(0).type
         yield pa.RecordBatch.from_arrays([pa.array(list(found), type=kind), pa.array(list(found.values()), type=kind)], names=["u", "v"])
+    batches = held = found = None
+    give_back()
 
 
 def least_linked(near: np.ndarray, left: np.ndarray, right: np.ndarray, count: int) -> np.ndarray:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orebook.llm.batches import Memo, add_columns
+from orebook.llm.batches import Memo, add_columns, give_back
 from orebook.llm.components import components, least_linked
 from orebook.session import cut
 
@@ -159,6 +159,8 @@ def verify(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> Da
                 both = len(x) + len(y) - len(np.union1d(x, y))
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+        sets = shingles = batch = x = y = None
+        give_back()
 
     with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     full = with_b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select("a", "ta", "b", "tb")
@@ -275,6 +277,8 @@ def _by_rare_shingles(texts: DataFrame, shingle: int, percent: int) -> DataFrame
                     ids, sets, held = [], [], 0
             if sets:
                 yield table(ids, sets)
+        batch = ids = sets = shingles = None
+        give_back()
 
     each = cut(texts.select("id", "text").mapInArrow(run, "rep long, n long, bucket long"), "shingles")
     often = each.groupBy("bucket").agg(F.count("rep").alias("texts")).where("texts > 1")

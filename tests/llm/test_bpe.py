@@ -2,15 +2,18 @@
 
 import base64
 import hashlib
+import os
 import random
 import struct
 
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from orebook.llm import bpe, token_counts
+from orebook.llm.batches import add_columns
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 WORDS = P.path("word_bpe_49k.json")
@@ -88,3 +91,29 @@ def test_random_counts_equal_the_library():
     for _ in range(2000):
         text = "".join(draw.choice(letters) for _ in range(draw.randint(0, 30)))
         assert counter.count(text) == len(library.encode(text, add_special_tokens=False).ids), text
+
+
+def test_a_worker_gives_back_what_a_task_held(spark):
+    """The memos of a task, and its batches, are no part of the worker that lives on."""
+    def held(pid):
+        return int(next(x for x in open(f"/proc/{pid}/status") if x.startswith("VmRSS")).split()[1]) / 1024
+
+    df = spark.range(0, 3000, 1, 1).selectExpr("array_join(transform(sequence(1, 60), i -> hex(hash(id, i))), ' ') as text")
+    name = bpe._ship(df, RANKS)
+
+    def make():
+        codec = bpe.codec(name, P.PATTERN)
+        before = held(os.getpid())
+
+        def rows(texts):
+            for text in texts:
+                codec.encode(text)
+                yield os.getpid(), before, held(os.getpid())
+
+        return rows
+
+    new = T.StructType([T.StructField("pid", T.LongType()), T.StructField("before", T.DoubleType()), T.StructField("during", T.DoubleType())])
+    rows = add_columns(df, ["text"], new, make).collect()
+    grown = max(r.during for r in rows) - rows[0].before
+    kept = held(rows[0].pid) - rows[0].before
+    assert kept < max(20, grown / 4)
